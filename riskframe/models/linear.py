@@ -62,9 +62,19 @@ def score_linear(df: DataFrame, features: Sequence[str], beta, keep: Sequence[st
     u = class_utilities(features, beta, classes, base, intercept)
     if offsets is not None:
         u = [a + b for a, b in zip(u, offsets)]
-    probs = softmax(u)
+    # staged projections: each utility is computed once (no re-inlining into
+    # every probability, which would blow up the generated code)
+    un = [f"__u{k}" for k in classes]
+    d = df.select(*[F.col(c) for c in keep], *[x.alias(n) for x, n in zip(u, un)])
+    d = d.withColumn("__m", F.greatest(*[F.col(n) for n in un]) if len(un) > 1 else F.col(un[0]))
+    en = [f"__e{k}" for k in classes]
+    d = d.select(*[F.col(c) for c in keep], *[F.exp(F.col(n) - F.col("__m")).alias(e) for n, e in zip(un, en)])
+    total = F.col(en[0])
+    for e in en[1:]:
+        total = total + F.col(e)
+    d = d.withColumn("__t", total)
     names = [f"{prefix}{k}" for k in classes]
-    out = df.select(*[F.col(c) for c in keep], *[p.alias(n) for p, n in zip(probs, names)])
+    out = d.select(*[F.col(c) for c in keep], *[(F.col(e) / F.col("__t")).alias(n) for e, n in zip(en, names)])
     return out.withColumn("pred", argmax_label(F.array(*[F.col(n) for n in names]), base=min(classes)))
 
 

@@ -48,6 +48,7 @@ def basic_scores(pred: DataFrame, group_cols: list[str], y: str = "y", pred_col:
                  probs: list[str] | None = None, classes=(1, 2, 3)) -> DataFrame:
     """H2-H5: n, accuracy, MAE on class numbers, macro F1 (+ per class), log loss."""
     classes = list(classes)
+    probs = probs or prob_cols(len(classes))
     d = _with_key(pred, group_cols)
     g = _key(group_cols)
     aggs = [F.count(F.lit(1)).alias("n"),
@@ -150,3 +151,24 @@ def log_likelihood(pred: DataFrame, group_cols: list[str], y: str = "y", probs:
 def bic(loglik: float, n: int, n_params: int) -> float:
     """H8: −2·LL + ln(n)·k."""
     return -2.0 * loglik + math.log(n) * n_params
+
+
+def per_class_scores(pred: DataFrame, group_cols: list[str], y: str = "y", pred_col: str = "pred",
+                     classes=(1, 2, 3)) -> DataFrame:
+    """H4: per class tp, predicted and true counts, precision, recall, F1 (0 when undefined)."""
+    classes = list(classes)
+    d = _with_key(pred, group_cols)
+    g = _key(group_cols)
+    st = d.select(*g, F.col(y).alias("__y"), F.col(pred_col).alias("__p"),
+                  F.explode(F.array(*[F.lit(k) for k in classes])).alias("cls"))
+    agg = st.groupBy(*g, "cls").agg(
+        F.sum(((F.col("__y") == F.col("cls")) & (F.col("__p") == F.col("cls"))).cast("long")).alias("tp"),
+        F.sum((F.col("__p") == F.col("cls")).cast("long")).alias("n_pred"),
+        F.sum((F.col("__y") == F.col("cls")).cast("long")).alias("n_true"))
+    out = agg.select(
+        *g, "cls", "tp", "n_pred", "n_true",
+        F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0)).alias("precision"),
+        F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0)).alias("recall"),
+        F.when(F.col("n_pred") + F.col("n_true") > 0,
+               F.lit(2.0) * F.col("tp") / (F.col("n_pred") + F.col("n_true"))).otherwise(F.lit(0.0)).alias("f1"))
+    return out.drop("__all") if not group_cols else out

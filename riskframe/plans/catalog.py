@@ -79,3 +79,275 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fixed_scored(spark, sf_dir)
     m = metrics.classification_scores(scored, ["split"])
     return rounded(m.select(*_MET_COLS))
+
+
+# ----------------------------------------------------------------------------
+# B: filters, projections, recodes
+# ----------------------------------------------------------------------------
+from ..operators import clean as C  # noqa: E402
+from ..operators import compare as CMP  # noqa: E402
+from ..operators import prep as D  # noqa: E402
+from ..operators import rank as R  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+from ..sources import loans as L  # noqa: E402
+
+ROW_NULL_LIMIT = 3  # B1 query: rows with more than 3 NULL cells are dropped
+
+
+@register("row_null_filter", "WITH " + S.cleaned_ctes() + f"""
+SELECT loan_id, {S.null_count_sql(L.VIEW_COLUMNS)} AS null_cells FROM view
+WHERE {S.null_count_sql(L.VIEW_COLUMNS)} <= {ROW_NULL_LIMIT}""")
+def row_null_filter(spark, sf_dir):
+    v = L.loan_view(spark, sf_dir)
+    kept = C.drop_rows_with_nulls(v, ROW_NULL_LIMIT)
+    return kept.select("loan_id", C.null_count(L.VIEW_COLUMNS).alias("null_cells"))
+
+
+@register("label_recode", "WITH " + S.cleaned_ctes() + "\nSELECT loan_id, y FROM cleaned")
+def label_recode(spark, sf_dir):
+    return P.cleaned_loans(spark, sf_dir).select("loan_id", "y")
+
+
+@register("recode_purpose", "WITH " + S.cleaned_ctes() + f"""
+SELECT loan_id, {S.recode_sql('purpose', L.VIEW_PURPOSE_RECODE)} AS purpose FROM view""")
+def recode_purpose(spark, sf_dir):
+    return C.recode(L.loan_view(spark, sf_dir), "purpose", L.VIEW_PURPOSE_RECODE).select("loan_id", "purpose")
+
+
+@register("drop_category", "WITH " + S.cleaned_ctes() + f"""
+SELECT loan_id, purpose FROM view WHERE purpose IS DISTINCT FROM {S.lit(L.VIEW_DROP_PURPOSE)}""")
+def drop_category(spark, sf_dir):
+    return C.drop_category(L.loan_view(spark, sf_dir), "purpose", L.VIEW_DROP_PURPOSE).select("loan_id", "purpose")
+
+
+@register("region_recode", "WITH " + S.cleaned_ctes() + """
+SELECT loan_id, coalesce(lk.grp, view.addr_state) AS addr_state FROM view LEFT JOIN lk ON view.addr_state = lk.code""")
+def region_recode(spark, sf_dir):
+    v = L.loan_view(spark, sf_dir)
+    return C.group_codes(v, "addr_state", L.region_lookup(spark, sf_dir)).select("loan_id", "addr_state")
+
+
+@register("ordinal_text_to_int", "WITH " + S.cleaned_ctes() + """
+SELECT loan_id, sub_grade, TRY_CAST(NULLIF(regexp_extract(sub_grade, '(\\d+)', 1), '') AS INTEGER) AS term FROM view""")
+def ordinal_text_to_int(spark, sf_dir):
+    v = L.loan_view(spark, sf_dir)
+    return v.select("loan_id", "sub_grade", C.leading_int("sub_grade").alias("term"))
+
+
+@register("sentinel_clamp", "WITH " + S.cleaned_ctes() + "\nSELECT loan_id, dti, revol_bal FROM cleaned")
+def sentinel_clamp(spark, sf_dir):
+    return P.cleaned_loans(spark, sf_dir).select("loan_id", "dti", "revol_bal")
+
+
+@register("label_onehot", "WITH " + S.cleaned_ctes() + """
+SELECT loan_id, CAST(y = 1 AS INTEGER) AS Categ1, CAST(y = 2 AS INTEGER) AS Categ2, CAST(y = 3 AS INTEGER) AS Categ3
+FROM cleaned""")
+def label_onehot(spark, sf_dir):
+    return C.label_onehot(P.cleaned_loans(spark, sf_dir), "y").select("loan_id", "Categ1", "Categ2", "Categ3")
+
+
+_SCORE_COLS = ["loan_id", "split", "y", "prob_c1", "prob_c2", "prob_c3", "pred"]
+
+
+@register("mnl_score_fixed", "WITH " + fixed_scored_sql() + "\n" +
+          rsql(_SCORE_COLS, ["prob_c1", "prob_c2", "prob_c3"], "scored"))
+def mnl_score_fixed(spark, sf_dir):
+    return rounded(fixed_scored(spark, sf_dir).select(*_SCORE_COLS))
+
+
+@register("argmax_label", "WITH " + fixed_scored_sql() + "\nSELECT loan_id, pred FROM scored")
+def argmax_label(spark, sf_dir):
+    return fixed_scored(spark, sf_dir).select("loan_id", "pred")
+
+
+# ----------------------------------------------------------------------------
+# C: sampling and splitting
+# ----------------------------------------------------------------------------
+@register("down_sample", "WITH " + S.split_ctes() + "\nSELECT loan_id, y FROM sampled")
+def down_sample(spark, sf_dir):
+    d = P.cleaned_loans(spark, sf_dir)
+    return SP.down_sample(d, "y", "loan_id", remove_share={1: L.VIEW_REMOVE_SHARE_CLASS1},
+                          seed=P.DOWNSAMPLE_SEED).select("loan_id", "y")
+
+
+@register("stratified_split", "WITH " + S.split_ctes() + "\nSELECT loan_id, y, split FROM splitted")
+def stratified_split(spark, sf_dir):
+    return P.split_loans(spark, sf_dir).select("loan_id", "y", "split")
+
+
+@register("stratified_kfold", "WITH " + S.split_ctes() + f""",
+tr AS (SELECT loan_id, y, {S.hash_rank_sql(P.FOLD_SEED)} AS rk FROM splitted WHERE split = 'train')
+SELECT loan_id, y, CAST((rk - 1) % {L.VIEW_FOLDS} + 1 AS INTEGER) AS fold FROM tr""")
+def stratified_kfold(spark, sf_dir):
+    tr = P.split_loans(spark, sf_dir).where(F.col("split") == "train")
+    return SP.stratified_kfold(tr, "y", "loan_id", L.VIEW_FOLDS, P.FOLD_SEED).select("loan_id", "y", "fold")
+
+
+# ----------------------------------------------------------------------------
+# D: impute, encode, scale, reports
+# ----------------------------------------------------------------------------
+_NUMERIC = L.VIEW_MEDIAN_COLUMNS + L.VIEW_ORDINAL_COLUMNS + P.PASSTHROUGH
+
+
+@register("median_impute", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + "\n" +
+          rsql(["loan_id", "split"] + L.VIEW_MEDIAN_COLUMNS, L.VIEW_MEDIAN_COLUMNS, "enc"))
+def median_impute(spark, sf_dir):
+    p = P.prepared_loans(spark, sf_dir, scale=False)
+    return rounded(p.data.select("loan_id", "split", *L.VIEW_MEDIAN_COLUMNS))
+
+
+@register("ordinal_encode", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + "\nSELECT loan_id, sub_grade FROM enc")
+def ordinal_encode(spark, sf_dir):
+    p = P.prepared_loans(spark, sf_dir, scale=False)
+    return p.data.select("loan_id", "sub_grade")
+
+
+@register("minmax_scale", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + "\n" +
+          rsql(["loan_id", "split"] + _NUMERIC, _NUMERIC, "scaled"))
+def minmax_scale(spark, sf_dir):
+    p = P.prepared_loans(spark, sf_dir)
+    return rounded(p.data.select("loan_id", "split", *_NUMERIC))
+
+
+def _onehot_sql() -> str:
+    cols = L.VIEW_ONEHOT_COLUMNS
+    long_rows = " UNION ALL ".join(
+        f"SELECT loan_id, split, '{c}' AS feature, CAST({c} AS VARCHAR) AS v FROM splitted" for c in cols)
+    return "WITH " + S.split_ctes() + f""",
+lr AS ({long_rows}),
+cats AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS pos,
+                count(*) OVER (PARTITION BY feature) AS nv
+         FROM (SELECT DISTINCT feature, v FROM lr WHERE split = 'train' AND v IS NOT NULL)),
+kept AS (SELECT feature, v FROM cats WHERE NOT (nv = 2 AND pos = 1))
+SELECT lr.loan_id, kept.feature || '_' || kept.v AS column_name,
+       CASE WHEN lr.v = kept.v THEN 1.0 ELSE 0.0 END AS value
+FROM lr JOIN kept ON lr.feature = kept.feature"""
+
+
+@register("onehot_if_binary", _onehot_sql())
+def onehot_if_binary(spark, sf_dir):
+    s = P.split_loans(spark, sf_dir)
+    cats = D.fit_categories(s.where(F.col("split") == "train"), L.VIEW_ONEHOT_COLUMNS)
+    names = [n for pairs in D.onehot_names(cats).values() for n, _ in pairs]
+    wide = s.select("loan_id", *[e.alias(n) for n, e in D.onehot_exprs(cats).items()])
+    return wide.unpivot(["loan_id"], names, "column_name", "value")
+
+
+_NULL_COLS = ["emp_length", "dti", "int_rate", "initial_list_status", "purpose", "addr_state", "sub_grade"]
+
+
+@register("null_report", "WITH " + S.split_ctes() + "\n" + " UNION ALL ".join(
+    f"SELECT split, '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM splitted GROUP BY split"
+    for c in _NULL_COLS))
+def null_report(spark, sf_dir):
+    s = P.split_loans(spark, sf_dir)
+    return D.null_report(s.select("split", *_NULL_COLS), _NULL_COLS, group_col="split")
+
+
+@register("value_counts", "WITH " + S.cleaned_ctes() + "\nSELECT y, purpose, count(*) AS n FROM cleaned GROUP BY y, purpose")
+def value_counts(spark, sf_dir):
+    return D.value_counts(P.cleaned_loans(spark, sf_dir), ["y", "purpose"])
+
+
+# ----------------------------------------------------------------------------
+# H0 / H1-H6
+# ----------------------------------------------------------------------------
+_RANK_COLS = ["installment", "revol_bal", "emp_length", "dti", "int_rate"]
+
+
+@register("avg_rank", "WITH " + S.cleaned_ctes() + ",\nlr AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM cleaned WHERE {c} IS NOT NULL" for c in _RANK_COLS) +
+    """),
+r AS (SELECT feature, value, rank() OVER (PARTITION BY feature ORDER BY value) AS rk,
+             count(*) OVER (PARTITION BY feature, value) AS cnt FROM lr)
+SELECT DISTINCT feature, value, CAST(cnt AS BIGINT) AS cnt,
+       round(rk + CAST(cnt - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE), 6) AS avg_rank FROM r""")
+def avg_rank(spark, sf_dir):
+    d = P.cleaned_loans(spark, sf_dir)
+    long_df = R.to_long(d, _RANK_COLS, [], "feature", "value")
+    return rounded(R.average_ranks(long_df, ["feature"], "value").select(
+        "feature", "value", F.col("cnt").cast("long").alias("cnt"), "avg_rank"))
+
+
+@register("auc_ovr", "WITH " + fixed_scored_sql() + """,
+stacked AS (SELECT split, 1 AS cls, prob_c1 AS score, CAST(y = 1 AS INTEGER) AS pos FROM scored
+            UNION ALL SELECT split, 2, prob_c2, CAST(y = 2 AS INTEGER) FROM scored
+            UNION ALL SELECT split, 3, prob_c3, CAST(y = 3 AS INTEGER) FROM scored),
+rk AS (SELECT *, rank() OVER (PARTITION BY split, cls ORDER BY score) +
+                 CAST(count(*) OVER (PARTITION BY split, cls, score) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS ar
+       FROM stacked),
+per AS (SELECT split, cls, sum(pos * ar) AS r1, sum(pos) AS n1, count(*) AS n FROM rk GROUP BY split, cls)
+SELECT split, cls, round((r1 - CAST(n1 * (n1 + 1) AS DOUBLE) / CAST(2.0 AS DOUBLE)) / CAST(n1 * (n - n1) AS DOUBLE), 6)
+       AS auc FROM per""")
+def auc_ovr(spark, sf_dir):
+    return rounded(metrics.auc_ovr(fixed_scored(spark, sf_dir), ["split"], per_class=True))
+
+
+@register("f1_per_class", "WITH " + fixed_scored_sql() + """,
+g AS (SELECT split, c.cls,
+             sum(CAST(y = c.cls AND pred = c.cls AS BIGINT)) AS tp,
+             sum(CAST(pred = c.cls AS BIGINT)) AS n_pred, sum(CAST(y = c.cls AS BIGINT)) AS n_true
+      FROM scored JOIN (SELECT unnest([1, 2, 3]) AS cls) c ON TRUE GROUP BY split, c.cls)
+SELECT split, cls, tp, n_pred, n_true,
+       round(CASE WHEN n_pred > 0 THEN CAST(tp AS DOUBLE) / n_pred ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN n_true > 0 THEN CAST(tp AS DOUBLE) / n_true ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN n_pred + n_true > 0 THEN CAST(2.0 AS DOUBLE) * tp / (n_pred + n_true) ELSE 0.0 END, 6) AS f1
+FROM g""")
+def f1_per_class(spark, sf_dir):
+    return rounded(metrics.per_class_scores(fixed_scored(spark, sf_dir), ["split"]))
+
+
+@register("log_loss", "WITH " + fixed_scored_sql() + """,
+b AS (""" + S.metrics_select("scored", ["split"])[0] + ")\nSELECT split, round(log_loss, 6) AS log_loss FROM b")
+def log_loss(spark, sf_dir):
+    m = metrics.basic_scores(fixed_scored(spark, sf_dir), ["split"])
+    return rounded(m.select("split", "log_loss"))
+
+
+@register("confusion_norm_pred", "WITH " + fixed_scored_sql() + """,
+grid AS (SELECT s.split, t.y_true, p.y_pred FROM (SELECT DISTINCT split FROM scored) s
+         JOIN (SELECT unnest([1, 2, 3]) AS y_true) t ON TRUE JOIN (SELECT unnest([1, 2, 3]) AS y_pred) p ON TRUE),
+cnt AS (SELECT split, y AS y_true, pred AS y_pred, count(*) AS cnt FROM scored GROUP BY ALL),
+full_ AS (SELECT g.split, g.y_true, g.y_pred, coalesce(c.cnt, 0) AS cnt FROM grid g
+          LEFT JOIN cnt c USING (split, y_true, y_pred))
+SELECT split, y_true, y_pred, cnt,
+       round(CASE WHEN sum(cnt) OVER (PARTITION BY split, y_pred) > 0
+             THEN cnt / sum(cnt) OVER (PARTITION BY split, y_pred) ELSE 0.0 END, 6) AS share
+FROM full_""")
+def confusion_norm_pred(spark, sf_dir):
+    return rounded(metrics.confusion_normalized(fixed_scored(spark, sf_dir), ["split"]))
+
+
+# ----------------------------------------------------------------------------
+# Friedman on the events table (model = event_type, block = user_id)
+# ----------------------------------------------------------------------------
+_EVENTS_SQL = """
+ev AS (SELECT event_type AS model, user_id AS block, avg(value) AS value FROM events GROUP BY event_type, user_id),
+full_blocks AS (SELECT block FROM ev GROUP BY block
+                HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM ev)),
+mv AS (SELECT ev.* FROM ev JOIN full_blocks USING (block))"""
+
+
+def model_block_values(spark, sf_dir) -> DataFrame:
+    """(model, block, value) from events: mean value per (event_type, user);
+    blocks missing a model are left out (complete design)."""
+    ev = (spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", "user_id")
+          .agg(F.avg("value").alias("value"))
+          .select(F.col("event_type").alias("model"), F.col("user_id").alias("block"), "value"))
+    return CMP.complete_blocks(ev, "model", "block")
+
+
+@register("friedman", "WITH " + _EVENTS_SQL + """,
+rk AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY value) +
+                 CAST(count(*) OVER (PARTITION BY block, value) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS r FROM mv),
+sums AS (SELECT model, sum(r) AS rs, count(*) AS ng FROM rk GROUP BY model),
+kn AS (SELECT count(*) AS k, max(ng) AS n FROM sums),
+dev AS (SELECT sum(power(rs - n * (k + 1) / CAST(2.0 AS DOUBLE), 2)) AS dev, any_value(k) AS k, any_value(n) AS n
+        FROM sums CROSS JOIN kn),
+ties AS (SELECT sum(power(t, 3) - t) AS tie_sum FROM (SELECT block, r, count(*) AS t FROM rk GROUP BY block, r))
+SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n,
+       round(CAST(12.0 AS DOUBLE) * dev / (n * k * (k + 1) - tie_sum / (k - 1)), 6) AS statistic,
+       CAST(k - 1 AS BIGINT) AS df
+FROM dev CROSS JOIN ties""")
+def friedman(spark, sf_dir):
+    return rounded(CMP.friedman(model_block_values(spark, sf_dir), "model", "block", "value"))
