@@ -34,6 +34,7 @@ MAX_BUCKETS = 1 << 14
 #: hash buckets per group for the hash order (n / 2**bits rows per task).
 HASH_BITS = 12
 MAX_GROUPS = 1 << 16
+MAX_BROADCAST_ROWS = 1 << 22
 
 
 def hash_order(seed: int | str, key: str | Column) -> Column:
@@ -86,9 +87,14 @@ def _group_key(group_cols: list[str]) -> Column:
 
 
 def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col: str = "cnt",
-                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
+                 also: list[str] | None = None) -> DataFrame:
     """For distinct (group, value, cnt) rows add ``below`` (rows of the group with a
-    smaller value) and ``n`` (rows of the group). Average rank = below + (cnt+1)/2."""
+    smaller value) and ``n`` (rows of the group). Average rank = below + (cnt+1)/2.
+
+    ``also`` names further count columns whose prefix sums come out as
+    ``below_<name>`` (e.g. counts per class for Kendall's τ)."""
+    also = also or []
     dist = dist.persist()
     stats = dist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__nd"),
                                           F.sum(cnt_col).alias("n")).persist()
@@ -98,12 +104,14 @@ def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col
         raise ValueError(f"value_prefix: {n_groups} groups exceed the bound {MAX_GROUPS}")
     stats_b = F.broadcast(stats.drop("__nd"))  # bounded by MAX_GROUPS rows (checked above)
     buckets = 1
-    while buckets < max_nd / rows_per_bucket and buckets < max_buckets:
+    while buckets < max_nd / rows_per_bucket and buckets < max_buckets \
+            and n_groups * buckets * 2 <= MAX_BROADCAST_ROWS:
         buckets *= 2
     if buckets == 1:
         before = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(
             Window.unboundedPreceding, -1)
-        out = dist.withColumn("below", F.coalesce(F.sum(cnt_col).over(before), F.lit(0)))
+        out = dist.withColumns({("below" if c == cnt_col else f"below_{c}"):
+                                F.coalesce(F.sum(c).over(before), F.lit(0)) for c in [cnt_col, *also]})
         return out.join(stats_b, on=group_cols)
     # quantile cut points of the distinct values, per group (groups × buckets numbers)
     fracs = [i / buckets for i in range(1, buckets)]
@@ -122,16 +130,21 @@ def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col
         return pd.Series(out)
 
     d = dist.withColumn("__b", bucket_of(_group_key(group_cols), F.col(value_col).cast("double")))
-    btot = d.groupBy(*group_cols, "__b").agg(F.sum(cnt_col).alias("__bt"))
+    cols = [cnt_col, *also]
+    names = ["below" if c == cnt_col else f"below_{c}" for c in cols]
+    btot = d.groupBy(*group_cols, "__b").agg(*[F.sum(c).alias(f"__bt{i}") for i, c in enumerate(cols)])
     ob = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = btot.select(*group_cols, "__b", F.coalesce(F.sum("__bt").over(ob), F.lit(0)).alias("__off"))
-    # offsets: at most groups × buckets rows (both bounded above)
-    offsets = F.broadcast(offsets)
+    offsets = btot.select(*group_cols, "__b", *[F.coalesce(F.sum(f"__bt{i}").over(ob), F.lit(0)).alias(f"__off{i}")
+                                               for i in range(len(cols))])
+    # offsets: groups × buckets rows; broadcast only within the bound
+    if n_groups * buckets <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     before = Window.partitionBy(*group_cols, "__b").orderBy(value_col).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = (d.join(offsets, on=[*group_cols, "__b"])
-           .withColumn("below", F.col("__off") + F.coalesce(F.sum(cnt_col).over(before), F.lit(0)))
-           .drop("__b", "__off"))
+    out = d.join(offsets, on=[*group_cols, "__b"]).withColumns({
+        n: F.col(f"__off{i}") + F.coalesce(F.sum(c).over(before), F.lit(0))
+        for i, (c, n) in enumerate(zip(cols, names))})
+    out = out.drop("__b", *[f"__off{i}" for i in range(len(cols))])
     return out.join(stats_b, on=group_cols)
 
 

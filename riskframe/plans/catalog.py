@@ -351,3 +351,132 @@ SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n,
 FROM dev CROSS JOIN ties""")
 def friedman(spark, sf_dir):
     return rounded(CMP.friedman(model_block_values(spark, sf_dir), "model", "block", "value"))
+
+
+# ----------------------------------------------------------------------------
+# E: feature selection on the scaled training part
+# ----------------------------------------------------------------------------
+from ..operators import select as SEL  # noqa: E402
+
+_STAT_COLS = _NUMERIC  # static names, so the oracle text is fixed
+CLASSES = [1, 2, 3]
+
+
+def _train_scaled(spark, sf_dir):
+    return P.prepared_loans(spark, sf_dir).train()
+
+
+def _stats_ctes() -> str:
+    lr = " UNION ALL ".join(
+        f"SELECT loan_id, y, '{c}' AS feature, {i} AS pos, CAST({c} AS DOUBLE) AS value FROM tr"
+        for i, c in enumerate(_STAT_COLS))
+    cs = ", ".join(f"sum(CAST(y = {k} AS BIGINT)) AS c{i}" for i, k in enumerate(CLASSES))
+    bs = ", ".join(f"coalesce(sum(c{i}) OVER w, 0) AS b{i}" for i in range(len(CLASSES)))
+    nk = len(CLASSES)
+    conc = " + ".join(f"c{k} * ({' + '.join(f'b{j}' for j in range(k))})" for k in range(1, nk))
+    disc = " + ".join(f"c{k} * ({' + '.join(f'b{j}' for j in range(k + 1, nk))})" for k in range(nk - 1))
+    us = ", ".join(f"CAST(sum(c{i}) AS DOUBLE) AS u{i}" for i in range(nk))
+    ties_y = " + ".join(f"u{i} * (u{i} - 1) / 2" for i in range(nk))
+    vu = " + ".join(f"u{i} * (u{i} - 1) * (2 * u{i} + 5)" for i in range(nk))
+    u1 = " + ".join(f"u{i} * (u{i} - 1)" for i in range(nk))
+    u2 = " + ".join(f"u{i} * (u{i} - 1) * (u{i} - 2)" for i in range(nk))
+    return S.numeric_prepared_ctes(_NUMERIC) + f""",
+tr AS (SELECT * FROM scaled WHERE split = 'train'),
+lr AS ({lr}),
+rk AS (SELECT loan_id, feature, pos, rank() OVER (PARTITION BY feature ORDER BY value) +
+              CAST(count(*) OVER (PARTITION BY feature, value) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS r
+       FROM lr WHERE value IS NOT NULL),
+pr AS (SELECT a.feature AS col_i, b.feature AS col_j, count(*) AS n, sum(a.r) AS si, sum(b.r) AS sj,
+              sum(a.r * a.r) AS qi, sum(b.r * b.r) AS qj, sum(a.r * b.r) AS pij
+       FROM rk a JOIN rk b ON a.loan_id = b.loan_id AND a.pos > b.pos GROUP BY a.feature, b.feature),
+spear AS (SELECT col_i, col_j, (n * pij - si * sj) / sqrt((n * qi - si * si) * (n * qj - sj * sj)) AS rho, n FROM pr),
+kc AS (SELECT feature, value AS x, count(*) AS cnt, {cs} FROM lr WHERE value IS NOT NULL GROUP BY feature, value),
+kb AS (SELECT *, {bs} FROM kc WINDOW w AS (PARTITION BY feature ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kp AS (SELECT feature, CAST(sum({conc}) AS DOUBLE) AS C, CAST(sum({disc}) AS DOUBLE) AS D, sum(cnt) AS n,
+              sum(CAST(cnt AS DOUBLE) * (cnt - 1) / 2) AS ties_x,
+              sum(CAST(cnt AS DOUBLE) * (cnt - 1) * (2 * cnt + 5)) AS vt,
+              sum(CAST(cnt AS DOUBLE) * (cnt - 1)) AS t1, sum(CAST(cnt AS DOUBLE) * (cnt - 1) * (cnt - 2)) AS t2, {us}
+       FROM kb GROUP BY feature),
+ktau AS (SELECT feature, n,
+                (C - D) / sqrt((CAST(n AS DOUBLE) * (n - 1) / 2 - ties_x) * (CAST(n AS DOUBLE) * (n - 1) / 2 - ({ties_y}))) AS tau_b,
+                (C - D) / sqrt((CAST(n AS DOUBLE) * (n - 1) * (2 * n + 5) - vt - ({vu})) / 18
+                               + t1 * ({u1}) / (2 * CAST(n AS DOUBLE) * (n - 1))
+                               + t2 * ({u2}) / (9 * CAST(n AS DOUBLE) * (n - 1) * (n - 2))) AS z
+         FROM kp)"""
+
+
+@register("spearman_matrix", "WITH " + _stats_ctes() + "\nSELECT col_i, col_j, round(rho, 6) AS rho, n FROM spear")
+def spearman_matrix(spark, sf_dir):
+    return rounded(SEL.spearman_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id"))
+
+
+@register("corr_pairs_above", "WITH " + _stats_ctes() +
+          "\nSELECT col_i, col_j, round(rho, 6) AS rho FROM spear WHERE abs(rho) > 0.5")
+def corr_pairs_above(spark, sf_dir):
+    pairs = SEL.spearman_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id")
+    return rounded(SEL.pairs_above(pairs, 0.5).select("col_i", "col_j", "rho"))
+
+
+@register("spearman_t", "WITH " + _stats_ctes() + """
+SELECT col_i, col_j, round(rho, 6) AS rho, round(CASE WHEN abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END, 6) AS t, n
+FROM spear""")
+def spearman_t(spark, sf_dir):
+    pairs = SEL.spearman_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id")
+    t = F.when(F.abs(F.col("rho")) < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("rho") * F.col("rho"))))
+    return rounded(pairs.withColumn("t", t).select("col_i", "col_j", "rho", "t", "n"))
+
+
+@register("spearman_pvalues")
+def spearman_pvalues(spark, sf_dir):
+    """E2 with p-values (t tail): pairs with p < 0.05 (rows-only; p needs the t tail)."""
+    pairs = SEL.spearman_t(SEL.spearman_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id"))
+    return rounded(SEL.with_t_pvalue(pairs).where(F.col("p_value") < 0.05))
+
+
+@register("corr_degree", "WITH " + _stats_ctes() + """,
+strong AS (SELECT col_i, col_j FROM spear WHERE abs(rho) > 0.5)
+SELECT "column", count(*) AS degree FROM (SELECT col_i AS "column" FROM strong UNION ALL SELECT col_j FROM strong)
+GROUP BY "column\"""")
+def corr_degree(spark, sf_dir):
+    pairs = SEL.spearman_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id")
+    return SEL.corr_degree(pairs, 0.5)
+
+
+@register("kendall_y", "WITH " + _stats_ctes() + "\nSELECT feature, n, round(tau_b, 6) AS tau_b, round(z, 6) AS z FROM ktau")
+def kendall_y(spark, sf_dir):
+    return rounded(SEL.kendall_with_label(_train_scaled(spark, sf_dir), _STAT_COLS, "y", CLASSES))
+
+
+@register("kendall_y_pvalues")
+def kendall_y_pvalues(spark, sf_dir):
+    """E3 + E7: τ-b, z, p per column and whether it is unrelated to y (p ≥ 0.05)."""
+    k = SEL.with_normal_p(SEL.kendall_with_label(_train_scaled(spark, sf_dir), _STAT_COLS, "y", CLASSES))
+    return rounded(k.withColumn("unrelated", F.col("p_value") >= 0.05))
+
+
+@register("drop_correlated", "WITH " + _stats_ctes() + """,
+strong AS (SELECT col_i AS a, col_j AS b FROM spear WHERE abs(rho) > 0.5
+           UNION ALL SELECT col_j, col_i FROM spear WHERE abs(rho) > 0.5),
+j AS (SELECT s.a, s.b, abs(ta.tau_b) AS ta, abs(tb.tau_b) AS tb FROM strong s
+      JOIN ktau ta ON ta.feature = s.a JOIN ktau tb ON tb.feature = s.b)
+SELECT DISTINCT a AS "column" FROM j WHERE tb > ta OR (tb = ta AND b < a)""")
+def drop_correlated(spark, sf_dir):
+    tr = _train_scaled(spark, sf_dir).persist()
+    pairs = SEL.spearman_pairs(tr, _STAT_COLS, "loan_id")
+    tau = SEL.kendall_with_label(tr, _STAT_COLS, "y", CLASSES)
+    return SEL.correlated_to_drop(pairs, tau, 0.5)
+
+
+MI_BINS = 10
+
+
+@register("mutual_info_binned", "WITH " + _stats_ctes() + f""",
+lb AS (SELECT feature, y, CAST(floor((rank() OVER (PARTITION BY feature ORDER BY value) - 1) * {MI_BINS}
+              / CAST(count(*) OVER (PARTITION BY feature) AS DOUBLE)) AS INTEGER) AS bin FROM lr WHERE value IS NOT NULL),
+ct AS (SELECT feature, bin, y, count(*) AS nby FROM lb GROUP BY ALL),
+c2 AS (SELECT *, sum(nby) OVER (PARTITION BY feature) AS n, sum(nby) OVER (PARTITION BY feature, bin) AS nb,
+              sum(nby) OVER (PARTITION BY feature, y) AS ny FROM ct)
+SELECT feature, round(sum((CAST(nby AS DOUBLE) / n) * ln(CAST(nby AS DOUBLE) * n / (nb * ny))), 6) AS mutual_info
+FROM c2 GROUP BY feature""")
+def mutual_info_binned(spark, sf_dir):
+    return rounded(SEL.mutual_info_binned(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_BINS))
