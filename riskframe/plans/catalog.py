@@ -480,3 +480,189 @@ SELECT feature, round(sum((CAST(nby AS DOUBLE) / n) * ln(CAST(nby AS DOUBLE) * n
 FROM c2 GROUP BY feature""")
 def mutual_info_binned(spark, sf_dir):
     return rounded(SEL.mutual_info_binned(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_BINS))
+
+
+# ----------------------------------------------------------------------------
+# F: choice design; H7/H8/J2 with fixed β
+# ----------------------------------------------------------------------------
+from ..operators import design as DS  # noqa: E402
+
+PRESETS = {  # F2 presets over the fixed-β numeric inputs (static names)
+    "MNL": DS.ModelSpec("MNL", FIXED_FEATURES, []),
+    "H1": DS.ModelSpec("H1", FIXED_FEATURES[:4], FIXED_FEATURES[4:]),
+    "H2": DS.ModelSpec("H2", FIXED_FEATURES[:2], FIXED_FEATURES[2:]),
+    "H3": DS.ModelSpec("H3", FIXED_FEATURES[:1], FIXED_FEATURES[1:]),
+}
+
+
+def _choice_long_sql() -> str:
+    parts = []
+    for term, alt, col in DS.design_terms(FIXED_FEATURES, CLASSES):
+        val = "CAST(1.0 AS DOUBLE)" if col is None else f"CAST({col} AS DOUBLE)"
+        parts.append(f"SELECT loan_id, {alt} AS alt, CAST(y = {alt} AS INTEGER) AS chosen, '{term}' AS term, "
+                     f"round({val}, 6) AS value FROM tr")
+    return "WITH " + S.numeric_prepared_ctes(_NUMERIC) + ",\ntr AS (SELECT * FROM scaled WHERE split = 'train')\n" + \
+        " UNION ALL ".join(parts)
+
+
+@register("choice_long", _choice_long_sql())
+def choice_long(spark, sf_dir):
+    tr = _train_scaled(spark, sf_dir)
+    return rounded(DS.choice_long(tr, "loan_id", "y", FIXED_FEATURES, CLASSES))
+
+
+@register("design_counts", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + ",\n" +
+          "tr AS (SELECT count(*) AS n_rows FROM scaled WHERE split = 'train')\n" + " UNION ALL ".join(
+              f"SELECT '{k}' AS preset, {len(v.wide)} AS n_wide, {len(v.deep)} AS n_deep, {v.n_beta()} AS n_beta, "
+              f"n_rows, n_rows * {v.n_beta()} AS design_cells FROM tr" for k, v in PRESETS.items()))
+def design_counts(spark, sf_dir):
+    n_rows = _train_scaled(spark, sf_dir).groupBy().agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = [F.struct(F.lit(k).alias("preset"), F.lit(len(v.wide)).alias("n_wide"),
+                     F.lit(len(v.deep)).alias("n_deep"), F.lit(v.n_beta()).alias("n_beta")) for k, v in PRESETS.items()]
+    d = n_rows.select("n_rows", F.explode(F.array(*rows)).alias("p"))
+    return d.select("p.preset", "p.n_wide", "p.n_deep", "p.n_beta", "n_rows",
+                    (F.col("n_rows") * F.col("p.n_beta")).alias("design_cells"))
+
+
+@register("bind_by_key", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + """
+SELECT s.loan_id, s.y, round(s.installment, 6) AS installment, c.purpose
+FROM scaled s JOIN cleaned c ON s.loan_id = c.loan_id WHERE s.split = 'test'""")
+def bind_by_key(spark, sf_dir):
+    x = P.prepared_loans(spark, sf_dir).test().select("loan_id", "y", "installment")
+    other = P.cleaned_loans(spark, sf_dir).select("loan_id", "purpose")
+    return rounded(DS.bind_by_key(x, other, "loan_id"))
+
+
+def _fixed_terms() -> list[str]:
+    return [f"{t}|y={k}" for k in CLASSES[1:] for t in ["const"] + FIXED_FEATURES]
+
+
+def _info_sql() -> str:
+    feats = ["const"] + FIXED_FEATURES
+    xs = " UNION ALL ".join(
+        f"SELECT loan_id, {i} AS j, '{f}' AS term, {'CAST(1.0 AS DOUBLE)' if f == 'const' else f} AS x FROM trs"
+        for i, f in enumerate(feats))
+    cls = " UNION ALL ".join(
+        f"SELECT loan_id, {a} AS a, {b} AS b, prob_c{a} * ({1.0 if a == b else 0.0} - prob_c{b}) AS w FROM trs"
+        for a in CLASSES[1:] for b in CLASSES[1:])
+    return "WITH " + fixed_scored_sql() + f""",
+trs AS (SELECT s.*, sc.installment, sc.revol_bal, sc.emp_length, sc.sub_grade, sc.int_rate, sc.dti
+        FROM scored s JOIN scaled sc USING (loan_id) WHERE s.split = 'train'),
+xl AS ({xs}),
+wl AS ({cls})
+SELECT xi.term || '|y=' || CAST(w.a AS VARCHAR) AS row_term, xj.term || '|y=' || CAST(w.b AS VARCHAR) AS col_term,
+       round(sum(xi.x * xj.x * w.w), 6) AS value
+FROM wl w JOIN xl xi ON xi.loan_id = w.loan_id JOIN xl xj ON xj.loan_id = w.loan_id
+GROUP BY ALL"""
+
+
+@register("info_matrix_fixed", _info_sql())
+def info_matrix_fixed(spark, sf_dir):
+    from ..models.mnl import information_at
+    import numpy as np
+    tr = P.prepared_loans(spark, sf_dir).train()
+    beta = np.array([FIXED_BETA[k] for k in CLASSES[1:]])
+    _, _, info, _ = information_at(tr, FIXED_FEATURES, beta)
+    terms = _fixed_terms()
+    rows = [(terms[i], terms[j], float(info[i, j])) for i in range(len(terms)) for j in range(len(terms))]
+    # the information matrix is d×d (d = (p+1)(K−1)), independent of the row count
+    return rounded(spark.createDataFrame(rows, "row_term string, col_term string, value double"))
+
+
+@register("loglik_fixed", "WITH " + fixed_scored_sql() + """,
+b AS (SELECT split, count(*) AS n,
+             sum(ln(CASE y WHEN 1 THEN prob_c1 WHEN 2 THEN prob_c2 ELSE prob_c3 END)) AS loglik,
+             avg(CAST(y = pred AS DOUBLE)) * 100 AS accuracy_pct FROM scored GROUP BY split)
+SELECT split, n, round(loglik, 6) AS loglik, round(accuracy_pct, 6) AS accuracy_pct FROM b""")
+def loglik_fixed(spark, sf_dir):
+    return rounded(metrics.log_likelihood(fixed_scored(spark, sf_dir), ["split"]))
+
+
+N_FIXED_PARAMS = sum(1 for k in CLASSES[1:] for b in FIXED_BETA[k] if b != 0)
+
+
+@register("bic", "WITH " + fixed_scored_sql() + f""",
+b AS (SELECT split, count(*) AS n,
+             sum(ln(CASE y WHEN 1 THEN prob_c1 WHEN 2 THEN prob_c2 ELSE prob_c3 END)) AS loglik FROM scored GROUP BY split)
+SELECT split, n, {N_FIXED_PARAMS} AS n_params, round(-2 * loglik + ln(n) * {N_FIXED_PARAMS}, 6) AS bic FROM b""")
+def bic(spark, sf_dir):
+    ll = metrics.log_likelihood(fixed_scored(spark, sf_dir), ["split"])
+    return rounded(ll.select("split", "n", F.lit(N_FIXED_PARAMS).alias("n_params"),
+                             (F.lit(-2.0) * F.col("loglik") + F.log(F.col("n")) * F.lit(N_FIXED_PARAMS)).alias("bic")))
+
+
+# ----------------------------------------------------------------------------
+# J5-J7 with fixed β on the scaled training part
+# ----------------------------------------------------------------------------
+from ..operators import explain as EX  # noqa: E402
+
+WHATIF_FEATURE = "installment"
+WHATIF_STEPS = 100
+WHATIF_RANGE = (-0.3, 0.3)
+PD_STEPS = 20
+PD_RANGE = (0.0, 1.0)
+
+
+def _whatif_sql(kind: str) -> str:
+    lo, hi = WHATIF_RANGE if kind != "pd" else PD_RANGE
+    n = WHATIF_STEPS if kind != "pd" else PD_STEPS
+    step = f"CAST({(hi - lo) / (n - 1)!r} AS DOUBLE)"
+    point = f"(CAST({float(lo)!r} AS DOUBLE) + CAST(g.step AS DOUBLE) * {step})"
+
+    def util(k, override):
+        b = FIXED_BETA[k]
+        expr = f"CAST({float(b[0])!r} AS DOUBLE)"
+        for f, c in zip(FIXED_FEATURES, b[1:]):
+            x = override if f == WHATIF_FEATURE and override else f"t.{f}"
+            expr = f"{expr} + CAST({float(c)!r} AS DOUBLE) * {x}"
+        return f"({expr})"
+    if kind == "pd":
+        new = {k: ("CAST(0.0 AS DOUBLE)" if k == 1 else util(k, point)) for k in CLASSES}
+        sel = ", ".join(f"avg({new[k]}) AS c{k}" for k in CLASSES)
+        body = f"SELECT g.step, {point} AS point, {sel} FROM tr t CROSS JOIN range({n}) g(step) GROUP BY g.step"
+        return ("WITH " + S.numeric_prepared_ctes(_NUMERIC) + ",\ntr AS (SELECT * FROM scaled WHERE split = 'train'),\n"
+                f"a AS ({body})\n" + " UNION ALL ".join(
+                    f"SELECT step, round(point, 6) AS point, {k} AS cls, round(c{k}, 6) AS mean_utility FROM a"
+                    for k in CLASSES))
+    scaled_x = f"(t.{WHATIF_FEATURE} * (CAST(1.0 AS DOUBLE) + {point}))"
+    base = {k: ("CAST(0.0 AS DOUBLE)" if k == 1 else util(k, None)) for k in CLASSES}
+    new = {k: ("CAST(0.0 AS DOUBLE)" if k == 1 else util(k, scaled_x)) for k in CLASSES}
+    if kind == "sens":
+        sel = ", ".join(f"avg({new[k]} - {base[k]}) AS c{k}" for k in CLASSES)
+        body = f"SELECT g.step, {point} AS point, {sel} FROM tr t CROSS JOIN range({n}) g(step) GROUP BY g.step"
+        return ("WITH " + S.numeric_prepared_ctes(_NUMERIC) + ",\ntr AS (SELECT * FROM scaled WHERE split = 'train'),\n"
+                f"a AS ({body})\n" + " UNION ALL ".join(
+                    f"SELECT step, round(point, 6) AS point, {k} AS cls, round(c{k}, 6) AS mean_change FROM a"
+                    for k in CLASSES))
+    bu = ", ".join(f"{base[k]} AS bu{k}" for k in CLASSES)
+    nu = ", ".join(f"{new[k]} AS nu{k}" for k in CLASSES)
+    bp = S.argmax_sql([f"bu{k}" for k in CLASSES], CLASSES)
+    npred = S.argmax_sql([f"nu{k}" for k in CLASSES], CLASSES)
+    sel = ", ".join(f"sum(CAST(np = {k} AS BIGINT)) - sum(CAST(bp = {k} AS BIGINT)) AS c{k}" for k in CLASSES)
+    return ("WITH " + S.numeric_prepared_ctes(_NUMERIC) + f""",
+tr AS (SELECT * FROM scaled WHERE split = 'train'),
+u AS (SELECT g.step, {point} AS point, {bu}, {nu} FROM tr t CROSS JOIN range({n}) g(step)),
+pr AS (SELECT step, point, {bp} AS bp, {npred} AS np FROM u),
+a AS (SELECT step, point, {sel} FROM pr GROUP BY step, point)
+""" + " UNION ALL ".join(f"SELECT step, round(point, 6) AS point, {k} AS cls, c{k} AS change FROM a" for k in CLASSES))
+
+
+@register("share_elasticity", _whatif_sql("elast"))
+def share_elasticity(spark, sf_dir):
+    tr = _train_scaled(spark, sf_dir)
+    return rounded(EX.share_elasticity(tr, FIXED_FEATURES, FIXED_BETA, WHATIF_FEATURE, *WHATIF_RANGE,
+                                       WHATIF_STEPS, CLASSES).withColumn("step", F.col("step").cast("long")))
+
+
+@register("utility_sensitivity", _whatif_sql("sens"))
+def utility_sensitivity(spark, sf_dir):
+    tr = _train_scaled(spark, sf_dir)
+    return rounded(EX.utility_sensitivity(tr, FIXED_FEATURES, FIXED_BETA, WHATIF_FEATURE, *WHATIF_RANGE,
+                                          WHATIF_STEPS, CLASSES).withColumn("step", F.col("step").cast("long")))
+
+
+@register("partial_dependence", _whatif_sql("pd"))
+def partial_dependence(spark, sf_dir):
+    tr = _train_scaled(spark, sf_dir)
+    return rounded(EX.partial_dependence(tr, FIXED_FEATURES, FIXED_BETA, WHATIF_FEATURE, *PD_RANGE,
+                                         PD_STEPS, CLASSES).withColumn("step", F.col("step").cast("long")))
