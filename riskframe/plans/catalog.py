@@ -666,3 +666,293 @@ def partial_dependence(spark, sf_dir):
     tr = _train_scaled(spark, sf_dir)
     return rounded(EX.partial_dependence(tr, FIXED_FEATURES, FIXED_BETA, WHATIF_FEATURE, *PD_RANGE,
                                          PD_STEPS, CLASSES).withColumn("step", F.col("step").cast("long")))
+
+
+# ----------------------------------------------------------------------------
+# G / H9-H11 / J3-J4 / J8: fitted models (rows-only: iterative fits)
+# ----------------------------------------------------------------------------
+from ..models import hybrid as HY  # noqa: E402
+from ..models.mnl import fit_mnl  # noqa: E402
+from ..models.ordered import brant_test, fit_ordered  # noqa: E402
+from . import crossval as CV  # noqa: E402
+
+HYBRID_EPOCHS = 20       # the reference runs 50-100; rounds are a declared parameter
+GRID_EPOCHS = 5
+HIDDEN = 16
+DNN_HIDDEN = 40
+
+
+def _presets(feats: list[str]) -> dict:
+    """H1-like split of the model inputs: the first 8 linear, the rest to the net."""
+    return {"H1": (feats[:8], feats[8:])}
+
+
+@register("mnl_coefs")
+def mnl_coefs(spark, sf_dir):
+    """G1: Newton ML multinomial logit on the training part: (equation, term, estimate)."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    r = fit_mnl(p.train(), p.model_features)
+    return r.coef_table(spark).select("equation", "term", "estimate")
+
+
+@register("coef_table")
+def coef_table(spark, sf_dir):
+    """Coefficients with standard errors, z, p and 95% CI (MNL and ordered logit)."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    tr = p.train()
+    a = fit_mnl(tr, p.model_features).coef_table(spark, "MNL")
+    b = fit_ordered(tr, p.model_features).coef_table(spark, "CumOrdLogit")
+    return a.unionByName(b)
+
+
+@register("mnl_l2")
+def mnl_l2(spark, sf_dir):
+    """L2-penalised multinomial logit (C = 1) via MLlib: coefficients per class."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    f = CV.MNLRidge(p.model_features).fit(p.train())
+    cm, icp = f.detail
+    rows = [(f"y={k}", t, float(v)) for ci, k in enumerate(CLASSES)
+            for t, v in zip(["const"] + p.model_features, [icp[ci], *cm[ci]])]
+    return spark.createDataFrame(rows, "equation string, term string, estimate double")
+
+
+@register("mnl_shared_beta")
+def mnl_shared_beta(spark, sf_dir):
+    """The same MNL likelihood trained by data-parallel Adam (the
+    reference's linear-in-parameters network), started from Newton's
+    estimates shrunk to half (start values)."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    tr = p.train().persist()
+    newton = fit_mnl(tr, p.model_features)
+    spec = HY.HybridSpec(p.model_features, [], classes=CLASSES)
+    r = HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS, init_beta=newton.beta * 0.5)
+    beta = r.weights()["beta"]
+    rows = [(f"y={k}", t, float(beta[a, j]), float(newton.beta[a, j]))
+            for a, k in enumerate(CLASSES[1:]) for j, t in enumerate(["const"] + p.model_features)]
+    return spark.createDataFrame(rows, "equation string, term string, estimate double, newton double")
+
+
+@register("ordered_logit_coefs")
+def ordered_logit_coefs(spark, sf_dir):
+    """Cumulative logit coefficients and thresholds."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    return fit_ordered(p.train(), p.model_features).coef_table(spark).select("equation", "term", "estimate",
+                                                                             "std_err")
+
+
+@register("brant")
+def brant(spark, sf_dir):
+    """Equal-slopes (proportional odds) test from K−1 binary logits."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    rows = brant_test(p.train(), p.model_features)
+    return spark.createDataFrame([(a, float(b), int(c), float(d)) for a, b, c, d in rows],
+                                 "term string, chi2 double, df int, p_value double")
+
+
+@register("hybrid_logit_scores")
+def hybrid_logit_scores(spark, sf_dir):
+    """G4 + H10: hybrid logit (8 linear inputs, the rest through 16 ReLU units),
+    fitted on train, scored on test."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    w, d = _presets(p.model_features)["H1"]
+    return CV.holdout(p.data, [CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="LMNL_H1_16N")])
+
+
+@register("dense_net_scores")
+def dense_net_scores(spark, sf_dir):
+    """G5 + H10: dense net (40 ReLU units, dropout 0.2) on all inputs."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    return CV.holdout(p.data, [CV.HybridNet(None, p.model_features, DNN_HIDDEN, epochs=HYBRID_EPOCHS,
+                                            name="DNN")])
+
+
+@register("holdout_scores")
+def holdout_scores(spark, sf_dir):
+    """Every model fitted on train and scored on test, one metric table."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    f = p.model_features
+    w, d = _presets(f)["H1"]
+    ests = [CV.MNLNewton(f), CV.MNLRidge(f), CV.OrderedLogit(f),
+            CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="LMNL_H1_16N"),
+            CV.HybridNet(None, f, DNN_HIDDEN, epochs=HYBRID_EPOCHS, name="DNN")]
+    return CV.holdout(p.data.persist(), ests)
+
+
+@register("cv_scores")
+def cv_scores(spark, sf_dir):
+    """H9: stratified 5-fold CV on the training part (MNL and ordered logit)."""
+    p = P.prepared_loans(spark, sf_dir, folds=True)
+    tr = p.data.where(F.col("split") == "train")
+    return CV.cross_validate(tr, [CV.MNLNewton(p.model_features), CV.OrderedLogit(p.model_features)],
+                             L.VIEW_FOLDS)
+
+
+@register("size_grid")
+def size_grid(spark, sf_dir):
+    """Network size grid (16/32/40 units) × preset, 5-fold CV on train."""
+    p = P.prepared_loans(spark, sf_dir, folds=True)
+    tr = p.data.where(F.col("split") == "train")
+    return CV.grid(tr, _presets(p.model_features), [16, 32, 40], L.VIEW_FOLDS, GRID_EPOCHS)
+
+
+def _fitted_hybrid(spark, sf_dir):
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    w, d = _presets(p.model_features)["H1"]
+    spec = HY.HybridSpec(w, d, HIDDEN, classes=CLASSES)
+    tr = p.train()
+    return p, tr, HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS)
+
+
+@register("training_history")
+def training_history(spark, sf_dir):
+    """Per-epoch training loss and accuracy of the hybrid logit."""
+    _, _, r = _fitted_hybrid(spark, sf_dir)
+    return spark.createDataFrame(r.history, "epoch int, loss double, accuracy double")
+
+
+@register("hybrid_coef_table")
+def hybrid_coef_table(spark, sf_dir):
+    """J1-J3 for the hybrid: β with standard errors from the information matrix
+    of β given the network (network weights held fixed, as the reference)."""
+    import numpy as np
+    from ..functions.tails import normal_sf
+    p, tr, r = _fitted_hybrid(spark, sf_dir)
+    info = HY.hybrid_beta_information(tr, r)
+    cov = np.linalg.inv(info)
+    beta = r.weights()["beta"]
+    se = np.sqrt(np.clip(np.diag(cov), 0, None)).reshape(beta.shape)
+    terms = ["const"] + r.spec.wide
+    rows = []
+    for a, k in enumerate(CLASSES[1:]):
+        for j, t in enumerate(terms):
+            z = beta[a, j] / se[a, j] if se[a, j] > 0 else float("nan")
+            rows.append((f"y={k}", t, float(beta[a, j]), float(se[a, j]), float(z), 2 * normal_sf(abs(z))))
+    return spark.createDataFrame(rows, "equation string, term string, estimate double, std_err double, "
+                                       "z double, p_value double")
+
+
+@register("saliency")
+def saliency(spark, sf_dir):
+    """Input gradients of the label-class utility, aggregated per input and class."""
+    p, tr, r = _fitted_hybrid(spark, sf_dir)
+    return EX.saliency(p.test(), r)
+
+
+@register("counterfactual_inputs")
+def counterfactual_inputs(spark, sf_dir):
+    """Per test row, 10 gradient steps on the network inputs toward class 3."""
+    p, tr, r = _fitted_hybrid(spark, sf_dir)
+    return EX.counterfactual_inputs(p.test(), r, target=3, steps=10, rate=0.1, keep=["loan_id", "y"])
+
+
+@register("nonzero_params")
+def nonzero_params(spark, sf_dir):
+    """Nonzero parameter count per weight block of the hybrid logit."""
+    import numpy as np
+    _, _, r = _fitted_hybrid(spark, sf_dir)
+    rows = [(name, int(np.prod(sh)), int(np.count_nonzero(w)))
+            for (name, sh), w in zip(r.spec.shapes(), r.weights().values())]
+    return spark.createDataFrame(rows, "block string, size int, nonzero int")
+
+
+# ----------------------------------------------------------------------------
+# H12 / H13 / I2 / I3
+# ----------------------------------------------------------------------------
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+
+EXT_FOLD_SEED = 30
+
+
+def _external_sql() -> str:
+    basic, auc = S.metrics_select("ext", ["fold"])
+    return "WITH " + fixed_scored_sql() + f""",
+ext AS (SELECT *, CAST(({S.hash_rank_sql(EXT_FOLD_SEED)} - 1) % {L.VIEW_FOLDS} + 1 AS INTEGER) AS fold FROM scored),
+basic AS ({basic}), auc AS ({auc}),
+res AS (SELECT * FROM basic JOIN auc USING (fold))
+""" + rsql(["fold"] + _MET_COLS[1:], _MET_DBL, "res")
+
+
+@register("external_scores", _external_sql())
+def external_scores(spark, sf_dir):
+    """H12 with A4/A2: predictions (with a fold column) are written partitioned
+    by fold to the session's checkpoint folder, read back as an outside
+    prediction file and scored per fold in one pass."""
+    import uuid
+    scored = SP.stratified_kfold(fixed_scored(spark, sf_dir), "y", "loan_id", L.VIEW_FOLDS, EXT_FOLD_SEED)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    TB.write_predictions(scored.withColumn("model", F.lit("fixed")), path)
+    back = TB.read_predictions(spark, path)
+    m = metrics.classification_scores(back, ["fold"])
+    return rounded(m.select("fold", *_MET_COLS[1:]))
+
+
+_MRANK_SQL = """
+evf AS (SELECT event_type AS model, value,
+               CAST((row_number() OVER (PARTITION BY event_type ORDER BY md5('{seed}|' || CAST(event_id AS VARCHAR)), event_id) - 1)
+                    % {k} + 1 AS INTEGER) AS fold FROM events),
+mt AS (SELECT model, fold, 'mean_value' AS metric, avg(value) AS value FROM evf GROUP BY model, fold
+       UNION ALL SELECT model, fold, 'max_value', max(value) FROM evf GROUP BY model, fold
+       UNION ALL SELECT model, fold, 'min_value', min(value) FROM evf GROUP BY model, fold)"""
+MRANK_HIGHER_BETTER = {"mean_value": True, "max_value": True, "min_value": False}
+
+
+def metric_table(spark, sf_dir) -> DataFrame:
+    """(model, metric, fold, value) from events: folds by a stratified hash of event_id."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+    f = SP.stratified_kfold(ev, "event_type", "event_id", L.VIEW_FOLDS, EXT_FOLD_SEED)
+    agg = f.groupBy(F.col("event_type").alias("model"), "fold").agg(
+        F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.min("value").alias("min_value"))
+    return agg.unpivot(["model", "fold"], list(MRANK_HIGHER_BETTER), "metric", "value")
+
+
+@register("metric_mean_rank", "WITH " + _MRANK_SQL.format(seed=EXT_FOLD_SEED, k=L.VIEW_FOLDS) + """,
+keyed AS (SELECT *, CASE WHEN metric IN ('mean_value', 'max_value') THEN -value ELSE value END AS key FROM mt),
+rk AS (SELECT *, rank() OVER (PARTITION BY metric, fold ORDER BY key) +
+                 CAST(count(*) OVER (PARTITION BY metric, fold, key) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS r FROM keyed)
+SELECT model, metric, round(avg(r), 6) AS mean_rank FROM rk GROUP BY model, metric""")
+def metric_mean_rank(spark, sf_dir):
+    """Models ranked per (metric, fold) (1 = best), averaged over folds."""
+    return rounded(CMP.metric_mean_rank(metric_table(spark, sf_dir), "model", "metric", "fold", "value",
+                                        MRANK_HIGHER_BETTER))
+
+
+@register("pairwise_ranksum", "WITH " + _EVENTS_SQL + """,
+models AS (SELECT DISTINCT model FROM mv),
+pairs AS (SELECT a.model AS model_a, b.model AS model_b FROM models a JOIN models b ON a.model < b.model),
+routed AS (SELECT p.model_a, p.model_b, mv.value AS v, CAST(mv.model = p.model_a AS INTEGER) AS is_a
+           FROM pairs p JOIN mv ON mv.model = p.model_a OR mv.model = p.model_b),
+rk AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY v) +
+                 CAST(count(*) OVER (PARTITION BY model_a, model_b, v) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS r
+       FROM routed),
+ts AS (SELECT model_a, model_b, sum(power(c, 3) - c) AS tie_sum FROM
+       (SELECT model_a, model_b, v, count(*) AS c FROM routed GROUP BY ALL) GROUP BY ALL),
+st AS (SELECT model_a, model_b, sum(is_a * r) AS r_a, sum(is_a) AS n_a, count(*) AS n FROM rk GROUP BY ALL),
+w AS (SELECT st.*, ts.tie_sum, n - n_a AS n_b, r_a - CAST(n_a * (n_a + 1) AS DOUBLE) / CAST(2.0 AS DOUBLE) AS w
+      FROM st JOIN ts USING (model_a, model_b))
+SELECT model_a, model_b, round(w, 6) AS w, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b,
+       round(tie_sum, 6) AS tie_sum,
+       round((w - n_a * n_b / CAST(2.0 AS DOUBLE) - sign(w - n_a * n_b / CAST(2.0 AS DOUBLE)) * 0.5) /
+             sqrt(n_a * n_b / CAST(12.0 AS DOUBLE) * ((n + 1) - tie_sum / (n * (n - 1)))), 6) AS z
+FROM w""")
+def pairwise_ranksum(spark, sf_dir):
+    """Rank-sum W and corrected z for every pair of event types (values:
+    mean value per user)."""
+    mv = model_block_values(spark, sf_dir)
+    return rounded(CMP.pairwise_ranksum(mv, "model", "value"))
+
+
+@register("bh_adjust")
+def bh_adjust(spark, sf_dir):
+    """I2 p-values (normal / exact) and I3 Benjamini-Hochberg adjustment."""
+    mv = model_block_values(spark, sf_dir)
+    st = CMP.ranksum_p(CMP.pairwise_ranksum(mv, "model", "value"))
+    return rounded(CMP.bh_adjust(st, "p_value", "p_adj"))
+
+
+@register("friedman_test")
+def friedman_test(spark, sf_dir):
+    """I1 with the χ² p-value and the per-model rank sums."""
+    mv = model_block_values(spark, sf_dir)
+    fr = CMP.with_p(CMP.friedman(mv, "model", "block", "value"))
+    return rounded(fr)

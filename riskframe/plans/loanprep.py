@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, prep, split
+from ..session import cut_lineage
 from ..sources import loans as L
 
 #: seeds of the view's pipeline (down-sample, split, folds).
@@ -70,8 +71,12 @@ class Prepared:
         return self.data.where(F.col("split") == "test")
 
 
-def prepared_loans(spark: SparkSession, sf_dir: str, scale: bool = True, folds: bool = False) -> Prepared:
-    """D1-D7 fitted on the training part and applied to both parts."""
+def prepared_loans(spark: SparkSession, sf_dir: str, scale: bool = True, folds: bool = False,
+                   materialize: bool = False) -> Prepared:
+    """D1-D7 fitted on the training part and applied to both parts.
+
+    ``materialize`` writes the result to the checkpoint folder (lineage cut)
+    for iterative consumers such as the fitters."""
     s = split_loans(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = s.where(F.col("split") == "train")
     tspec = prep.fit_transformer(train, L.VIEW_MEDIAN_COLUMNS, L.VIEW_ORDINAL_COLUMNS,
@@ -87,4 +92,6 @@ def prepared_loans(spark: SparkSession, sf_dir: str, scale: bool = True, folds:
                                     L.VIEW_FOLDS, FOLD_SEED)
         te = enc.where(F.col("split") == "test").withColumn("fold", F.lit(0))
         enc = tr.unionByName(te)
+    if materialize:
+        enc = cut_lineage(enc)
     return Prepared(enc, feats, tspec, sspec)
