@@ -31,8 +31,9 @@ from ..session import broadcast_if_small
 #: distinct values handled by one window task before the value range is cut.
 ROWS_PER_BUCKET = 1 << 21
 MAX_BUCKETS = 1 << 14
-#: hash buckets per group for the hash order (n / 2**bits rows per task).
-HASH_BITS = 12
+#: hash buckets per group for the hash order (n / 2**bits rows per window
+#: group: 1e12 rows in 3 classes -> ~5e6 rows per group at 16 bits).
+HASH_BITS = 16
 MAX_GROUPS = 1 << 16
 MAX_BROADCAST_ROWS = 1 << 22
 
@@ -61,7 +62,7 @@ def rank_by_hash(df: DataFrame, group_cols: list[str], key_col: str, seed: int |
         F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__off"),
         F.sum("__bn").over(Window.partitionBy(*group_cols)).alias(size_col),
     ).persist()
-    offsets = broadcast_if_small(offsets, max_rows=MAX_GROUPS << bits)
+    offsets = broadcast_if_small(offsets, max_rows=MAX_BROADCAST_ROWS)
     within = Window.partitionBy(*group_cols, "__b").orderBy("__h", key_col)
     return (d.join(offsets, on=[*group_cols, "__b"], how="inner")
             .withColumn(rank_col, (F.col("__off") + F.row_number().over(within)).cast("long"))

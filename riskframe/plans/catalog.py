@@ -956,3 +956,109 @@ def friedman_test(spark, sf_dir):
     mv = model_block_values(spark, sf_dir)
     fr = CMP.with_p(CMP.friedman(mv, "model", "block", "value"))
     return rounded(fr)
+
+
+# ----------------------------------------------------------------------------
+# A1/A3/A7, C4, D2, D10, G6-G8 and stream scoring
+# ----------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+LOAN_CSV_SCHEMA = T.StructType([
+    T.StructField("loan_id", T.LongType()), T.StructField("loan_status", T.StringType()),
+    T.StructField("sub_grade", T.StringType()), T.StructField("purpose", T.StringType()),
+    T.StructField("initial_list_status", T.StringType()), T.StructField("addr_state", T.StringType()),
+    T.StructField("installment", T.DoubleType()), T.StructField("revol_bal", T.DoubleType()),
+    T.StructField("emp_length", T.DoubleType()), T.StructField("dti", T.DoubleType()),
+    T.StructField("int_rate", T.DoubleType()),
+])
+
+
+@register("csv_roundtrip", "WITH " + S.cleaned_ctes() + """
+SELECT count(*) AS n_rows, count(emp_length) AS n_emp_length, round(sum(installment), 4) AS sum_installment,
+       count(DISTINCT addr_state) AS n_states FROM view""")
+def csv_roundtrip(spark, sf_dir):
+    """A3 then A1: the loan view written as a CSV dataset and scanned back with an
+    explicit schema (no inference pass); summary of what came back."""
+    path = _scratch(spark, "loans-csv")
+    TB.write_dataset(L.loan_view(spark, sf_dir), path, fmt="csv")
+    back = TB.read_csv(spark, path, LOAN_CSV_SCHEMA)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count("emp_length").alias("n_emp_length"),
+                    F.round(F.sum("installment"), 4).alias("sum_installment"),
+                    F.countDistinct("addr_state").alias("n_states"))
+
+
+@register("pair_report", "WITH " + _stats_ctes() +
+          "\nSELECT col_i, col_j, round(rho, 6) AS rho FROM spear WHERE abs(rho) > 0.5")
+def pair_report(spark, sf_dir):
+    """The strong-pair list written as a report (Parquet) and read back."""
+    pairs = SEL.pairs_above(SEL.spearman_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id"), 0.5)
+    path = _scratch(spark, "pair-report")
+    TB.write_dataset(rounded(pairs.select("col_i", "col_j", "rho")).coalesce(1), path)
+    return spark.read.parquet(path)
+
+
+@register("validation_split", "WITH " + S.split_ctes() + f""",
+tr AS (SELECT loan_id, y, {S.hash_rank_sql(P.FOLD_SEED + 1)} AS rk, count(*) OVER (PARTITION BY y) AS nc
+       FROM splitted WHERE split = 'train')
+SELECT loan_id, y, rk <= floor(nc * CAST(0.33 AS DOUBLE) + 0.5) AS is_validation FROM tr""")
+def validation_split(spark, sf_dir):
+    """C4: a stratified third of the training rows held out for validation."""
+    tr = P.split_loans(spark, sf_dir).where(F.col("split") == "train")
+    return SP.tail_validation(tr, "y", "loan_id", 0.33, P.FOLD_SEED + 1).select("loan_id", "y", "is_validation")
+
+
+@register("constant_impute", "WITH " + S.split_ctes() + """
+SELECT loan_id, coalesce(emp_length, 0.0) AS emp_length, coalesce(dti, 0.0) AS dti, coalesce(int_rate, 0.0) AS int_rate
+FROM splitted""")
+def constant_impute(spark, sf_dir):
+    """Constant (0) imputation of the nullable numeric columns."""
+    s = P.split_loans(spark, sf_dir).select("loan_id", *L.VIEW_MEDIAN_COLUMNS)
+    return D.impute(s, {c: 0.0 for c in L.VIEW_MEDIAN_COLUMNS})
+
+
+@register("describe", "WITH " + S.cleaned_ctes() + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(min({c}), 6) AS min, "
+    f"round(max({c}), 6) AS max FROM cleaned" for c in _RANK_COLS))
+def describe(spark, sf_dir):
+    """Count, mean, min, max of the numeric loan columns (long form)."""
+    d = P.cleaned_loans(spark, sf_dir)
+    aggs = []
+    for c in _RANK_COLS:
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"),
+                             F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")))
+    out = d.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    return rounded(out)
+
+
+@register("network_variants")
+def network_variants(spark, sf_dir):
+    """Dense net on the extra inputs only, and the same-input hybrid
+    (deep = wide; β not identified), hold-out scores."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    f = p.model_features
+    w, d = _presets(f)["H1"]
+    ests = [CV.HybridNet(None, d, HIDDEN, epochs=HYBRID_EPOCHS, name="DNN_extra"),
+            CV.HybridNet(w, w, HIDDEN, epochs=HYBRID_EPOCHS, name="LMNL_same_input")]
+    return CV.holdout(p.data, ests)
+
+
+@register("stream_scores")
+def stream_scores(spark, sf_dir):
+    """Stream scoring: the scaled test rows land as Parquet files, a Structured
+    Streaming query scores them with the fixed-β scorer (available-now
+    trigger) and the sink is read back."""
+    p = P.prepared_loans(spark, sf_dir)
+    src = _scratch(spark, "stream-src")
+    TB.write_dataset(p.test().select("loan_id", "y", *FIXED_FEATURES), src)
+    schema = spark.read.parquet(src).schema
+    from ..streaming.scoring import score_stream, write_stream
+    pred = score_stream(spark, src, schema, FIXED_FEATURES, FIXED_BETA, ["loan_id", "y"], CLASSES)
+    sink = _scratch(spark, "stream-sink")
+    q = write_stream(pred, sink, _scratch(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return rounded(spark.read.parquet(sink))

@@ -47,7 +47,9 @@ def cleaned_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 then C2: remove a share of class 1, then the stratified 70/30 split."""
-    d = cleaned_loans(spark, sf_dir)
+    # reused by four passes (two hash ranks); blocks lost with an executor are
+    # recomputed from the deterministic lineage
+    d = cleaned_loans(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     d = split.down_sample(d, "y", "loan_id", remove_share={1: L.VIEW_REMOVE_SHARE_CLASS1},
                           seed=DOWNSAMPLE_SEED)
     return split.stratified_split(d, "y", "loan_id", L.VIEW_TEST_FRACTION, SPLIT_SEED)
