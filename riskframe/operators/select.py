@@ -167,3 +167,157 @@ def mutual_info_binned(df: DataFrame, cols: list[str], label: str, bins: int = 1
          .withColumn("ny", F.sum("nby").over(wy)))
     term = (F.col("nby") / F.col("n")) * F.log(F.col("nby") * F.col("n") / (F.col("nb") * F.col("ny")))
     return c.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
+
+
+# ------------------------------------------------------------------ E4
+def _fenwick_counts(order_key: np.ndarray, group_key: np.ndarray, idx: np.ndarray, w: np.ndarray, size: int):
+    """Rows sorted by ``order_key``; rows with equal order_key are queried before
+    any of them is inserted (ties contribute nothing). For each row, weight of
+    earlier rows with smaller / larger ``idx`` (Fenwick tree over idx)."""
+    tree = np.zeros(size + 1)
+    total = 0.0
+    lower = 0.0
+    upper = 0.0
+    n = len(order_key)
+    start = 0
+    while start < n:
+        end = start
+        while end < n and order_key[end] == order_key[start]:
+            end += 1
+        for r in range(start, end):
+            i = int(idx[r])
+            s_lt = 0.0
+            j = i
+            while j > 0:
+                s_lt += tree[j]
+                j -= j & -j
+            s_le = 0.0
+            j = i + 1
+            while j > 0:
+                s_le += tree[j]
+                j -= j & -j
+            lower += w[r] * s_lt
+            upper += w[r] * (total - s_le)
+        for r in range(start, end):
+            j = int(idx[r]) + 1
+            while j <= size:
+                tree[j] += w[r]
+                j += j & -j
+            total += w[r]
+        start = end
+    return lower, upper
+
+
+def _buckets(pref: DataFrame, buckets: int) -> "Column":
+    """Monotone bucket id from exact ranks; a value holding ≥ n/buckets rows gets
+    a bucket of its own (odd id), so no bucket mixes a hot value with others."""
+    base = F.floor(F.col("below") * F.lit(buckets) / F.col("n")).cast("long")
+    hot = (F.col("cnt") * F.lit(buckets) >= F.col("n")).cast("long")
+    return base * 2 + hot
+
+
+def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_bucket: int = 50_000,
+                  max_buckets: int = 256) -> DataFrame:
+    """τ-b and z for every column pair (i > j), exact, without a pair join.
+
+    Rows collapse to distinct (pair, x, y, w). Exact ranks of x and y cut each
+    pair's rows into ordered buckets. Pairs of rows in different x- and
+    y-buckets are counted from the small bucket grid; pairs inside one
+    x-bucket, and pairs inside one y-bucket but different x-buckets, are
+    counted exactly per bucket (a sweep with a Fenwick tree). Buckets holding
+    a single x (or y) value contribute no pairs and are skipped, so a hot
+    value never lands whole in one task.
+    """
+    idx = {c: i for i, c in enumerate(cols)}
+    pairs = [(a, b) for a in cols for b in cols if idx[a] > idx[b]]
+    spark = df.sparkSession
+    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    long_df = sel.select(F.explode(F.array(*[
+        F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+        for a, b in pairs])).alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    dist = long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")).persist()
+    n_rows = dist.groupBy("pair").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    nb = 1
+    while nb < n_rows / rows_per_bucket and nb < max_buckets:
+        nb *= 2
+    xs = value_prefix(dist.groupBy("pair", "x").agg(F.sum("w").alias("cnt")), ["pair"], "x")
+    ys = value_prefix(dist.groupBy("pair", "y").agg(F.sum("w").alias("cnt")), ["pair"], "y")
+    xb = xs.select("pair", "x", _buckets(xs, nb).alias("bx"), F.col("cnt").alias("tx"), "n")
+    yb = ys.select("pair", "y", _buckets(ys, nb).alias("by"), F.col("below").alias("ry"),
+                   F.col("cnt").alias("ty"))
+    d = dist.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
+
+    # (1) different x- and y-buckets: grid of bucket counts (≤ pairs × (2nb)² cells)
+    cells = d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("c")).collect()
+    grid: dict[str, dict] = {}
+    for r in cells:
+        grid.setdefault(r["pair"], {})[(r["bx"], r["by"])] = float(r["c"])
+    grid_terms = {}
+    for p, g in grid.items():
+        size = 2 * nb + 2
+        arr = np.zeros((size, size))
+        for (a, b), c in g.items():
+            arr[a, b] = c
+        cum = arr.cumsum(0).cumsum(1)      # cum[a, b] = Σ_{a'≤a, b'≤b}
+
+        def box(a1, b1):  # Σ over a' ≤ a1, b' ≤ b1 (negative index -> 0)
+            return cum[a1, b1] if a1 >= 0 and b1 >= 0 else 0.0
+        col_tot = arr.sum(0).cumsum()
+        cc = cd = 0.0
+        for (a, b), c in g.items():
+            lo_lo = box(a - 1, b - 1)                         # a' < a, b' < b
+            lo_all = box(a - 1, size - 1)                     # a' < a
+            lo_le = box(a - 1, b)                             # a' < a, b' ≤ b
+            cc += c * lo_lo
+            cd += c * (lo_all - lo_le)                        # a' < a, b' > b
+        grid_terms[p] = (cc, cd)
+        del col_tot
+
+    # (2) same x-bucket (exact), (3) same y-bucket, different x-bucket (exact)
+    schema = "pair string, cc double, cd double"
+
+    def within_x(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "ry"])
+        ranks, inv = np.unique(pdf["ry"].to_numpy(), return_inverse=True)
+        lo, up = _fenwick_counts(pdf["x"].to_numpy(), None, inv, pdf["w"].to_numpy(dtype="float64"), len(ranks))
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "cc": [lo], "cd": [up]})
+
+    def within_y(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "bx"])
+        bxs, inv = np.unique(pdf["bx"].to_numpy(), return_inverse=True)
+        # earlier (smaller y) rows with smaller bx: concordant; larger bx: discordant
+        lo, up = _fenwick_counts(pdf["y"].to_numpy(), None, inv, pdf["w"].to_numpy(dtype="float64"), len(bxs))
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "cc": [lo], "cd": [up]})
+
+    multi_x = d.groupBy("pair", "bx").agg(F.countDistinct("x").alias("k")).where("k > 1").drop("k")
+    multi_y = d.groupBy("pair", "by").agg(F.countDistinct("y").alias("k"), F.countDistinct("bx").alias("kb")) \
+        .where("k > 1 AND kb > 1").drop("k", "kb")
+    wx = (d.join(multi_x, ["pair", "bx"]).select("pair", "bx", "x", "ry", "w")
+          .groupBy("pair", "bx").applyInPandas(within_x, schema))
+    wy = (d.join(multi_y, ["pair", "by"]).select("pair", "by", "y", "bx", "w")
+          .groupBy("pair", "by").applyInPandas(within_y, schema))
+    inner = wx.unionByName(wy).groupBy("pair").agg(F.sum("cc").alias("cc"), F.sum("cd").alias("cd"))
+    grid_df = spark.createDataFrame([(p, float(a), float(b)) for p, (a, b) in grid_terms.items()],
+                                    "pair string, gc double, gd double")  # one row per column pair
+    tx = xs.select("pair", "n", F.col("cnt").cast("double").alias("t")).groupBy("pair").agg(
+        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties_x"),
+        F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("vt"),
+        F.sum(F.col("t") * (F.col("t") - 1)).alias("t1"),
+        F.sum(F.col("t") * (F.col("t") - 1) * (F.col("t") - 2)).alias("t2"),
+        F.first("n").cast("double").alias("n"))
+    ty = ys.select("pair", F.col("cnt").cast("double").alias("u")).groupBy("pair").agg(
+        F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("ties_y"),
+        F.sum(F.col("u") * (F.col("u") - 1) * (2 * F.col("u") + 5)).alias("vu"),
+        F.sum(F.col("u") * (F.col("u") - 1)).alias("u1"),
+        F.sum(F.col("u") * (F.col("u") - 1) * (F.col("u") - 2)).alias("u2"))
+    allp = grid_df.join(tx, "pair").join(ty, "pair").join(inner, "pair", "left").fillna(0.0, ["cc", "cd"])
+    n = F.col("n")
+    s = (F.col("gc") + F.col("cc")) - (F.col("gd") + F.col("cd"))
+    n0 = n * (n - 1) / 2
+    tau = F.try_divide(s, F.sqrt((n0 - F.col("ties_x")) * (n0 - F.col("ties_y"))))
+    var = ((n * (n - 1) * (2 * n + 5) - F.col("vt") - F.col("vu")) / 18
+           + F.col("t1") * F.col("u1") / (2 * n * (n - 1))
+           + F.col("t2") * F.col("u2") / (9 * n * (n - 1) * (n - 2)))
+    z = F.try_divide(s, F.sqrt(var))
+    return allp.select(F.split("pair", r"\|")[0].alias("col_i"), F.split("pair", r"\|")[1].alias("col_j"),
+                       F.col("n").cast("long").alias("n"), tau.alias("tau_b"), z.alias("z"))

@@ -1062,3 +1062,12 @@ def stream_scores(spark, sf_dir):
     q = write_stream(pred, sink, _scratch(spark, "stream-ckpt"))
     q.awaitTermination()
     return rounded(spark.read.parquet(sink))
+
+
+@register("kendall_xx")
+def kendall_xx(spark, sf_dir):
+    """Kendall τ-b and z for every pair of numeric inputs (exact, no pair
+    join; checked against brute-force pairs on a small fixture in tests,
+    since an all-pairs SQL oracle is quadratic)."""
+    k = SEL.kendall_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id")
+    return rounded(SEL.with_normal_p(k))

@@ -52,3 +52,34 @@ def test_value_prefix_independent_of_partitioning(spark):
     a = R.attach_ranks(df, ["g"], "v").orderBy("id").collect()
     b = R.attach_ranks(df.repartition(7), ["g"], "v", rows_per_bucket=2).orderBy("id").collect()
     assert [r["avg_rank"] for r in a] == [r["avg_rank"] for r in b]
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 5])
+def test_kendall_pairs_brute_force(spark, rows_per_bucket):
+    from riskframe.operators.select import kendall_pairs
+    rng = np.random.default_rng(9)
+    n = 120
+    a = rng.integers(0, 5, n).astype(float)
+    b = a + rng.integers(0, 3, n)
+    c = rng.normal(size=n).round(1)
+    c[:40] = 0.0                       # a hot value
+    pdf = pd.DataFrame({"id": np.arange(n), "a": a, "b": b, "c": c})
+    got = {(r["col_i"], r["col_j"]): r for r in
+           kendall_pairs(spark.createDataFrame(pdf), ["a", "b", "c"], "id", rows_per_bucket=rows_per_bucket).collect()}
+
+    def brute(x, y):
+        cc = cd = tx = ty = 0
+        for i in range(n):
+            for j in range(i):
+                sx, sy = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+                if sx * sy > 0:
+                    cc += 1
+                elif sx * sy < 0:
+                    cd += 1
+                tx += sx == 0
+                ty += sy == 0
+        n0 = n * (n - 1) / 2
+        return (cc - cd) / np.sqrt((n0 - tx) * (n0 - ty))
+    for (i, j), r in got.items():
+        assert r["tau_b"] == pytest.approx(brute(pdf[i].to_numpy(), pdf[j].to_numpy()), abs=1e-12)
+    assert len(got) == 3
