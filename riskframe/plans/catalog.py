@@ -1069,5 +1069,6 @@ def kendall_xx(spark, sf_dir):
     """Kendall τ-b and z for every pair of numeric inputs (exact, no pair
     join; checked against brute-force pairs on a small fixture in tests,
     since an all-pairs SQL oracle is quadratic)."""
-    k = SEL.kendall_pairs(_train_scaled(spark, sf_dir), _STAT_COLS, "loan_id")
+    tr = P.prepared_loans(spark, sf_dir, materialize=True).train()
+    k = SEL.kendall_pairs(tr, _STAT_COLS, "loan_id")
     return rounded(SEL.with_normal_p(k))
