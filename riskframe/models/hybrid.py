@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mnl import softmax_rows
-from .sums import cached_design, design_matrix, label_index, partition_sums
+from .sums import cached_design, design_matrix, label_index, partition_fold, partition_sums
 
 
 @dataclass
@@ -145,7 +145,11 @@ class HybridResult:
 def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "loan_id", epochs: int = 50,
                batch_size: int = 32, lr: float = 1e-3, seed: int = 10, partitions: int | None = None,
                init_beta: np.ndarray | None = None, train_beta: bool = True) -> HybridResult:
-    """Train by per-partition Adam epochs + row-weighted averaging."""
+    """Train by per-partition Adam epochs + row-weighted averaging.
+
+    The design is hash-partitioned by key (``partitions``, default: the
+    cluster's parallelism) and persisted, so every epoch sees the same
+    partitions in the same order; a partition streams its Arrow batches."""
     cols = list(dict.fromkeys((spec.wide or []) + spec.deep))
     parts = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
     data = cached_design(df, cols, label, key=key, partitions=parts)
@@ -161,40 +165,45 @@ def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "lo
     for epoch in range(epochs):
         p0, m0, v0, t0 = params.copy(), m.copy(), v.copy(), t
 
-        def fn(pdf, p0=p0, m0=m0, v0=v0, t0=t0, epoch=epoch):
-            pdf = pdf.sort_values(key)
-            x = design_matrix(pdf, wide)
-            q = pdf[deep].to_numpy(dtype="float64") if deep else np.zeros((len(pdf), 0))
-            yi = label_index(pdf, label, classes)
-            h = int(pd.util.hash_pandas_object(pdf[key].iloc[:1], index=False).iloc[0] % (2 ** 31))
-            rng = np.random.default_rng([seed, epoch, h])
-            order = rng.permutation(len(pdf))
+        def fold(batches, p0=p0, m0=m0, v0=v0, t0=t0, epoch=epoch):
+            # state carries across the partition's Arrow batches; memory = one batch
             p, mm, vv, tt = p0.copy(), m0.copy(), v0.copy(), t0
             loss = correct = 0.0
             steps = 0
-            for s in range(0, len(order), batch_size):
-                idx = order[s:s + batch_size]
-                w = unpack(spec, p)
-                u, cache = forward(spec, w, x[idx], q[idx], rng)
-                pr = softmax_rows(u)
-                yb = np.zeros_like(pr)
-                yb[np.arange(len(idx)), yi[idx]] = 1.0
-                loss += -np.log(np.clip(pr[np.arange(len(idx)), yi[idx]], 1e-300, None)).sum()
-                correct += (pr.argmax(1) == yi[idx]).sum()
-                du = (pr - yb) / len(idx)
-                g = flat_grad(spec, backward(spec, w, cache, du, train_beta))
-                tt += 1
-                steps += 1
-                mm = b1 * mm + (1 - b1) * g
-                vv = b2 * vv + (1 - b2) * g * g
-                mh = mm / (1 - b1 ** tt)
-                vh = vv / (1 - b2 ** tt)
-                p = p - lr * mh / (np.sqrt(vh) + eps)
-            nrow = float(len(pdf))
+            nrow = 0.0
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = design_matrix(pdf, wide)
+                q = pdf[deep].to_numpy(dtype="float64") if deep else np.zeros((len(pdf), 0))
+                yi = label_index(pdf, label, classes)
+                h = int(pd.util.hash_pandas_object(pdf[key].iloc[:1], index=False).iloc[0] % (2 ** 31))
+                rng = np.random.default_rng([seed, epoch, h])
+                order = rng.permutation(len(pdf))
+                for s in range(0, len(order), batch_size):
+                    idx = order[s:s + batch_size]
+                    w = unpack(spec, p)
+                    u, cache = forward(spec, w, x[idx], q[idx], rng)
+                    pr = softmax_rows(u)
+                    yb = np.zeros_like(pr)
+                    yb[np.arange(len(idx)), yi[idx]] = 1.0
+                    loss += -np.log(np.clip(pr[np.arange(len(idx)), yi[idx]], 1e-300, None)).sum()
+                    correct += (pr.argmax(1) == yi[idx]).sum()
+                    du = (pr - yb) / len(idx)
+                    g = flat_grad(spec, backward(spec, w, cache, du, train_beta))
+                    tt += 1
+                    steps += 1
+                    mm = b1 * mm + (1 - b1) * g
+                    vv = b2 * vv + (1 - b2) * g * g
+                    mh = mm / (1 - b1 ** tt)
+                    vh = vv / (1 - b2 ** tt)
+                    p = p - lr * mh / (np.sqrt(vh) + eps)
+                nrow += float(len(pdf))
+            if nrow == 0:
+                return None
             return np.concatenate([p * nrow, mm * nrow, vv * nrow, [steps * nrow, nrow, loss, correct]])
 
-        # one batch per partition: the whole partition is one pandas frame
-        tot = partition_sums(_one_frame_per_partition(data), fn, 3 * size + 4)
+        tot = partition_fold(data, fold, 3 * size + 4)
         n_total = tot[-3]
         params = tot[:size] / n_total
         m = tot[size:2 * size] / n_total
@@ -205,26 +214,6 @@ def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "lo
     return HybridResult(spec, params, history, int(n_total))
 
 
-def _one_frame_per_partition(df: DataFrame) -> DataFrame:
-    """Mark the frame so that ``partition_sums`` sees the partition whole:
-    batches of one partition are concatenated in the mapper."""
-    return _WholePartition(df)
-
-
-class _WholePartition:
-    """Adapter: mapInPandas over whole partitions (Arrow batches concatenated)."""
-
-    def __init__(self, df: DataFrame):
-        self.df = df
-
-    def mapInPandas(self, fn, schema):
-        def whole(it):
-            frames = [f for f in it if len(f)]
-            if frames:
-                yield from fn(iter([pd.concat(frames, ignore_index=True)]))
-        return self.df.mapInPandas(whole, schema)
-
-
 def score_hybrid(df: DataFrame, result: HybridResult, keep: list[str], prefix: str = "prob_c",
                  utilities: bool = False) -> DataFrame:
     """Forward pass (no dropout) -> prob_c1..K and pred (first maximum) [or u_c1..K]."""

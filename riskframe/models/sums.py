@@ -43,6 +43,25 @@ def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size
     return vec
 
 
+def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
+    """Like :func:`partition_sums`, but ``fold(batches)`` sees the partition's
+    Arrow batches as an iterator (state may carry from batch to batch, memory
+    stays one batch) and returns one length-``size`` vector per partition."""
+    if size > MAX_VECTOR:
+        raise ValueError("partition_fold: vector too large for the driver")
+
+    def mapper(it):
+        vec = fold(it)
+        if vec is not None:
+            yield pd.DataFrame({"idx": np.arange(size, dtype=np.int32), "val": vec})
+
+    out = df.mapInPandas(mapper, "idx int, val double").groupBy("idx").agg(F.sum("val").alias("val"))
+    total = np.zeros(size, dtype="float64")
+    for r in out.collect():
+        total[r["idx"]] = r["val"]
+    return total
+
+
 def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
                   key: str | None = None, partitions: int | None = None) -> DataFrame:
     """Project the fit columns, drop rows with NULLs and persist (MEMORY_AND_DISK;
@@ -52,6 +71,8 @@ def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
     d = df.select(*sel).dropna()
     if partitions:
         d = d.repartition(partitions, key) if key else d.repartition(partitions)
+        if key:
+            d = d.sortWithinPartitions(key)
     return d.persist(StorageLevel.MEMORY_AND_DISK)
 
 

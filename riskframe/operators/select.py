@@ -247,31 +247,25 @@ def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_bucket: int
                    F.col("cnt").alias("ty"))
     d = dist.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
 
-    # (1) different x- and y-buckets: grid of bucket counts (≤ pairs × (2nb)² cells)
-    cells = d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("c")).collect()
-    grid: dict[str, dict] = {}
-    for r in cells:
-        grid.setdefault(r["pair"], {})[(r["bx"], r["by"])] = float(r["c"])
-    grid_terms = {}
-    for p, g in grid.items():
-        size = 2 * nb + 2
+    # (1) different x- and y-buckets: per column pair, a dense grid of bucket
+    # counts ((2nb+2)² cells, bounded by max_buckets) swept in one task
+    size = 2 * nb + 2
+
+    def grid_sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         arr = np.zeros((size, size))
-        for (a, b), c in g.items():
-            arr[a, b] = c
-        cum = arr.cumsum(0).cumsum(1)      # cum[a, b] = Σ_{a'≤a, b'≤b}
-
-        def box(a1, b1):  # Σ over a' ≤ a1, b' ≤ b1 (negative index -> 0)
-            return cum[a1, b1] if a1 >= 0 and b1 >= 0 else 0.0
-        col_tot = arr.sum(0).cumsum()
-        cc = cd = 0.0
-        for (a, b), c in g.items():
-            lo_lo = box(a - 1, b - 1)                         # a' < a, b' < b
-            lo_all = box(a - 1, size - 1)                     # a' < a
-            lo_le = box(a - 1, b)                             # a' < a, b' ≤ b
-            cc += c * lo_lo
-            cd += c * (lo_all - lo_le)                        # a' < a, b' > b
-        grid_terms[p] = (cc, cd)
-        del col_tot
+        arr[pdf["bx"].to_numpy(), pdf["by"].to_numpy()] = pdf["c"].to_numpy(dtype="float64")
+        cum = arr.cumsum(0).cumsum(1)                     # Σ over a' ≤ a, b' ≤ b
+        lo_lo = np.zeros_like(cum)
+        lo_lo[1:, 1:] = cum[:-1, :-1]                      # a' < a, b' < b
+        lo_all = np.zeros_like(cum)
+        lo_all[1:, :] = cum[:-1, -1:]                      # a' < a
+        lo_le = np.zeros_like(cum)
+        lo_le[1:, :] = cum[:-1, :]                         # a' < a, b' ≤ b
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "gc": [float((arr * lo_lo).sum())],
+                             "gd": [float((arr * (lo_all - lo_le)).sum())]})
+
+    grid_df = (d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("c"))
+               .groupBy("pair").applyInPandas(grid_sweep, "pair string, gc double, gd double"))
 
     # (2) same x-bucket (exact), (3) same y-bucket, different x-bucket (exact)
     schema = "pair string, cc double, cd double"
@@ -297,8 +291,6 @@ def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_bucket: int
     wy = (d.join(multi_y, ["pair", "by"]).select("pair", "by", "y", "bx", "w")
           .groupBy("pair", "by").applyInPandas(within_y, schema))
     inner = wx.unionByName(wy).groupBy("pair").agg(F.sum("cc").alias("cc"), F.sum("cd").alias("cd"))
-    grid_df = spark.createDataFrame([(p, float(a), float(b)) for p, (a, b) in grid_terms.items()],
-                                    "pair string, gc double, gd double")  # one row per column pair
     tx = xs.select("pair", "n", F.col("cnt").cast("double").alias("t")).groupBy("pair").agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties_x"),
         F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("vt"),
