@@ -54,6 +54,73 @@ class HybridSpec:
     def size(self) -> int:
         return int(sum(np.prod(sh) for _, sh in self.shapes()))
 
+    def forward(self, w, x, q, rng=None):
+        return forward(self, w, x, q, rng)
+
+    def backward(self, w, cache, du, train_beta=True):
+        return backward(self, w, cache, du, train_beta)
+
+
+@dataclass
+class AltNetSpec:
+    """One network shared by all alternatives, applied to each alternative's
+    own design column (the reference's alternative-specific layout: base
+    alternative all zero; the others carry their intercept and each variable
+    in their own rows), with an output unit per alternative; ``linear`` adds
+    the shared-β utility of the same design."""
+    wide: list[str]
+    hidden: int = 16
+    classes: list = field(default_factory=lambda: [1, 2, 3])
+    dropout: float = 0.2
+    linear: bool = False
+    deep: list = field(default_factory=list)
+    layers: int = 1
+
+    @property
+    def d(self) -> int:
+        return (len(self.wide) + 1) * (len(self.classes) - 1)
+
+    def shapes(self):
+        k = len(self.classes)
+        s = [("w1", (self.d, self.hidden)), ("b1", (self.hidden,)), ("w2", (k, self.hidden)), ("b2", (k,))]
+        if self.linear:
+            s.append(("lin", (self.d,)))
+        return s
+
+    def size(self) -> int:
+        return int(sum(np.prod(sh) for _, sh in self.shapes()))
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        n, k = x.shape[0], len(self.classes)
+        z = np.zeros((n, k, self.d))
+        for j in range(1, k):
+            z[:, j, j - 1::k - 1] = x
+        return z
+
+    def forward(self, w, x, q, rng=None):
+        z = self.design(x)
+        pre = z @ w["w1"] + w["b1"]
+        a = np.maximum(pre, 0.0)
+        if rng is not None and self.dropout > 0:
+            m = (rng.random(a.shape) >= self.dropout) / (1.0 - self.dropout)
+        else:
+            m = np.ones_like(a)
+        h = a * m
+        u = np.einsum("nkh,kh->nk", h, w["w2"]) + w["b2"]
+        if self.linear:
+            u = u + z @ w["lin"]
+        return u, {"z": z, "pre": pre, "mask": m, "h": h}
+
+    def backward(self, w, cache, du, train_beta=True):
+        z, pre, m, h = cache["z"], cache["pre"], cache["mask"], cache["h"]
+        g = {"w2": np.einsum("nk,nkh->kh", du, h), "b2": du.sum(0)}
+        dpre = du[:, :, None] * w["w2"][None, :, :] * m * (pre > 0)
+        g["w1"] = np.einsum("nkd,nkh->dh", z, dpre)
+        g["b1"] = dpre.sum((0, 1))
+        if self.linear:
+            g["lin"] = np.einsum("nk,nkd->d", du, z) if train_beta else np.zeros_like(w["lin"])
+        return g
+
 
 def unpack(spec: HybridSpec, flat: np.ndarray) -> dict[str, np.ndarray]:
     out, i = {}, 0
@@ -160,7 +227,7 @@ def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "lo
     t = 0.0
     b1, b2, eps = 0.9, 0.999, 1e-7
     history = []
-    wide, deep, classes = spec.wide or [], spec.deep, spec.classes
+    wide, deep, classes = spec.wide or [], list(spec.deep or []), spec.classes
     n_total = 0
     for epoch in range(epochs):
         p0, m0, v0, t0 = params.copy(), m.copy(), v.copy(), t
@@ -183,14 +250,14 @@ def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "lo
                 for s in range(0, len(order), batch_size):
                     idx = order[s:s + batch_size]
                     w = unpack(spec, p)
-                    u, cache = forward(spec, w, x[idx], q[idx], rng)
+                    u, cache = spec.forward(w, x[idx], q[idx], rng)
                     pr = softmax_rows(u)
                     yb = np.zeros_like(pr)
                     yb[np.arange(len(idx)), yi[idx]] = 1.0
                     loss += -np.log(np.clip(pr[np.arange(len(idx)), yi[idx]], 1e-300, None)).sum()
                     correct += (pr.argmax(1) == yi[idx]).sum()
                     du = (pr - yb) / len(idx)
-                    g = flat_grad(spec, backward(spec, w, cache, du, train_beta))
+                    g = flat_grad(spec, spec.backward(w, cache, du, train_beta))
                     tt += 1
                     steps += 1
                     mm = b1 * mm + (1 - b1) * g
@@ -228,7 +295,7 @@ def score_hybrid(df: DataFrame, result: HybridResult, keep: list[str], prefix: s
         for pdf in it:
             x = design_matrix(pdf, wide)
             q = pdf[deep].to_numpy(dtype="float64") if deep else np.zeros((len(pdf), 0))
-            u, _ = forward(spec, w, x, q)
+            u, _ = spec.forward(w, x, q)
             out = pdf[keep].copy()
             vals = u if utilities else softmax_rows(u)
             for i, n in enumerate(names):

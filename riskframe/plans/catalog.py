@@ -1072,3 +1072,14 @@ def kendall_xx(spark, sf_dir):
     tr = P.prepared_loans(spark, sf_dir, materialize=True).train()
     k = SEL.kendall_pairs(tr, _STAT_COLS, "loan_id")
     return rounded(SEL.with_normal_p(k))
+
+
+@register("alt_shared_net")
+def alt_shared_net(spark, sf_dir):
+    """One network shared by the alternatives on the alternative-specific
+    design, without and with the linear utility; hold-out scores."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    f = p.model_features
+    ests = [CV.AltNet(f, HIDDEN, linear=False, epochs=HYBRID_EPOCHS, name="AltNet"),
+            CV.AltNet(f, HIDDEN, linear=True, epochs=HYBRID_EPOCHS, name="AltNet_linear")]
+    return CV.holdout(p.data, ests)

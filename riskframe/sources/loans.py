@@ -9,7 +9,7 @@ loan column          source
 loan_status          ``o_orderstatus`` (F/O/P, recoded to 1/2/3 by B4)
 sub_grade            ``o_orderpriority`` (5 ordered text levels)
 purpose              ``c_mktsegment``
-initial_list_status  ``max(l_linestatus)`` of the order (NULL without lines)
+initial_list_status  latest ``l_linestatus`` letter of the order (NULL without lines)
 addr_state           ``n_name`` of the customer's nation (grouped by B5)
 installment          ``o_totalprice``
 revol_bal            ``c_acctbal`` (has negatives: B8)
@@ -144,7 +144,10 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.avg("l_quantity").alias("emp_length"),
                   F.avg("l_tax").alias("dti"),
                   F.avg("l_discount").alias("int_rate"),
-                  F.max("l_linestatus").alias("initial_list_status")))
+                  # status letter as its code point: an integer max keeps the
+                  # per-order aggregate a hash aggregate (a string max sorts)
+                  F.max(F.ascii("l_linestatus")).alias("__ls")))
+    lines = lines.withColumn("initial_list_status", F.expr("char(__ls)")).drop("__ls")
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     nation = broadcast_if_small(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
@@ -180,7 +183,7 @@ SELECT o.o_orderkey AS loan_id, o.o_orderstatus AS loan_status, o.o_orderpriorit
        l.emp_length, l.dti, l.int_rate
 FROM orders o
 LEFT JOIN (SELECT l_orderkey, avg(l_quantity) AS emp_length, avg(l_tax) AS dti,
-                  avg(l_discount) AS int_rate, max(l_linestatus) AS initial_list_status
+                  avg(l_discount) AS int_rate, chr(max(ascii(l_linestatus))) AS initial_list_status
            FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey

@@ -85,3 +85,32 @@ def test_hybrid_loss_decreases_and_scores(spark):
     assert losses[-1] < losses[0]
     s = HY.score_hybrid(df, r, ["loan_id", "y"]).toPandas()
     assert np.allclose(s[["prob_c1", "prob_c2", "prob_c3"]].sum(1), 1.0)
+
+
+def test_altnet_gradient_and_training(spark):
+    spec = HY.AltNetSpec(["x1", "x2"], hidden=4, linear=True, dropout=0.0)
+    rng = np.random.default_rng(0)
+    params = HY.init_params(spec, 1) + rng.normal(scale=0.1, size=spec.size())
+    x = np.hstack([np.ones((20, 1)), rng.normal(size=(20, 2))])
+    yi = rng.integers(0, 3, 20)
+
+    def loss(pv):
+        u, _ = spec.forward(HY.unpack(spec, pv), x, np.zeros((20, 0)))
+        u = u - u.max(1, keepdims=True)
+        lp = u - np.log(np.exp(u).sum(1, keepdims=True))
+        return -lp[np.arange(20), yi].sum()
+    w = HY.unpack(spec, params)
+    u, cache = spec.forward(w, x, np.zeros((20, 0)))
+    p = np.exp(u - u.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    du = p.copy()
+    du[np.arange(20), yi] -= 1
+    g = HY.flat_grad(spec, spec.backward(w, cache, du))
+    eps = 1e-6
+    for i in rng.choice(spec.size(), 12, replace=False):
+        e = np.zeros_like(params)
+        e[i] = eps
+        assert (loss(params + e) - loss(params - e)) / (2 * eps) == pytest.approx(g[i], rel=1e-4, abs=1e-6)
+    df = sim_mnl(spark, 1000)
+    r = HY.fit_hybrid(df, HY.AltNetSpec(["x1", "x2", "x3"], hidden=4, linear=True), epochs=4, partitions=2)
+    assert r.history[-1][1] < r.history[0][1]
