@@ -1083,3 +1083,46 @@ def alt_shared_net(spark, sf_dir):
     ests = [CV.AltNet(f, HIDDEN, linear=False, epochs=HYBRID_EPOCHS, name="AltNet"),
             CV.AltNet(f, HIDDEN, linear=True, epochs=HYBRID_EPOCHS, name="AltNet_linear")]
     return CV.holdout(p.data, ests)
+
+
+# ----------------------------------------------------------------------------
+# B2, B11, A6
+# ----------------------------------------------------------------------------
+DROP_DEMO = ["initial_list_status", "addr_state"]
+
+
+@register("drop_columns", "WITH " + S.cleaned_ctes() + "\nSELECT " +
+          ", ".join(c for c in L.VIEW_COLUMNS if c not in DROP_DEMO) + " FROM view")
+def drop_columns(spark, sf_dir):
+    """B2: drop a column list (plus the reference's 78-name list, absent here)."""
+    return C.drop_columns(L.loan_view(spark, sf_dir), DROP_DEMO + L.LOAN_DROP_COLUMNS)
+
+
+@register("relabel_classes", "WITH " + S.cleaned_ctes() + """
+SELECT loan_id, 'Categ' || CAST(y AS VARCHAR) AS loan_status, CAST(y AS INTEGER) AS y_back FROM cleaned""")
+def relabel_classes(spark, sf_dir):
+    """Classes 1..3 -> 'Categ1'..'Categ3' and back (as the R step does)."""
+    d = P.cleaned_loans(spark, sf_dir)
+    fwd = {k: f"Categ{k}" for k in CLASSES}
+    back = {v: k for k, v in fwd.items()}
+    d = C.recode_strict(d, "y", fwd, out="loan_status")
+    d = C.recode_strict(d, "loan_status", back, out="y_back")
+    return d.select("loan_id", "loan_status", F.col("y_back").cast("int").alias("y_back"))
+
+
+@register("model_params_roundtrip")
+def model_params_roundtrip(spark, sf_dir):
+    """Fitted MNL parameters saved as a Parquet table, loaded back and used
+    to score the test part; metrics of the reloaded model."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    r = fit_mnl(p.train(), p.model_features)
+    path = _scratch(spark, "mnl-params")
+    rows = [(m, eq, t, est, se) for m, eq, t, est, se, *_ in r.coef_rows("MNL")]
+    TB.save_params(spark, rows, path)
+    loaded = TB.load_params(spark, path).collect()          # (K−1)(p+1) rows
+    beta = {}
+    for k in CLASSES[1:]:
+        by = {row["term"]: row["estimate"] for row in loaded if row["equation"] == f"y={k}"}
+        beta[k] = [by[t] for t in ["const"] + p.model_features]
+    scored = score_linear(p.test(), p.model_features, beta, ["loan_id", "y"])
+    return metrics.classification_scores(scored, [])
