@@ -150,16 +150,25 @@ def unrelated_to_label(label_assoc_p: DataFrame, alpha: float = 0.05) -> DataFra
 
 
 # ------------------------------------------------------------------ E8
-def mutual_info_binned(df: DataFrame, cols: list[str], label: str, bins: int = 10) -> DataFrame:
+def mutual_info_binned(df: DataFrame, cols: list[str], label: str, bins: int = 10,
+                       classes: list | None = None) -> DataFrame:
     """E8 (re-aimed): plug-in mutual information (nats) between each column cut
     into ``bins`` equal-frequency bins (exact ranks; tied values share a bin)
-    and the label. Another estimator than the reference's k-NN one."""
+    and the label. Another estimator than the reference's k-NN one.
+
+    Counts per class ride along the distinct (feature, value) table, so no
+    row-level join back is needed (a hot value is one row throughout)."""
     long_df = to_long(df.select(label, *cols), cols, [label], "feature", "x").where(F.col("x").isNotNull())
-    dist = distinct_counts(long_df, ["feature"], "x")
-    pref = value_prefix(dist, ["feature"], "x").select(
-        "feature", "x", F.floor(F.col("below") * F.lit(bins) / F.col("n")).cast("int").alias("bin"))
-    binned = long_df.join(pref, ["feature", "x"])
-    cont = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("nby"))
+    if classes is None:
+        classes = sorted(r[0] for r in df.select(label).distinct().limit(10_001).collect())
+    extra = {f"c{i}": F.sum((F.col(label) == F.lit(k)).cast("long")) for i, k in enumerate(classes)}
+    dist = distinct_counts(long_df, ["feature"], "x", extra)
+    pref = value_prefix(dist, ["feature"], "x").withColumn(
+        "bin", F.floor(F.col("below") * F.lit(bins) / F.col("n")).cast("int"))
+    per_bin = pref.groupBy("feature", "bin").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(classes))])
+    cont = per_bin.select("feature", "bin", F.explode(F.array(*[
+        F.struct(F.lit(k).alias(label), F.col(f"c{i}").alias("nby")) for i, k in enumerate(classes)])).alias("s")
+    ).select("feature", "bin", f"s.{label}", "s.nby").where(F.col("nby") > 0)
     wf = Window.partitionBy("feature")
     wb = Window.partitionBy("feature", "bin")
     wy = Window.partitionBy("feature", label)

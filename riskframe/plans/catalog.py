@@ -479,7 +479,7 @@ c2 AS (SELECT *, sum(nby) OVER (PARTITION BY feature) AS n, sum(nby) OVER (PARTI
 SELECT feature, round(sum((CAST(nby AS DOUBLE) / n) * ln(CAST(nby AS DOUBLE) * n / (nb * ny))), 6) AS mutual_info
 FROM c2 GROUP BY feature""")
 def mutual_info_binned(spark, sf_dir):
-    return rounded(SEL.mutual_info_binned(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_BINS))
+    return rounded(SEL.mutual_info_binned(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_BINS, CLASSES))
 
 
 # ----------------------------------------------------------------------------
