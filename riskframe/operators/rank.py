@@ -158,12 +158,25 @@ def average_ranks(long_df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def attach_ranks(long_df: DataFrame, group_cols: list[str], value_col: str,
-                 rank_col: str = "avg_rank", **kw) -> DataFrame:
-    """Average rank joined back onto every row (equi-join on (group, value);
-    AQE's skew-join split handles a hot value)."""
+                  rank_col: str = "avg_rank", salt: int = 64, hot_share: float = 1e-3, **kw) -> DataFrame:
+    """Average rank joined back onto every row (equi-join on (group, value)).
+
+    A value holding at least ``hot_share`` of its group's rows is salted: its
+    rows spread over ``salt`` join keys (a hash of the row) and its single
+    rank row is repeated for each key, so no join task receives a hot value
+    whole. The hot list is at most 1/hot_share values per group (broadcast)."""
     ranks = average_ranks(long_df, group_cols, value_col, rank_col, **kw).select(
-        *group_cols, value_col, rank_col)
-    return long_df.join(ranks, on=[*group_cols, value_col], how="left")
+        *group_cols, value_col, rank_col, "cnt", "n")
+    is_hot = F.col("cnt") >= F.col("n") * F.lit(hot_share)
+    hot = ranks.where(is_hot).select(*group_cols, value_col, F.lit(True).alias("__hot"))
+    row_hash = F.xxhash64(*[F.col(c) for c in long_df.columns])
+    salted = (long_df.join(F.broadcast(hot), on=[*group_cols, value_col], how="left")
+              .withColumn("__salt", F.when(F.col("__hot"), F.pmod(row_hash, F.lit(salt))).otherwise(F.lit(0)))
+              .drop("__hot"))
+    rk = ranks.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salt - 1)))
+                                               .otherwise(F.array(F.lit(0))))).select(
+        *group_cols, value_col, "__salt", rank_col)
+    return salted.join(rk, on=[*group_cols, value_col, "__salt"], how="left").drop("__salt")
 
 
 def exact_median(long_df: DataFrame, group_cols: list[str], value_col: str,
