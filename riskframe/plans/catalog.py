@@ -220,7 +220,7 @@ cats AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v)
          FROM (SELECT DISTINCT feature, v FROM lr WHERE split = 'train' AND v IS NOT NULL)),
 kept AS (SELECT feature, v FROM cats WHERE NOT (nv = 2 AND pos = 1))
 SELECT lr.loan_id, kept.feature || '_' || kept.v AS column_name,
-       CASE WHEN lr.v = kept.v THEN 1.0 ELSE 0.0 END AS value
+       CASE WHEN lr.v = kept.v THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS value
 FROM lr JOIN kept ON lr.feature = kept.feature"""
 
 
@@ -288,7 +288,7 @@ g AS (SELECT split, c.cls,
              sum(CAST(y = c.cls AND pred = c.cls AS BIGINT)) AS tp,
              sum(CAST(pred = c.cls AS BIGINT)) AS n_pred, sum(CAST(y = c.cls AS BIGINT)) AS n_true
       FROM scored JOIN (SELECT unnest([1, 2, 3]) AS cls) c ON TRUE GROUP BY split, c.cls)
-SELECT split, cls, tp, n_pred, n_true,
+SELECT split, cls, CAST(tp AS BIGINT) AS tp, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_true AS BIGINT) AS n_true,
        round(CASE WHEN n_pred > 0 THEN CAST(tp AS DOUBLE) / n_pred ELSE 0.0 END, 6) AS precision,
        round(CASE WHEN n_true > 0 THEN CAST(tp AS DOUBLE) / n_true ELSE 0.0 END, 6) AS recall,
        round(CASE WHEN n_pred + n_true > 0 THEN CAST(2.0 AS DOUBLE) * tp / (n_pred + n_true) ELSE 0.0 END, 6) AS f1
@@ -392,7 +392,7 @@ pr AS (SELECT a.feature AS col_i, b.feature AS col_j, count(*) AS n, sum(a.r) AS
 spear AS (SELECT col_i, col_j, (n * pij - si * sj) / sqrt((n * qi - si * si) * (n * qj - sj * sj)) AS rho, n FROM pr),
 kc AS (SELECT feature, value AS x, count(*) AS cnt, {cs} FROM lr WHERE value IS NOT NULL GROUP BY feature, value),
 kb AS (SELECT *, {bs} FROM kc WINDOW w AS (PARTITION BY feature ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-kp AS (SELECT feature, CAST(sum({conc}) AS DOUBLE) AS C, CAST(sum({disc}) AS DOUBLE) AS D, sum(cnt) AS n,
+kp AS (SELECT feature, CAST(sum({conc}) AS DOUBLE) AS C, CAST(sum({disc}) AS DOUBLE) AS D, CAST(sum(cnt) AS BIGINT) AS n,
               sum(CAST(cnt AS DOUBLE) * (cnt - 1) / 2) AS ties_x,
               sum(CAST(cnt AS DOUBLE) * (cnt - 1) * (2 * cnt + 5)) AS vt,
               sum(CAST(cnt AS DOUBLE) * (cnt - 1)) AS t1, sum(CAST(cnt AS DOUBLE) * (cnt - 1) * (cnt - 2)) AS t2, {us}
@@ -644,7 +644,8 @@ tr AS (SELECT * FROM scaled WHERE split = 'train'),
 u AS (SELECT g.step, {point} AS point, {bu}, {nu} FROM tr t CROSS JOIN range({n}) g(step)),
 pr AS (SELECT step, point, {bp} AS bp, {npred} AS np FROM u),
 a AS (SELECT step, point, {sel} FROM pr GROUP BY step, point)
-""" + " UNION ALL ".join(f"SELECT step, round(point, 6) AS point, {k} AS cls, c{k} AS change FROM a" for k in CLASSES))
+""" + " UNION ALL ".join(f"SELECT step, round(point, 6) AS point, {k} AS cls, CAST(c{k} AS BIGINT) AS change FROM a"
+                       for k in CLASSES))
 
 
 @register("share_elasticity", _whatif_sql("elast"))
