@@ -21,7 +21,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .mnl import softmax_rows
 from .sums import cached_design, design_matrix, label_index, partition_fold, partition_sums
@@ -353,7 +352,3 @@ def hybrid_beta_information(df: DataFrame, result: HybridResult, label: str = "y
     cols = list(dict.fromkeys([label] + wide + deep))
     v = partition_sums(df.select(*cols).dropna(), fn, 1 + d + d * d + 1)
     return v[1 + d:1 + d + d * d].reshape(d, d)
-
-
-def with_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("__one", F.lit(1))

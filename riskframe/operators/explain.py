@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..models.hybrid import HybridResult, HybridSpec, backward, forward, unpack
+from ..models.hybrid import HybridResult, forward, unpack
 from ..models.linear import class_utilities
 from ..models.mnl import softmax_rows
 from ..models.sums import design_matrix, label_index
@@ -176,7 +176,3 @@ def counterfactual_inputs(df: DataFrame, result: HybridResult, target: int, step
                        ["p_before double", "p_after double"])
     cols = list(dict.fromkeys(keep + wide + deep))
     return df.select(*cols).dropna().mapInPandas(fn, schema)
-
-
-def _unused(spec: HybridSpec):  # keep imports referenced for linters
-    return backward, spec

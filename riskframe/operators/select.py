@@ -11,13 +11,11 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import tails
 from .rank import attach_ranks, distinct_counts, to_long, value_prefix
