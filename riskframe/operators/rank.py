@@ -158,7 +158,7 @@ def average_ranks(long_df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def attach_ranks(long_df: DataFrame, group_cols: list[str], value_col: str,
-                  rank_col: str = "avg_rank", salt: int = 64, hot_share: float = 1e-3, **kw) -> DataFrame:
+                  rank_col: str = "avg_rank", salt: int = 64, hot_share: float = 0.01, **kw) -> DataFrame:
     """Average rank joined back onto every row (equi-join on (group, value)).
 
     A value holding at least ``hot_share`` of its group's rows is salted: its
