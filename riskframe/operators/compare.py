@@ -130,7 +130,7 @@ def pairwise_ranksum(df: DataFrame, group: str, value: str, exact_below: int = 5
                    ((F.col("n") + 1) - F.col("tie_sum") / (F.col("n") * (F.col("n") - 1))))
     d = F.col("w") - mu
     corr = F.signum(d) * F.lit(0.5)
-    st = st.withColumn("z", (d - corr) / sigma)
+    st = st.withColumn("z", F.try_divide(d - corr, sigma))   # all-tied pair: NULL, not an error
     return st.select("model_a", "model_b", "w", F.col("n_a").cast("long").alias("n_a"),
                      F.col("n_b").cast("long").alias("n_b"), "tie_sum", "z")
 
