@@ -83,3 +83,27 @@ def test_kendall_pairs_brute_force(spark, rows_per_bucket):
     for (i, j), r in got.items():
         assert r["tau_b"] == pytest.approx(brute(pdf[i].to_numpy(), pdf[j].to_numpy()), abs=1e-12)
     assert len(got) == 3
+
+
+def test_attach_ranks_with_hot_value_is_salted_and_exact(spark):
+    rng = np.random.default_rng(12)
+    n = 600
+    v = rng.normal(size=n).round(2)
+    v[: n // 3] = 7.0                                  # a third of the rows share one value
+    pdf = pd.DataFrame({"id": np.arange(n), "g": "a", "v": v})
+    got = R.attach_ranks(spark.createDataFrame(pdf), ["g"], "v", salt=8, hot_share=0.05).toPandas()
+    got = got.sort_values("id")
+    assert len(got) == n
+    exp = pdf["v"].rank(method="average").to_numpy()
+    assert np.allclose(got["avg_rank"].to_numpy(), exp)
+
+
+def test_split_with_dominant_class(spark):
+    from riskframe.operators import split as SP
+    n = 2000
+    y = np.where(np.arange(n) < 1800, 1, 2)          # 90 % in one class
+    df = spark.createDataFrame(pd.DataFrame({"loan_id": np.arange(n), "y": y}))
+    out = SP.stratified_split(df, "y", "loan_id", 0.3, 5).groupBy("y", "split").count().toPandas()
+    got = {(r.y, r.split): r["count"] for _, r in out.iterrows()}
+    assert got[(1, "test")] == 540 and got[(1, "train")] == 1260
+    assert got[(2, "test")] == 60 and got[(2, "train")] == 140
