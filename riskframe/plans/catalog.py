@@ -882,8 +882,11 @@ def external_scores(spark, sf_dir):
     import uuid
     scored = SP.stratified_kfold(fixed_scored(spark, sf_dir), "y", "loan_id", L.VIEW_FOLDS, EXT_FOLD_SEED)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
-    TB.write_predictions(scored.withColumn("model", F.lit("fixed")), path)
+    # an outside prediction file carries probabilities only: the label is
+    # derived again from them after reading
+    TB.write_predictions(scored.drop("pred").withColumn("model", F.lit("fixed")), path)
     back = TB.read_predictions(spark, path)
+    back = back.withColumn("pred", C.argmax_label(F.array("prob_c1", "prob_c2", "prob_c3")))
     m = metrics.classification_scores(back, ["fold"])
     return rounded(m.select("fold", *_MET_COLS[1:]))
 
