@@ -12,12 +12,15 @@
 from __future__ import annotations
 
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..session import cut_lineage
 from .rank import attach_ranks, distinct_counts, to_long, value_prefix
 
 MAX_FEATURES = 2_000
@@ -223,72 +226,58 @@ def _buckets(pref: DataFrame, buckets: int) -> "Column":
     return base * 2 + hot
 
 
-def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_bucket: int = 50_000,
-                  max_buckets: int = 256) -> DataFrame:
-    """τ-b and z for every column pair (i > j), exact, without a pair join.
+def _sweep(pdf: pd.DataFrame, order: str, idx_col: str) -> tuple[float, float]:
+    pdf = pdf.sort_values([order, idx_col])
+    keys, inv = np.unique(pdf[idx_col].to_numpy(), return_inverse=True)
+    return _fenwick_counts(pdf[order].to_numpy(), None, inv, pdf["w"].to_numpy(dtype="float64"), len(keys))
+
 
-    Rows collapse to distinct (pair, x, y, w). Exact ranks of x and y cut each
-    pair's rows into ordered buckets. Pairs of rows in different x- and
-    y-buckets are counted from the small bucket grid; pairs inside one
-    x-bucket, and pairs inside one y-bucket but different x-buckets, are
-    counted exactly per bucket (a sweep with a Fenwick tree). Buckets holding
-    a single x (or y) value contribute no pairs and are skipped, so a hot
-    value never lands whole in one task.
+def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0) -> DataFrame:
+    """Weighted concordant / discordant pair counts per ``pair`` of the points
+    (pair, x, y, w): C = Σ w_r w_s over x_s < x_r, y_s < y_r; D over x_s < x_r,
+    y_s > y_r (ties count in neither). Exact and distributed:
+
+    * a pair with at most ``rows_per_task`` points is swept in one task;
+    * otherwise exact ranks cut x and y into ordered buckets (a hot value gets
+      a bucket of its own). Pairs of points inside one x-bucket, and inside
+      one y-bucket across x-buckets, are swept per bucket; pairs in different
+      x- and y-buckets are the concordance of the bucket cells weighted by
+      their counts, computed by the same function on the (smaller) cell table.
     """
-    idx = {c: i for i, c in enumerate(cols)}
-    pairs = [(a, b) for a in cols for b in cols if idx[a] > idx[b]]
-    spark = df.sparkSession
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    long_df = sel.select(F.explode(F.array(*[
-        F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in pairs])).alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    dist = long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")).persist()
-    n_rows = dist.groupBy("pair").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
-    nb = 1
-    while nb < n_rows / rows_per_bucket and nb < max_buckets:
-        nb *= 2
-    xs = value_prefix(dist.groupBy("pair", "x").agg(F.sum("w").alias("cnt")), ["pair"], "x")
-    ys = value_prefix(dist.groupBy("pair", "y").agg(F.sum("w").alias("cnt")), ["pair"], "y")
-    xb = xs.select("pair", "x", _buckets(xs, nb).alias("bx"), F.col("cnt").alias("tx"), "n")
-    yb = ys.select("pair", "y", _buckets(ys, nb).alias("by"), F.col("below").alias("ry"),
-                   F.col("cnt").alias("ty"))
-    d = dist.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
-
-    # (1) different x- and y-buckets: per column pair, a dense grid of bucket
-    # counts ((2nb+2)² cells, bounded by max_buckets) swept in one task
-    size = 2 * nb + 2
-
-    def grid_sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        arr = np.zeros((size, size))
-        arr[pdf["bx"].to_numpy(), pdf["by"].to_numpy()] = pdf["c"].to_numpy(dtype="float64")
-        cum = arr.cumsum(0).cumsum(1)                     # Σ over a' ≤ a, b' ≤ b
-        lo_lo = np.zeros_like(cum)
-        lo_lo[1:, 1:] = cum[:-1, :-1]                      # a' < a, b' < b
-        lo_all = np.zeros_like(cum)
-        lo_all[1:, :] = cum[:-1, -1:]                      # a' < a
-        lo_le = np.zeros_like(cum)
-        lo_le[1:, :] = cum[:-1, :]                         # a' < a, b' ≤ b
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "gc": [float((arr * lo_lo).sum())],
-                             "gd": [float((arr * (lo_all - lo_le)).sum())]})
-
-    grid_df = (d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("c"))
-               .groupBy("pair").applyInPandas(grid_sweep, "pair string, gc double, gd double"))
-
-    # (2) same x-bucket (exact), (3) same y-bucket, different x-bucket (exact)
-    schema = "pair string, cc double, cd double"
+    points = points.persist()
+    sizes = points.groupBy("pair").agg(F.count(F.lit(1)).alias("m"))
+    big = [r["pair"] for r in sizes.where(F.col("m") > rows_per_task).select("pair").collect()]
+    schema = "pair string, C double, D double"
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, d = _sweep(pdf, "x", "y")
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "C": [c], "D": [d]})
+
+    small = points.where(~F.col("pair").isin(big)) if big else points
+    out = small.groupBy("pair").applyInPandas(whole, schema)
+    if not big or depth > 24:
+        return out if not big else out.unionByName(
+            points.where(F.col("pair").isin(big)).groupBy("pair").applyInPandas(whole, schema))
+    pts = points.where(F.col("pair").isin(big))
+    m_max = sizes.agg(F.max("m")).first()[0]
+    # buckets: enough for sweeps of ~rows_per_task points, but at most √m/4 so
+    # that the cell table ((2nb+2)² cells) is at least ~4× smaller than the
+    # points and the recursion shrinks; very large pairs sweep ~4√m points.
+    nb = max(1, min(math.ceil(m_max / rows_per_task), int(math.sqrt(m_max) / 4)))
+    xs = value_prefix(pts.groupBy("pair", "x").agg(F.sum("w").alias("cnt")), ["pair"], "x")
+    ys = value_prefix(pts.groupBy("pair", "y").agg(F.sum("w").alias("cnt")), ["pair"], "y")
+    xb = xs.select("pair", "x", _buckets(xs, nb).alias("bx"))
+    yb = ys.select("pair", "y", _buckets(ys, nb).alias("by"), F.col("below").alias("ry"))
+    d = pts.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
 
     def within_x(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "ry"])
-        ranks, inv = np.unique(pdf["ry"].to_numpy(), return_inverse=True)
-        lo, up = _fenwick_counts(pdf["x"].to_numpy(), None, inv, pdf["w"].to_numpy(dtype="float64"), len(ranks))
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "cc": [lo], "cd": [up]})
+        c, dd = _sweep(pdf.rename(columns={"ry": "yk"}), "x", "yk")
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "C": [c], "D": [dd]})
 
     def within_y(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "bx"])
-        bxs, inv = np.unique(pdf["bx"].to_numpy(), return_inverse=True)
-        # earlier (smaller y) rows with smaller bx: concordant; larger bx: discordant
-        lo, up = _fenwick_counts(pdf["y"].to_numpy(), None, inv, pdf["w"].to_numpy(dtype="float64"), len(bxs))
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "cc": [lo], "cd": [up]})
+        # order by y; index = x-bucket (different buckets only: equal bx are skipped)
+        c, dd = _sweep(pdf, "y", "bx")
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "C": [c], "D": [dd]})
 
     multi_x = d.groupBy("pair", "bx").agg(F.countDistinct("x").alias("k")).where("k > 1").drop("k")
     multi_y = d.groupBy("pair", "by").agg(F.countDistinct("y").alias("k"), F.countDistinct("bx").alias("kb")) \
@@ -297,26 +286,48 @@ def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_bucket: int
           .groupBy("pair", "bx").applyInPandas(within_x, schema))
     wy = (d.join(multi_y, ["pair", "by"]).select("pair", "by", "y", "bx", "w")
           .groupBy("pair", "by").applyInPandas(within_y, schema))
-    inner = wx.unionByName(wy).groupBy("pair").agg(F.sum("cc").alias("cc"), F.sum("cd").alias("cd"))
-    tx = xs.select("pair", "n", F.col("cnt").cast("double").alias("t")).groupBy("pair").agg(
+    cells = d.groupBy("pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")) \
+        .agg(F.sum("w").alias("w"))
+    grid = concordance(cut_lineage(cells), rows_per_task, depth + 1)   # short plans per level
+    parts = out.unionByName(wx).unionByName(wy).unionByName(grid)
+    return parts.groupBy("pair").agg(F.sum("C").alias("C"), F.sum("D").alias("D"))
+
+
+def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_task: int = 50_000) -> DataFrame:
+    """τ-b and z for every column pair (i > j), exact, without a pair join.
+
+    Rows collapse to distinct (pair, x, y, w); :func:`concordance` counts
+    concordant and discordant pairs; tie terms come from the distinct x and y
+    counts. A hot value never lands whole in one task, and the bucket grid
+    recurses instead of being capped, so per-task work stays bounded.
+    """
+    idx = {c: i for i, c in enumerate(cols)}
+    pairs = [(a, b) for a in cols for b in cols if idx[a] > idx[b]]
+    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    long_df = sel.select(F.explode(F.array(*[
+        F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+        for a, b in pairs])).alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    dist = long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
+    cd = concordance(dist, rows_per_task)
+    tx = dist.groupBy("pair", "x").agg(F.sum("w").alias("t")).groupBy("pair").agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties_x"),
         F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("vt"),
         F.sum(F.col("t") * (F.col("t") - 1)).alias("t1"),
         F.sum(F.col("t") * (F.col("t") - 1) * (F.col("t") - 2)).alias("t2"),
-        F.first("n").cast("double").alias("n"))
-    ty = ys.select("pair", F.col("cnt").cast("double").alias("u")).groupBy("pair").agg(
+        F.sum("t").alias("n"))
+    ty = dist.groupBy("pair", "y").agg(F.sum("w").alias("u")).groupBy("pair").agg(
         F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("ties_y"),
         F.sum(F.col("u") * (F.col("u") - 1) * (2 * F.col("u") + 5)).alias("vu"),
         F.sum(F.col("u") * (F.col("u") - 1)).alias("u1"),
         F.sum(F.col("u") * (F.col("u") - 1) * (F.col("u") - 2)).alias("u2"))
-    allp = grid_df.join(tx, "pair").join(ty, "pair").join(inner, "pair", "left").fillna(0.0, ["cc", "cd"])
+    allp = cd.join(tx, "pair").join(ty, "pair")
     n = F.col("n")
-    s = (F.col("gc") + F.col("cc")) - (F.col("gd") + F.col("cd"))
+    s_ = F.col("C") - F.col("D")
     n0 = n * (n - 1) / 2
-    tau = F.try_divide(s, F.sqrt((n0 - F.col("ties_x")) * (n0 - F.col("ties_y"))))
+    tau = F.try_divide(s_, F.sqrt((n0 - F.col("ties_x")) * (n0 - F.col("ties_y"))))
     var = ((n * (n - 1) * (2 * n + 5) - F.col("vt") - F.col("vu")) / 18
            + F.col("t1") * F.col("u1") / (2 * n * (n - 1))
            + F.col("t2") * F.col("u2") / (9 * n * (n - 1) * (n - 2)))
-    z = F.try_divide(s, F.sqrt(var))
+    z = F.try_divide(s_, F.sqrt(var))
     return allp.select(F.split("pair", r"\|")[0].alias("col_i"), F.split("pair", r"\|")[1].alias("col_j"),
                        F.col("n").cast("long").alias("n"), tau.alias("tau_b"), z.alias("z"))

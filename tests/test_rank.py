@@ -54,7 +54,7 @@ def test_value_prefix_independent_of_partitioning(spark):
     assert [r["avg_rank"] for r in a] == [r["avg_rank"] for r in b]
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 5])
+@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 40, 7])
 def test_kendall_pairs_brute_force(spark, rows_per_bucket):
     from riskframe.operators.select import kendall_pairs
     rng = np.random.default_rng(9)
@@ -65,7 +65,7 @@ def test_kendall_pairs_brute_force(spark, rows_per_bucket):
     c[:40] = 0.0                       # a hot value
     pdf = pd.DataFrame({"id": np.arange(n), "a": a, "b": b, "c": c})
     got = {(r["col_i"], r["col_j"]): r for r in
-           kendall_pairs(spark.createDataFrame(pdf), ["a", "b", "c"], "id", rows_per_bucket=rows_per_bucket).collect()}
+           kendall_pairs(spark.createDataFrame(pdf), ["a", "b", "c"], "id", rows_per_task=rows_per_bucket).collect()}
 
     def brute(x, y):
         cc = cd = tx = ty = 0
