@@ -756,7 +756,7 @@ def hybrid_logit_scores(spark, sf_dir):
     fitted on train, scored on test."""
     p = P.prepared_loans(spark, sf_dir, materialize=True)
     w, d = _presets(p.model_features)["H1"]
-    return CV.holdout(p.data, [CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="LMNL_H1_16N")])
+    return CV.holdout(p.data, [CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="Hybrid_H1_16N")])
 
 
 @register("dense_net_scores")
@@ -774,7 +774,7 @@ def holdout_scores(spark, sf_dir):
     f = p.model_features
     w, d = _presets(f)["H1"]
     ests = [CV.MNLNewton(f), CV.MNLRidge(f), CV.OrderedLogit(f),
-            CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="LMNL_H1_16N"),
+            CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="Hybrid_H1_16N"),
             CV.HybridNet(None, f, DNN_HIDDEN, epochs=HYBRID_EPOCHS, name="DNN")]
     return CV.holdout(p.data.persist(), ests)
 
@@ -1047,7 +1047,7 @@ def network_variants(spark, sf_dir):
     f = p.model_features
     w, d = _presets(f)["H1"]
     ests = [CV.HybridNet(None, d, HIDDEN, epochs=HYBRID_EPOCHS, name="DNN_extra"),
-            CV.HybridNet(w, w, HIDDEN, epochs=HYBRID_EPOCHS, name="LMNL_same_input")]
+            CV.HybridNet(w, w, HIDDEN, epochs=HYBRID_EPOCHS, name="Hybrid_same_input")]
     return CV.holdout(p.data, ests)
 
 
