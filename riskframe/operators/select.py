@@ -34,14 +34,21 @@ def rank_table(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return ranks.groupBy(key).pivot("feature", cols).agg(F.first("r"))
 
 
-def spearman_pairs(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """Long (col_i, col_j, rho, n) for i > j in ``cols`` order (all pairs,
-    one aggregation over the rank table)."""
+def spearman_pairs(df: DataFrame, cols: list[str], key: str, wide_threshold: int = 24) -> DataFrame:
+    """Long (col_i, col_j, rho, n) for i > j in ``cols`` order.
+
+    The rank sums Σr_i, Σr_i² and Σr_i r_j come from one pass over the rank
+    table: a single aggregation for a few columns; for more than
+    ``wide_threshold`` columns a per-partition numpy Gram matrix summed by the
+    sum-of-partials job (p(p+1)/2 + p + 1 numbers reach the driver), instead
+    of thousands of aggregate expressions."""
     if len(cols) > MAX_FEATURES:
         raise ValueError("spearman_pairs: too many columns")
     rt = rank_table(df, cols, key)
     idx = {c: i for i, c in enumerate(cols)}
     pairs = [(a, b) for a in cols for b in cols if idx[a] > idx[b]]
+    if len(cols) > wide_threshold:
+        return _spearman_from_gram(df.sparkSession, rt, cols, pairs)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
         aggs += [F.sum(c).alias(f"s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"q{i}")]
@@ -61,6 +68,30 @@ def spearman_pairs(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return out
 
 
+def _spearman_from_gram(spark, rt: DataFrame, cols: list[str], pairs: list) -> DataFrame:
+    from ..models.sums import partition_sums
+    p = len(cols)
+    iu = np.triu_indices(p)
+
+    def fn(pdf: pd.DataFrame) -> np.ndarray:
+        r = pdf[cols].to_numpy(dtype="float64")
+        return np.concatenate([[float(len(r))], r.sum(0), (r.T @ r)[iu]])
+    v = partition_sums(rt.select(*cols), fn, 1 + p + len(iu[0]))
+    n, s = v[0], v[1:1 + p]
+    g = np.zeros((p, p))
+    g[iu] = v[1 + p:]
+    g = g + np.triu(g, 1).T
+    idx = {c: i for i, c in enumerate(cols)}
+    rows = []
+    for a, b in pairs:
+        i, j = idx[a], idx[b]
+        num = n * g[i, j] - s[i] * s[j]
+        den = math.sqrt((n * g[i, i] - s[i] * s[i]) * (n * g[j, j] - s[j] * s[j]))
+        rows.append((a, b, float(num / den) if den > 0 else None, int(n)))
+    # one row per column pair: p(p−1)/2 rows, independent of the row count
+    return spark.createDataFrame(rows, "col_i string, col_j string, rho double, n long")
+
+
 def spearman_t(pairs: DataFrame) -> DataFrame:
     """t = ρ √((n−2)/(1−ρ²)) (|ρ| = 1 gives ±inf -> NULL here)."""
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("rho") ** 2))

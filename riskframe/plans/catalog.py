@@ -1130,3 +1130,11 @@ def model_params_roundtrip(spark, sf_dir):
         beta[k] = [by[t] for t in ["const"] + p.model_features]
     scored = score_linear(p.test(), p.model_features, beta, ["loan_id", "y"])
     return metrics.classification_scores(scored, [])
+
+
+@register("spearman_all_features")
+def spearman_all_features(spark, sf_dir):
+    """E1 over every encoded input (numeric, ordinal and one-hot columns), as the
+    reference's full matrix; pairs with |ρ| > 0.5 are the drop candidates."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    return rounded(SEL.spearman_pairs(p.train(), p.features, "loan_id"))

@@ -107,3 +107,31 @@ def test_split_with_dominant_class(spark):
     got = {(r.y, r.split): r["count"] for _, r in out.iterrows()}
     assert got[(1, "test")] == 540 and got[(1, "train")] == 1260
     assert got[(2, "test")] == 60 and got[(2, "train")] == 140
+
+
+def test_spearman_wide_path_equals_aggregate_path(spark):
+    from riskframe.operators.select import spearman_pairs
+    rng = np.random.default_rng(21)
+    n = 300
+    pdf = pd.DataFrame({"id": np.arange(n)})
+    for i in range(5):
+        pdf[f"f{i}"] = rng.integers(0, 6, n).astype(float) + i * rng.normal(size=n).round(1)
+    pdf["f5"] = pdf["f0"]                                # ρ(x, x) = 1
+    df = spark.createDataFrame(pdf)
+    cols = [f"f{i}" for i in range(6)]
+    a = {(r.col_i, r.col_j): r.rho for r in spearman_pairs(df, cols, "id").collect()}
+    b = {(r.col_i, r.col_j): r.rho for r in spearman_pairs(df, cols, "id", wide_threshold=2).collect()}
+    assert a.keys() == b.keys() and len(a) == 15
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-12)
+    assert a[("f5", "f0")] == pytest.approx(1.0)
+    exp = pdf[cols].rank().corr().loc["f3", "f1"]
+    assert a[("f3", "f1")] == pytest.approx(exp, abs=1e-12)
+
+
+def test_kendall_antisymmetric(spark):
+    from riskframe.operators.select import kendall_pairs
+    pdf = pd.DataFrame({"id": np.arange(50), "x": np.arange(50, dtype=float)})
+    pdf["neg"] = -pdf["x"]
+    r = kendall_pairs(spark.createDataFrame(pdf), ["x", "neg"], "id").first()
+    assert r["tau_b"] == pytest.approx(-1.0)
