@@ -51,19 +51,22 @@ def recode_label(df: DataFrame, col: str, mapping: dict, out: str = "y") -> Data
 
 def group_codes(df: DataFrame, col: str, lookup: DataFrame | dict, out: str | None = None,
                 code_col: str = "code", group_col: str = "group",
-                max_broadcast_rows: int = 100_000) -> DataFrame:
+                max_broadcast_rows: int | None = None) -> DataFrame:
     """Many codes -> few groups by a lookup join.
 
-    ``lookup`` is a ``{group: [codes]}`` dict or a (code, group) DataFrame. The
-    lookup side is broadcast only when its row count is within the bound;
-    codes without a group keep their value (pass-through, as a dict replace).
+    ``lookup`` is a ``{group: [codes]}`` dict (broadcast: its size is the
+    dict's) or a (code, group) DataFrame (the planner broadcasts it when its
+    size statistics allow; ``max_broadcast_rows`` forces a row-count check
+    instead). Codes without a group keep their value (pass-through).
     """
     spark = df.sparkSession
     if isinstance(lookup, dict):
         rows = [(c, g) for g, codes in lookup.items() for c in codes]
-        lookup = spark.createDataFrame(rows, f"{code_col} string, {group_col} string")
-    lk = lookup.select(F.col(code_col).alias("__code"), F.col(group_col).alias("__group"))
-    lk = broadcast_if_small(lk, max_broadcast_rows)
+        lk = F.broadcast(spark.createDataFrame(rows, "__code string, __group string"))
+    else:
+        lk = lookup.select(F.col(code_col).alias("__code"), F.col(group_col).alias("__group"))
+        if max_broadcast_rows is not None:
+            lk = broadcast_if_small(lk, max_broadcast_rows)
     out = out or col
     joined = df.join(lk, df[col] == lk["__code"], "left")
     return joined.withColumn(out, F.coalesce(F.col("__group"), F.col(col))).drop("__code", "__group")
