@@ -49,36 +49,23 @@ def hash_prefix(h: Column) -> Column:
 
 
 def rank_by_hash(df: DataFrame, group_cols: list[str], key_col: str, seed: int | str,
-                 rank_col: str = "_rank", size_col: str = "_n", bits: int = HASH_BITS,
-                 max_driver_rows: int = 1 << 20) -> DataFrame:
+                 rank_col: str = "_rank", size_col: str = "_n", bits: int = HASH_BITS) -> DataFrame:
     """Add the 1-based rank of each row inside its group in ``md5(seed|key)`` order
     (ties, practically absent, broken by the key), plus the group size.
 
-    Bucket counts (≤ groups × 2**bits rows) come back in one job; when they
-    fit ``max_driver_rows`` the offsets are running sums on the driver and
-    return as a broadcast table, otherwise a window over the count table
-    computes them on the cluster."""
+    The bucket-count table (≤ groups × 2**bits rows) gets its running sums on
+    the cluster; the join of the offsets back to the rows is sized by AQE at
+    runtime (broadcast when the materialised table is small, else a shuffle
+    join), so no counting job and no driver round trip are needed."""
     h = hash_order(seed, key_col)
     d = df.withColumn("__h", h).withColumn("__b", F.shiftright(hash_prefix(F.col("__h")), 60 - bits))
     counts = d.groupBy(*group_cols, "__b").agg(F.count(F.lit(1)).alias("__bn"))
-    got = counts.limit(max_driver_rows + 1).collect()
-    if len(got) <= max_driver_rows:
-        pdf = pd.DataFrame([r.asDict() for r in got], columns=[*group_cols, "__b", "__bn"])
-        pdf = pdf.sort_values([*group_cols, "__b"], kind="stable")
-        keys = pdf[group_cols].astype(str).agg("\u001f".join, axis=1) if group_cols else pd.Series([""] * len(pdf))
-        csum = pdf.groupby(keys.values)["__bn"].cumsum()
-        pdf["__off"] = (csum - pdf["__bn"]).astype("int64")
-        pdf[size_col] = pdf.groupby(keys.values)["__bn"].transform("sum").astype("int64")
-        schema = counts.select(*group_cols, "__b").schema.add("__off", "long").add(size_col, "long")
-        rows = [tuple(x) for x in pdf[[*group_cols, "__b", "__off", size_col]].itertuples(index=False, name=None)]
-        offsets = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # ≤ max_driver_rows rows
-    else:
-        before = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(
-            *group_cols, "__b",
-            F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__off"),
-            F.sum("__bn").over(Window.partitionBy(*group_cols)).alias(size_col),
-        )
+    before = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *group_cols, "__b",
+        F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__off"),
+        F.sum("__bn").over(Window.partitionBy(*group_cols)).alias(size_col),
+    )
     within = Window.partitionBy(*group_cols, "__b").orderBy("__h", key_col)
     return (d.join(offsets, on=[*group_cols, "__b"], how="inner")
             .withColumn(rank_col, (F.col("__off") + F.row_number().over(within)).cast("long"))
