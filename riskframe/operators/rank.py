@@ -123,10 +123,14 @@ def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col
     cut_rows = dist.groupBy(*group_cols).agg(
         _group_key(group_cols).alias("__k"),
         F.percentile_approx(value_col, fracs, acc).alias("__cuts")).select("__k", "__cuts").collect()
-    cuts = {r["__k"]: np.asarray(r["__cuts"], dtype="float64") for r in cut_rows}
+    # groups × (buckets − 1) cut points: shipped once per executor as a
+    # broadcast variable, not pickled into every task's closure
+    cuts_b = dist.sparkSession.sparkContext.broadcast(
+        {r["__k"]: np.asarray(r["__cuts"], dtype="float64") for r in cut_rows})
 
     @F.pandas_udf("int")
     def bucket_of(key: pd.Series, v: pd.Series) -> pd.Series:
+        cuts = cuts_b.value
         out = np.zeros(len(v), dtype=np.int32)
         vals = v.to_numpy(dtype="float64")
         for k, idx in key.groupby(key).indices.items():
