@@ -954,9 +954,22 @@ def bh_adjust(spark, sf_dir):
     return rounded(CMP.bh_adjust(st, "p_value", "p_adj"))
 
 
-@register("friedman_test")
+def _friedman_test_sql() -> str:
+    base = ORACLES["friedman"]
+    head, tail = base.rsplit("SELECT CAST(k AS BIGINT) AS k", 1)
+    return head.rstrip() + """,
+fr AS (SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n,
+       CAST(12.0 AS DOUBLE) * dev / (n * k * (k + 1) - tie_sum / (k - 1)) AS statistic, CAST(k - 1 AS BIGINT) AS df
+FROM dev CROSS JOIN ties)
+SELECT k, n, round(statistic, 6) AS statistic, df,
+       round(CASE WHEN df % 2 = 0 THEN (SELECT exp(-statistic / 2) * sum(power(statistic / 2, i) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE))
+                                        FROM range(CAST(df / 2 AS BIGINT)) t(i)) END, 6) AS p_value
+FROM fr"""
+
+
+@register("friedman_test", _friedman_test_sql())
 def friedman_test(spark, sf_dir):
-    """I1 with the χ² p-value and the per-model rank sums."""
+    """I1 with the χ² p-value (the oracle uses the closed form for even df)."""
     mv = model_block_values(spark, sf_dir)
     fr = CMP.with_p(CMP.friedman(mv, "model", "block", "value"))
     return rounded(fr)
