@@ -18,9 +18,33 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import compact
+
 MAX_VECTOR = 4_000_000
 
 
+WIDE_LIMIT = 4096
+
+
+def _reduce(parts: DataFrame, size: int) -> np.ndarray:
+    """Add the per-partition vectors. Small vectors: one keyless aggregate over
+    ``size`` columns (partial sums per partition, one final task, whatever
+    spark.sql.shuffle.partitions is). Large vectors: (idx, value) rows summed
+    by ``groupBy(idx)`` (map-side combined)."""
+    if size <= WIDE_LIMIT:
+        row = parts.agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(size)]).first()
+        return np.array([0.0 if row[i] is None else row[i] for i in range(size)], dtype="float64")
+    long_df = parts.select(F.posexplode(F.array(*[F.col(f"v{i}") for i in range(size)])).alias("idx", "val"))
+    vec = np.zeros(size, dtype="float64")
+    for r in long_df.groupBy("idx").agg(F.sum("val").alias("val")).collect():
+        vec[r["idx"]] = r["val"]
+    return vec
+
+
+def _vector_schema(size: int) -> str:
+    return ", ".join(f"v{i} double" for i in range(size))
+
+
 def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
     """Σ over all rows of ``fn(batch)`` (each call returns a length-``size`` vector)."""
     if size > MAX_VECTOR:
@@ -34,13 +58,9 @@ def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size
                 acc += fn(pdf)
                 seen = True
         if seen:
-            yield pd.DataFrame({"idx": np.arange(size, dtype=np.int32), "val": acc})
+            yield pd.DataFrame(acc.reshape(1, -1), columns=[f"v{i}" for i in range(size)])
 
-    out = df.mapInPandas(mapper, "idx int, val double").groupBy("idx").agg(F.sum("val").alias("val"))
-    vec = np.zeros(size, dtype="float64")
-    for r in out.collect():
-        vec[r["idx"]] = r["val"]
-    return vec
+    return _reduce(df.mapInPandas(mapper, _vector_schema(size)), size)
 
 
 def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
@@ -53,13 +73,10 @@ def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
     def mapper(it):
         vec = fold(it)
         if vec is not None:
-            yield pd.DataFrame({"idx": np.arange(size, dtype=np.int32), "val": vec})
+            yield pd.DataFrame(np.asarray(vec, dtype="float64").reshape(1, -1),
+                               columns=[f"v{i}" for i in range(size)])
 
-    out = df.mapInPandas(mapper, "idx int, val double").groupBy("idx").agg(F.sum("val").alias("val"))
-    total = np.zeros(size, dtype="float64")
-    for r in out.collect():
-        total[r["idx"]] = r["val"]
-    return total
+    return _reduce(df.mapInPandas(mapper, _vector_schema(size)), size)
 
 
 def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
@@ -69,6 +86,10 @@ def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
     hash-partitions by ``key`` so per-partition training is repeatable."""
     sel = ([key] if key else []) + ([label] if label else []) + list(cols)
     d = df.select(*sel).dropna()
+    # one Python task per partition and iteration: far more partitions than
+    # cores (e.g. 200 shuffle partitions of a small table) are merged first
+    if not partitions:
+        d = compact(d)
     if partitions:
         d = d.repartition(partitions, key) if key else d.repartition(partitions)
         if key:

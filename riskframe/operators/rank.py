@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import compact
 
 #: distinct values handled by one window task before the value range is cut.
 ROWS_PER_BUCKET = 1 << 21
@@ -99,9 +100,9 @@ def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col
     ``also`` names further count columns whose prefix sums come out as
     ``below_<name>`` (e.g. counts per class for Kendall's τ)."""
     also = also or []
-    dist = dist.persist()
-    stats = dist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__nd"),
-                                          F.sum(cnt_col).alias("n")).persist()
+    dist = compact(dist).persist()
+    stats = compact(dist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__nd"),
+                                                  F.sum(cnt_col).alias("n"))).persist()
     agg = stats.agg(F.count(F.lit(1)).alias("g"), F.max("__nd").alias("m")).first()
     n_groups, max_nd = int(agg["g"] or 0), int(agg["m"] or 0)
     if n_groups > MAX_GROUPS:

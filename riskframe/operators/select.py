@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..session import cut_lineage
+from ..session import compact, cut_lineage
 from .rank import attach_ranks, distinct_counts, to_long, value_prefix
 
 MAX_FEATURES = 2_000
@@ -275,7 +275,7 @@ def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0)
       x- and y-buckets are the concordance of the bucket cells weighted by
       their counts, computed by the same function on the (smaller) cell table.
     """
-    points = points.persist()
+    points = compact(points).persist()
     sizes = points.groupBy("pair").agg(F.count(F.lit(1)).alias("m"))
     big = [r["pair"] for r in sizes.where(F.col("m") > rows_per_task).select("pair").collect()]
     schema = "pair string, C double, D double"
@@ -299,7 +299,7 @@ def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0)
     ys = value_prefix(pts.groupBy("pair", "y").agg(F.sum("w").alias("cnt")), ["pair"], "y")
     xb = xs.select("pair", "x", _buckets(xs, nb).alias("bx"))
     yb = ys.select("pair", "y", _buckets(ys, nb).alias("by"), F.col("below").alias("ry"))
-    d = pts.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
+    d = compact(pts.join(xb, ["pair", "x"]).join(yb, ["pair", "y"])).persist()
 
     def within_x(pdf: pd.DataFrame) -> pd.DataFrame:
         c, dd = _sweep(pdf.rename(columns={"ry": "yk"}), "x", "yk")
@@ -338,7 +338,7 @@ def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_task: int =
     long_df = sel.select(F.explode(F.array(*[
         F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
         for a, b in pairs])).alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    dist = long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
+    dist = compact(long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))).persist()
     cd = concordance(dist, rows_per_task)
     tx = dist.groupBy("pair", "x").agg(F.sum("w").alias("t")).groupBy("pair").agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties_x"),

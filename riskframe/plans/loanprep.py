@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, prep, split
-from ..session import cut_lineage
+from ..session import compact, cut_lineage
 from ..sources import loans as L
 
 #: seeds of the view's pipeline (down-sample, split, folds).
@@ -49,7 +49,7 @@ def split_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 then C2: remove a share of class 1, then the stratified 70/30 split."""
     # reused by four passes (two hash ranks); blocks lost with an executor are
     # recomputed from the deterministic lineage
-    d = cleaned_loans(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    d = compact(cleaned_loans(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
     d = split.down_sample(d, "y", "loan_id", remove_share={1: L.VIEW_REMOVE_SHARE_CLASS1},
                           seed=DOWNSAMPLE_SEED)
     return split.stratified_split(d, "y", "loan_id", L.VIEW_TEST_FRACTION, SPLIT_SEED)
@@ -79,7 +79,7 @@ def prepared_loans(spark: SparkSession, sf_dir: str, scale: bool = True, folds:
 
     ``materialize`` writes the result to the checkpoint folder (lineage cut)
     for iterative consumers such as the fitters."""
-    s = split_loans(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    s = compact(split_loans(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
     train = s.where(F.col("split") == "train")
     tspec = prep.fit_transformer(train, L.VIEW_MEDIAN_COLUMNS, L.VIEW_ORDINAL_COLUMNS,
                                  L.VIEW_ONEHOT_COLUMNS, PASSTHROUGH)

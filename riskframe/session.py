@@ -56,11 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def compact(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Merge partitions (no shuffle) when a table has far more partitions than
+    the cluster has cores — e.g. 200 shuffle partitions of a small table
+    about to be cached, which AQE does not coalesce inside cached plans. On a
+    cluster whose partition count is sized to the data this is a no-op."""
+    cap = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(cap) if df.rdd.getNumPartitions() > cap else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's checkpoint folder (survives
     executor loss; never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return compact(df).checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
