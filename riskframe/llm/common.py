@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +90,51 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         sign = new
     stars = cur.select("u", F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("u"), "root").distinct())
+
+
+def key128(*cols: str | Column) -> Column:
+    """A 16-byte key of the values: two 64-bit hashes under different seeds."""
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *cols)), 16, "0") for seed in (101, 202)]
+    return F.unhex(F.concat(*halves))
+
+
+def text_key(text: Column) -> Column:
+    """A 16-byte key of a whole text."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def runs_by(batches, names: list[str]):
+    """Consecutive rows with equal values in ``names``, as (values, Arrow table);
+    for batches whose rows are sorted by these columns. Holds one run at a time."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(n).to_pylist() for n in names]
+        rows = list(zip(*cols))
+        at = 0
+        for i in range(1, len(rows) + 1):
+            if i < len(rows) and rows[i] == rows[at]:
+                continue
+            if held and rows[at] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = rows[at]
+            held.append(batch.slice(at, i - at))
+            at = i
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index reachable from each of n nodes over the links (i, j)."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new

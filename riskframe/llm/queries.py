@@ -2,13 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat_format, sharding
+from riskframe.llm import (chat_format, decontaminate, embedding_dedup, html_extract, ngram_join, packing, sharding,
+                           suffix_dedup, token_files, toxicity)
 from riskframe.llm.common import read_table
 
 TOXIC_AT = 0.7
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
+
+
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents")).drop("key")
+
+
+def op6_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_previous_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(doc_id: str) -> Column:
+    """Documents whose labels the fit never sees."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
+
+
+def op8_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return (toxicity.score(docs, model).withColumn("held_out", held_out("doc_id"))
+            .withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int")))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +93,20 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_files.read_token_files(manifest)
+
+
 QUERIES = {
+    "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
+    "op2_wrapper_induction": op2_wrapper_induction,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_int8_embedding_dedup": op6_int8_embedding_dedup,
+    "op7_previous_factor_dedup": op7_previous_factor_dedup,
+    "op8_multiple_instance_toxicity": op8_multiple_instance_toxicity,
+    "op4_cutting_stock_packing": op4_cutting_stock_packing,
+    "op10_arrow_token_files": op10_arrow_token_files,
     "op5_chat_formatting": op5_chat_formatting,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
 }
