@@ -194,6 +194,10 @@ def flat_grad(spec: HybridSpec, g: dict) -> np.ndarray:
     return np.concatenate([g[name].ravel() for name, _ in spec.shapes()])
 
 
+#: parts that train side by side and are averaged after every epoch.
+SHARDS = 8
+
+
 @dataclass
 class HybridResult:
     spec: HybridSpec
@@ -208,17 +212,34 @@ class HybridResult:
         return int(np.count_nonzero(self.params))
 
 
-def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "loan_id", epochs: int = 50,
-               batch_size: int = 32, lr: float = 1e-3, seed: int = 10, partitions: int | None = None,
-               init_beta: np.ndarray | None = None, train_beta: bool = True) -> HybridResult:
-    """Train by per-partition Adam epochs + row-weighted averaging.
+def _loss_accuracy(data: DataFrame, spec: HybridSpec, params: np.ndarray, label: str) -> tuple[float, float]:
+    wide, deep, classes = spec.wide or [], list(spec.deep or []), spec.classes
 
-    The design is hash-partitioned by key (``partitions``, default: the
-    cluster's parallelism) and persisted, so every epoch sees the same
-    partitions in the same order; a partition streams its Arrow batches."""
+    def fn(pdf):
+        q = pdf[deep].to_numpy(dtype="float64") if deep else np.zeros((len(pdf), 0))
+        u, _ = spec.forward(unpack(spec, params), design_matrix(pdf, wide), q)
+        pr, yi = softmax_rows(u), label_index(pdf, label, classes)
+        return np.array([-np.log(np.clip(pr[np.arange(len(pdf)), yi], 1e-300, None)).sum(),
+                         (pr.argmax(1) == yi).sum(), len(pdf)], dtype="float64")
+    loss, correct, n = partition_sums(data, fn, 3)
+    return (float(loss / n), float(correct / n)) if n else (float("nan"), float("nan"))
+
+
+def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "loan_id", epochs: int = 50,
+               batch_size: int = 32, lr: float = 1e-3, seed: int = 10, shards: int = SHARDS,
+               init_beta: np.ndarray | None = None, train_beta: bool = True,
+               validation: DataFrame | None = None) -> HybridResult:
+    """Train by per-shard Adam epochs + row-weighted averaging.
+
+    The design is hash-partitioned by key into ``shards`` parts, a parameter of the
+    model like the batch size: the weights do not depend on the cluster. It is
+    persisted, so every epoch sees the same parts in the same order; a part
+    streams its Arrow batches. History rows are (epoch, loss, accuracy), followed
+    by the loss and accuracy on ``validation`` where given (forward pass without
+    dropout)."""
     cols = list(dict.fromkeys((spec.wide or []) + spec.deep))
-    parts = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    data = cached_design(df, cols, label, key=key, partitions=parts)
+    data = cached_design(df, cols, label, key=key, partitions=shards)
+    held = None if validation is None else cached_design(validation, cols, label)
     size = spec.size()
     params = init_params(spec, seed, init_beta)
     m = np.zeros(size)
@@ -275,8 +296,11 @@ def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "lo
         m = tot[size:2 * size] / n_total
         v = tot[2 * size:3 * size] / n_total
         t = t + tot[3 * size] / n_total
-        history.append((epoch + 1, float(tot[-2] / n_total), float(tot[-1] / n_total)))
+        row = (epoch + 1, float(tot[-2] / n_total), float(tot[-1] / n_total))
+        history.append(row + (_loss_accuracy(held, spec, params, label) if held is not None else ()))
     data.unpersist()
+    if held is not None:
+        held.unpersist()
     return HybridResult(spec, params, history, int(n_total))
 
 

@@ -1,48 +1,47 @@
 """The sum-of-partials job shared by the iterative fitters.
 
 Each partition turns its rows (Arrow batches -> numpy) into one fixed-size
-vector of partial sums (log-likelihood, gradient, information matrix, ...).
-The vectors leave the partitions as ``(idx, value)`` rows and are added by a
-``groupBy(idx).sum`` — map-side partial aggregation keeps the shuffle at
-``size`` rows per partition — so the driver receives exactly ``size``
-numbers, independent of the row count.
+vector of partial sums (log-likelihood, gradient, information matrix, ...). A
+vector leaves its partition as one ``array<double>`` row. The rows are added in
+two levels: dealt over ``FAN_IN`` keys (AQE merges the partitions of a small
+table into one) and added there, then added once more in one task, so the
+driver receives one vector whatever the number of partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import compact
 
 MAX_VECTOR = 4_000_000
+FAN_IN = 1024
+_VECTOR = "shard int, vec array<double>"
 
 
-WIDE_LIMIT = 4096
+def _row(vec: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [TaskContext.get().partitionId() % FAN_IN], "vec": [np.asarray(vec, dtype="float64")]})
 
 
-def _reduce(parts: DataFrame, size: int) -> np.ndarray:
-    """Add the per-partition vectors. Small vectors: one keyless aggregate over
-    ``size`` columns (partial sums per partition, one final task, whatever
-    spark.sql.shuffle.partitions is). Large vectors: (idx, value) rows summed
-    by ``groupBy(idx)`` (map-side combined)."""
-    if size <= WIDE_LIMIT:
-        row = parts.agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(size)]).first()
-        return np.array([0.0 if row[i] is None else row[i] for i in range(size)], dtype="float64")
-    long_df = parts.select(F.posexplode(F.array(*[F.col(f"v{i}") for i in range(size)])).alias("idx", "val"))
-    vec = np.zeros(size, dtype="float64")
-    for r in long_df.groupBy("idx").agg(F.sum("val").alias("val")).collect():
-        vec[r["idx"]] = r["val"]
-    return vec
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        vecs = batch.column("vec")
+        for i in range(len(vecs)):
+            v = vecs[i].values.to_numpy()
+            total = v.copy() if total is None else total + v
+    if total is not None:
+        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["shard", "vec"])
 
 
-def _vector_schema(size: int) -> str:
-    return ", ".join(f"v{i} double" for i in range(size))
+def _reduce(parts: DataFrame, size: int) -> np.ndarray:
+    """Add the per-partition vectors; no partition had rows: zeros."""
+    row = parts.repartition("shard").mapInArrow(_add, _VECTOR).repartition(1).mapInArrow(_add, _VECTOR).first()
+    return np.zeros(size) if row is None else np.array(row["vec"], dtype="float64")
 
 
 def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
@@ -58,9 +57,9 @@ def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size
                 acc += fn(pdf)
                 seen = True
         if seen:
-            yield pd.DataFrame(acc.reshape(1, -1), columns=[f"v{i}" for i in range(size)])
+            yield _row(acc)
 
-    return _reduce(df.mapInPandas(mapper, _vector_schema(size)), size)
+    return _reduce(df.mapInPandas(mapper, _VECTOR), size)
 
 
 def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
@@ -73,10 +72,9 @@ def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
     def mapper(it):
         vec = fold(it)
         if vec is not None:
-            yield pd.DataFrame(np.asarray(vec, dtype="float64").reshape(1, -1),
-                               columns=[f"v{i}" for i in range(size)])
+            yield _row(vec)
 
-    return _reduce(df.mapInPandas(mapper, _vector_schema(size)), size)
+    return _reduce(df.mapInPandas(mapper, _VECTOR), size)
 
 
 def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
@@ -86,10 +84,6 @@ def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
     hash-partitions by ``key`` so per-partition training is repeatable."""
     sel = ([key] if key else []) + ([label] if label else []) + list(cols)
     d = df.select(*sel).dropna()
-    # one Python task per partition and iteration: far more partitions than
-    # cores (e.g. 200 shuffle partitions of a small table) are merged first
-    if not partitions:
-        d = compact(d)
     if partitions:
         d = d.repartition(partitions, key) if key else d.repartition(partitions)
         if key:

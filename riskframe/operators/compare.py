@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,15 +115,18 @@ def pairwise_ranksum(df: DataFrame, group: str, value: str, exact_below: int = 5
     route = [(a, b, a, 1) for i, a in enumerate(models) for b in models[i + 1:]] + \
             [(a, b, b, 0) for i, a in enumerate(models) for b in models[i + 1:]]
     routes = spark.createDataFrame(route, f"model_a string, model_b string, {group} string, is_a int")
-    rows = df.select(F.col(group).cast("string").alias(group), F.col(value).cast("double").alias("v"))
+    # equal values of a model travel to its pairs as one counted row
+    rows = (df.select(F.col(group).cast("string").alias(group), F.col(value).cast("double").alias("v"))
+            .groupBy(group, "v").agg(F.count(F.lit(1)).alias("c")))
     routed = rows.join(F.broadcast(routes), on=group)  # ≤ MAX_MODELS² routing rows
-    dist = routed.groupBy("model_a", "model_b", "v").agg(F.count(F.lit(1)).alias("cnt"),
-                                                         F.sum("is_a").alias("cnt_a"))
+    dist = routed.groupBy("model_a", "model_b", "v").agg(F.sum("c").alias("cnt"),
+                                                         F.sum(F.col("c") * F.col("is_a")).alias("cnt_a"))
     pref = value_prefix(dist, ["model_a", "model_b"], "v")
     st = pref.groupBy("model_a", "model_b").agg(
         F.sum(F.col("cnt_a") * (F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))).alias("r_a"),
         F.sum("cnt_a").alias("n_a"), F.first("n").alias("n"),
         F.sum(F.pow(F.col("cnt"), 3) - F.col("cnt")).alias("tie_sum"))
+    st = st.withColumns({c: F.col(c).cast("double") for c in ("n_a", "n")})   # products of counts leave the long range
     st = st.withColumn("n_b", F.col("n") - F.col("n_a")).withColumn(
         "w", F.col("r_a") - F.col("n_a") * (F.col("n_a") + 1) / F.lit(2.0))
     mu = F.col("n_a") * F.col("n_b") / F.lit(2.0)
@@ -138,17 +142,19 @@ def pairwise_ranksum(df: DataFrame, group: str, value: str, exact_below: int = 5
 def ranksum_p(st: DataFrame, exact_below: int = 50) -> DataFrame:
     """p-values for :func:`pairwise_ranksum` rows: exact without ties when both
     samples are below ``exact_below``, else the corrected normal approximation."""
-    exact = F.pandas_udf(_exact_p_series, "double")
+    exact = F.pandas_udf(_exact_p_series(exact_below), "double")
     normal = tails.normal_two_sided_p_udf(F.col("z"))
     use_exact = (F.col("tie_sum") == 0) & (F.col("n_a") < exact_below) & (F.col("n_b") < exact_below)
     return st.withColumn("p_value", F.when(use_exact, exact(F.col("w"), F.col("n_a"), F.col("n_b")))
                          .otherwise(normal))
 
 
-def _exact_p_series(w, m, n):
-    import pandas as pd
-    return pd.Series([wilcox_exact_p(a, int(b), int(c)) if b < 50 and c < 50 else math.nan
-                      for a, b, c in zip(w, m, n)])
+def _exact_p_series(exact_below: int):
+    def run(w: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        # the branch is chosen per row, the function sees all rows of a batch
+        return pd.Series([wilcox_exact_p(a, int(b), int(c)) if b < exact_below and c < exact_below else math.nan
+                          for a, b, c in zip(w, m, n)])
+    return run
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value", out: str = "p_adj", partition: list[str] | None = None

@@ -38,9 +38,10 @@ def design_terms(wide: list[str], classes=(1, 2, 3)) -> list[tuple[str, int, str
 
 def choice_long(df: DataFrame, key: str, label: str, wide: list[str], classes=(1, 2, 3)) -> DataFrame:
     """F1 explicit long form: one row per (key, alternative, nonzero design
-    term) with the chosen flag: (key, alt, chosen, term, value)."""
+    term) with the chosen flag: (key, alt, chosen, term, value). The base alternative,
+    whose terms are all zero, has one row with term 'BASE' and value 0."""
     classes = list(classes)
-    entries = []
+    entries = [F.struct(F.lit(classes[0]).alias("alt"), F.lit("BASE").alias("term"), F.lit(0.0).alias("value"))]
     for term, alt, col in design_terms(wide, classes):
         entries.append(F.struct(F.lit(alt).alias("alt"), F.lit(term).alias("term"),
                                 (F.lit(1.0) if col is None else F.col(col).cast("double")).alias("value")))

@@ -1,8 +1,8 @@
 """What-if analyses (J4-J8) as Spark jobs.
 
-Linear models stay column expressions: a grid of steps is generated per row
-by ``explode(sequence(0, n-1))`` (a fixed-size expansion, no join), the
-modified utilities are recomputed, and one ``groupBy(step)`` aggregates.
+Linear models stay column expressions. Mean utilities are linear in the changed
+feature, so averages over the rows give every grid step (J5, J7); predicted
+classes are recomputed per row and step (J6).
 Network models use ``mapInPandas`` forward/backward passes.
 """
 
@@ -62,34 +62,45 @@ def share_elasticity(df: DataFrame, features: list[str], beta: dict, feature: st
         "cls", F.substring("cls", 2, 10).cast("int"))
 
 
+def _steps_of(one_row: DataFrame, lo: float, hi: float, n: int, values: dict, out: str) -> DataFrame:
+    """Grid steps on a one-row table; ``values`` maps a class to its value at a point."""
+    d = _with_steps(one_row, n).withColumn("point", grid_point(F.col("step"), lo, hi, n))
+    agg = d.select("step", "point", *[v(F.col("point")).alias(f"c{k}") for k, v in values.items()])
+    return agg.unpivot(["step", "point"], list(agg.columns[2:]), "cls", out).withColumn(
+        "cls", F.substring("cls", 2, 10).cast("int"))
+
+
+def _slopes(features: list[str], beta, feature: str, classes: list[int]) -> dict[int, float]:
+    """Coefficient of ``feature`` in the utility of every class (0 for the base)."""
+    i = features.index(feature) + 1
+    if isinstance(beta, np.ndarray):
+        beta = dict(zip(classes[1:], beta))
+    return {k: float(beta[k][i]) if k in beta else 0.0 for k in classes}
+
+
 def utility_sensitivity(df: DataFrame, features: list[str], beta: dict, feature: str, lo: float = -0.3,
                         hi: float = 0.3, n: int = 100, classes=(1, 2, 3)) -> DataFrame:
-    """Same grid; mean change of each class utility. Rows: (step, point, cls, mean_change)."""
-    classes = list(classes)
-    base_u = class_utilities(features, beta, classes)
-    d = df.select(*features).withColumns({f"__b{k}": u for k, u in zip(classes, base_u)})
-    d = _with_steps(d, n).withColumn("point", grid_point(F.col("step"), lo, hi, n))
-    scaled = [F.col(f) * (F.lit(1.0) + F.col("point")) if f == feature else F.col(f) for f in features]
-    d = d.withColumns({f"__x{i}": c for i, c in enumerate(scaled)})
-    new_u = class_utilities([f"__x{i}" for i in range(len(features))], beta, classes)
-    agg = d.groupBy("step", "point").agg(*[F.avg(u - F.col(f"__b{k}")).alias(f"c{k}")
-                                           for k, u in zip(classes, new_u)])
-    return agg.unpivot(["step", "point"], [f"c{k}" for k in classes], "cls", "mean_change").withColumn(
-        "cls", F.substring("cls", 2, 10).cast("int"))
+    """Same grid; mean change of each class utility. Rows: (step, point, cls, mean_change).
+
+    A linear utility changes by b·x·point, so one average gives every step."""
+    slopes = _slopes(features, beta, feature, list(classes))
+    mean = df.agg(F.avg(feature).alias("mean"))
+    return _steps_of(mean, lo, hi, n, {k: lambda p, b=b: F.lit(b) * F.col("mean") * p for k, b in slopes.items()},
+                     "mean_change")
 
 
 def partial_dependence(df: DataFrame, features: list[str], beta: dict, feature: str, lo: float, hi: float,
                        n: int = 20, classes=(1, 2, 3)) -> DataFrame:
     """Set ``feature`` to each grid point; mean utility of each class.
-    Rows: (step, point, cls, mean_utility)."""
+    Rows: (step, point, cls, mean_utility). The utility is linear: the mean with the
+    feature at zero plus b·point."""
     classes = list(classes)
-    d = _with_steps(df.select(*features), n).withColumn("point", grid_point(F.col("step"), lo, hi, n))
-    cols = [F.col("point") if f == feature else F.col(f) for f in features]
-    d = d.withColumns({f"__x{i}": c for i, c in enumerate(cols)})
+    slopes = _slopes(features, beta, feature, classes)
+    zero = df.select(*[(F.lit(0.0) if f == feature else F.col(f)).alias(f"__x{i}") for i, f in enumerate(features)])
     us = class_utilities([f"__x{i}" for i in range(len(features))], beta, classes)
-    agg = d.groupBy("step", "point").agg(*[F.avg(u).alias(f"c{k}") for k, u in zip(classes, us)])
-    return agg.unpivot(["step", "point"], [f"c{k}" for k in classes], "cls", "mean_utility").withColumn(
-        "cls", F.substring("cls", 2, 10).cast("int"))
+    means = zero.agg(*[F.avg(u).alias(f"m{k}") for k, u in zip(classes, us)])
+    return _steps_of(means, lo, hi, n, {k: lambda p, k=k, b=b: F.col(f"m{k}") + F.lit(b) * p for k, b in slopes.items()},
+                     "mean_utility")
 
 
 def saliency(df: DataFrame, result: HybridResult, label: str = "y") -> DataFrame:

@@ -92,6 +92,8 @@ def auc_ovr(pred: DataFrame, group_cols: list[str], y: str = "y", probs: list[st
     per = pref.groupBy(*g, "cls").agg(
         F.sum(F.col("pos") * (F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))).alias("r1"),
         F.sum("pos").alias("n1"), F.first("n").alias("n"))
+    # counts as doubles before they are multiplied: n1 * (n1 + 1) leaves the long range from 3e9 rows on
+    per = per.withColumns({c: F.col(c).cast("double") for c in ("n1", "n")})
     per = per.withColumn("auc", F.when((F.col("n1") > 0) & (F.col("n") > F.col("n1")),
                                        (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)) /
                                        (F.col("n1") * (F.col("n") - F.col("n1")))))

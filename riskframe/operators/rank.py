@@ -19,14 +19,11 @@ Two building blocks:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import compact
 
 #: distinct values handled by one window task before the value range is cut.
 ROWS_PER_BUCKET = 1 << 21
@@ -34,8 +31,6 @@ MAX_BUCKETS = 1 << 14
 #: hash buckets per group for the hash order (n / 2**bits rows per window
 #: group: 1e12 rows in 3 classes -> ~5e6 rows per group at 16 bits).
 HASH_BITS = 16
-MAX_GROUPS = 1 << 16
-MAX_BROADCAST_ROWS = 1 << 22
 
 
 def hash_order(seed: int | str, key: str | Column) -> Column:
@@ -49,6 +44,13 @@ def hash_prefix(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` in which NULL equals NULL; the columns appear once."""
+    r = right.withColumnsRenamed({c: f"__r_{c}" for c in cols})
+    on = [left[c].eqNullSafe(r[f"__r_{c}"]) for c in cols]
+    return left.join(r, on, how).drop(*[f"__r_{c}" for c in cols])
+
+
 def rank_by_hash(df: DataFrame, group_cols: list[str], key_col: str, seed: int | str,
                  rank_col: str = "_rank", size_col: str = "_n", bits: int = HASH_BITS) -> DataFrame:
     """Add the 1-based rank of each row inside its group in ``md5(seed|key)`` order
@@ -68,7 +70,7 @@ def rank_by_hash(df: DataFrame, group_cols: list[str], key_col: str, seed: int |
         F.sum("__bn").over(Window.partitionBy(*group_cols)).alias(size_col),
     )
     within = Window.partitionBy(*group_cols, "__b").orderBy("__h", key_col)
-    return (d.join(offsets, on=[*group_cols, "__b"], how="inner")
+    return (null_safe_join(d, offsets, [*group_cols, "__b"])
             .withColumn(rank_col, (F.col("__off") + F.row_number().over(within)).cast("long"))
             .drop("__h", "__b", "__off"))
 
@@ -100,24 +102,20 @@ def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col
     ``also`` names further count columns whose prefix sums come out as
     ``below_<name>`` (e.g. counts per class for Kendall's τ)."""
     also = also or []
-    dist = compact(dist).persist()
-    stats = compact(dist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__nd"),
-                                                  F.sum(cnt_col).alias("n"))).persist()
-    agg = stats.agg(F.count(F.lit(1)).alias("g"), F.max("__nd").alias("m")).first()
-    n_groups, max_nd = int(agg["g"] or 0), int(agg["m"] or 0)
-    if n_groups > MAX_GROUPS:
-        raise ValueError(f"value_prefix: {n_groups} groups exceed the bound {MAX_GROUPS}")
-    stats_b = F.broadcast(stats.drop("__nd"))  # bounded by MAX_GROUPS rows (checked above)
+    dist = dist.persist()
+    stats = dist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__nd"),
+                                                  F.sum(cnt_col).alias("n")).persist()
+    max_nd = int(stats.agg(F.max("__nd").alias("m")).first()["m"] or 0)
+    stats_b = stats.drop("__nd")     # a row per group; AQE sizes the join
     buckets = 1
-    while buckets < max_nd / rows_per_bucket and buckets < max_buckets \
-            and n_groups * buckets * 2 <= MAX_BROADCAST_ROWS:
+    while buckets < max_nd / rows_per_bucket and buckets < max_buckets:
         buckets *= 2
     if buckets == 1:
         before = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(
             Window.unboundedPreceding, -1)
         out = dist.withColumns({("below" if c == cnt_col else f"below_{c}"):
                                 F.coalesce(F.sum(c).over(before), F.lit(0)) for c in [cnt_col, *also]})
-        return out.join(stats_b, on=group_cols)
+        return null_safe_join(out, stats_b, group_cols)
     # quantile cut points of the distinct values, per group (groups × buckets numbers)
     fracs = [i / buckets for i in range(1, buckets)]
     acc = max(10_000, 50 * buckets)
@@ -145,16 +143,13 @@ def value_prefix(dist: DataFrame, group_cols: list[str], value_col: str, cnt_col
     ob = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = btot.select(*group_cols, "__b", *[F.coalesce(F.sum(f"__bt{i}").over(ob), F.lit(0)).alias(f"__off{i}")
                                                for i in range(len(cols))])
-    # offsets: groups × buckets rows; broadcast only within the bound
-    if n_groups * buckets <= MAX_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     before = Window.partitionBy(*group_cols, "__b").orderBy(value_col).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = d.join(offsets, on=[*group_cols, "__b"]).withColumns({
+    out = null_safe_join(d, offsets, [*group_cols, "__b"]).withColumns({
         n: F.col(f"__off{i}") + F.coalesce(F.sum(c).over(before), F.lit(0))
         for i, (c, n) in enumerate(zip(cols, names))})
     out = out.drop("__b", *[f"__off{i}" for i in range(len(cols))])
-    return out.join(stats_b, on=group_cols)
+    return null_safe_join(out, stats_b, group_cols)
 
 
 def average_ranks(long_df: DataFrame, group_cols: list[str], value_col: str,
@@ -172,19 +167,23 @@ def attach_ranks(long_df: DataFrame, group_cols: list[str], value_col: str,
     A value holding at least ``hot_share`` of its group's rows is salted: its
     rows spread over ``salt`` join keys (a hash of the row) and its single
     rank row is repeated for each key, so no join task receives a hot value
-    whole. The hot list is at most 1/hot_share values per group (broadcast)."""
+    whole. The hot list is at most 1/hot_share values per group. Rows with a NULL
+    value have no rank and take no part in the joins."""
+    nulls = long_df.where(F.col(value_col).isNull()).withColumn(rank_col, F.lit(None).cast("double"))
+    long_df = long_df.where(F.col(value_col).isNotNull())
     ranks = average_ranks(long_df, group_cols, value_col, rank_col, **kw).select(
         *group_cols, value_col, rank_col, "cnt", "n")
     is_hot = F.col("cnt") >= F.col("n") * F.lit(hot_share)
     hot = ranks.where(is_hot).select(*group_cols, value_col, F.lit(True).alias("__hot"))
     row_hash = F.xxhash64(*[F.col(c) for c in long_df.columns])
-    salted = (long_df.join(F.broadcast(hot), on=[*group_cols, value_col], how="left")
+    salted = (null_safe_join(long_df, hot, [*group_cols, value_col], "left")
               .withColumn("__salt", F.when(F.col("__hot"), F.pmod(row_hash, F.lit(salt))).otherwise(F.lit(0)))
               .drop("__hot"))
     rk = ranks.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salt - 1)))
                                                .otherwise(F.array(F.lit(0))))).select(
         *group_cols, value_col, "__salt", rank_col)
-    return salted.join(rk, on=[*group_cols, value_col, "__salt"], how="left").drop("__salt")
+    ranked = null_safe_join(salted, rk, [*group_cols, value_col, "__salt"], "left").drop("__salt")
+    return ranked.unionByName(nulls)
 
 
 def exact_median(long_df: DataFrame, group_cols: list[str], value_col: str,
@@ -201,7 +200,3 @@ def exact_median(long_df: DataFrame, group_cols: list[str], value_col: str,
             .groupBy(*group_cols)
             .agg(((F.max(F.when(covers(r_lo), F.col(value_col))) +
                    F.max(F.when(covers(r_hi), F.col(value_col)))) / F.lit(2.0)).alias(out)))
-
-
-def bucket_count_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1.0, n / rows_per_bucket))))

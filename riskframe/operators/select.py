@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..session import compact, cut_lineage
+from ..session import cut_lineage
 from .rank import attach_ranks, distinct_counts, to_long, value_prefix
 
 MAX_FEATURES = 2_000
@@ -34,38 +34,19 @@ def rank_table(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return ranks.groupBy(key).pivot("feature", cols).agg(F.first("r"))
 
 
-def spearman_pairs(df: DataFrame, cols: list[str], key: str, wide_threshold: int = 24) -> DataFrame:
-    """Long (col_i, col_j, rho, n) for i > j in ``cols`` order.
+def spearman_pairs(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """Long (col_i, col_j, rho, n) for i > j in ``cols`` order, over the rows
+    without a NULL in any of ``cols`` (n of them).
 
-    The rank sums Σr_i, Σr_i² and Σr_i r_j come from one pass over the rank
-    table: a single aggregation for a few columns; for more than
-    ``wide_threshold`` columns a per-partition numpy Gram matrix summed by the
-    sum-of-partials job (p(p+1)/2 + p + 1 numbers reach the driver), instead
-    of thousands of aggregate expressions."""
+    Ranks are taken on these rows; their sums, squares and products come from one
+    pass over the rank table as a Gram matrix per partition, added by the
+    sum-of-partials job (p(p+1)/2 + p + 1 numbers, for any number of columns)."""
     if len(cols) > MAX_FEATURES:
         raise ValueError("spearman_pairs: too many columns")
-    rt = rank_table(df, cols, key)
+    rt = rank_table(df.dropna(subset=list(cols)), cols, key)
     idx = {c: i for i, c in enumerate(cols)}
     pairs = [(a, b) for a in cols for b in cols if idx[a] > idx[b]]
-    if len(cols) > wide_threshold:
-        return _spearman_from_gram(df.sparkSession, rt, cols, pairs)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(cols):
-        aggs += [F.sum(c).alias(f"s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"q{i}")]
-    for a, b in pairs:
-        aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"p{idx[a]}_{idx[b]}"))
-    sums = rt.agg(*aggs)
-    rows = []
-    for a, b in pairs:
-        i, j = idx[a], idx[b]
-        n = F.col("n")
-        num = n * F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}")
-        den = F.sqrt((n * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")) *
-                     (n * F.col(f"q{j}") - F.col(f"s{j}") * F.col(f"s{j}")))
-        rows.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"),
-                             F.try_divide(num, den).alias("rho")))
-    out = sums.select("n", F.explode(F.array(*rows)).alias("r")).select("r.col_i", "r.col_j", "r.rho", "n")
-    return out
+    return _spearman_from_gram(df.sparkSession, rt, cols, pairs)
 
 
 def _spearman_from_gram(spark, rt: DataFrame, cols: list[str], pairs: list) -> DataFrame:
@@ -129,13 +110,15 @@ def kendall_with_label(df: DataFrame, cols: list[str], label: str, classes: list
     dist = distinct_counts(long_df, ["feature"], "x", extra)
     cn = [f"c{i}" for i in range(len(classes))]
     pref = value_prefix(dist, ["feature"], "x", also=cn)
-    conc = sum((F.col(cn[k]) * sum((F.col(f"below_{cn[j]}") for j in range(k)), F.lit(0))
-                for k in range(len(cn))), F.lit(0))
-    disc = sum((F.col(cn[k]) * sum((F.col(f"below_{cn[j]}") for j in range(k + 1, len(cn))), F.lit(0))
-                for k in range(len(cn))), F.lit(0))
+    # counts as doubles before they are multiplied: products of counts leave the long range
+    c_ = [F.col(c).cast("double") for c in cn]
+    below = [F.col(f"below_{c}").cast("double") for c in cn]
+    conc = sum((c_[k] * sum((below[j] for j in range(k)), F.lit(0.0)) for k in range(len(cn))), F.lit(0.0))
+    disc = sum((c_[k] * sum((below[j] for j in range(k + 1, len(cn))), F.lit(0.0)) for k in range(len(cn))),
+               F.lit(0.0))
     t = F.col("cnt").cast("double")
     per = pref.groupBy("feature").agg(
-        F.sum(conc.cast("double")).alias("C"), F.sum(disc.cast("double")).alias("D"),
+        F.sum(conc).alias("C"), F.sum(disc).alias("D"),
         F.first("n").alias("n"),
         F.sum(t * (t - 1) / 2).alias("ties_x"),
         F.sum(t * (t - 1) * (2 * t + 5)).alias("vt"),
@@ -163,17 +146,23 @@ def with_normal_p(df: DataFrame, z: str = "z") -> DataFrame:
 
 # ------------------------------------------------------------------ E6/E7
 def correlated_to_drop(pairs: DataFrame, label_assoc: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """E6 rule: drop a column that has a partner with |ρ| > threshold whose
-    |τ with the label| is larger (ties: the partner with the smaller name is
-    kept). Returns (column) rows to drop."""
-    strong = pairs_above(pairs, threshold)
-    both = strong.select(F.col("col_i").alias("a"), F.col("col_j").alias("b")).unionByName(
-        strong.select(F.col("col_j").alias("a"), F.col("col_i").alias("b")))
-    ta = label_assoc.select(F.col("feature").alias("a"), F.abs("tau_b").alias("ta"))
-    tb = label_assoc.select(F.col("feature").alias("b"), F.abs("tau_b").alias("tb"))
-    j = both.join(ta, "a").join(tb, "b")
-    loses = (F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("b") < F.col("a")))
-    return j.where(loses).select(F.col("a").alias("column")).distinct()
+    """Greedy choice. Columns are taken by |τ with the label|, largest first
+    (ties: the smaller name); a column is dropped if |ρ| with a column kept before
+    exceeds ``threshold``. Returns (column) rows to drop. The choice runs over the
+    tables of columns and strong pairs, at most MAX_FEATURES columns."""
+    tau = {r["feature"]: abs(r["tau_b"] or 0.0) for r in label_assoc.select("feature", "tau_b").collect()}
+    near: dict[str, set[str]] = {}
+    for r in pairs_above(pairs, threshold).select("col_i", "col_j").collect():
+        near.setdefault(r["col_i"], set()).add(r["col_j"])
+        near.setdefault(r["col_j"], set()).add(r["col_i"])
+    kept: set[str] = set()
+    dropped = []
+    for c in sorted(tau, key=lambda c: (-tau[c], c)):
+        if near.get(c, set()) & kept:
+            dropped.append((c,))
+        else:
+            kept.add(c)
+    return pairs.sparkSession.createDataFrame(dropped, "column string")
 
 
 def unrelated_to_label(label_assoc_p: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -192,7 +181,7 @@ def mutual_info_binned(df: DataFrame, cols: list[str], label: str, bins: int = 1
     row-level join back is needed (a hot value is one row throughout)."""
     long_df = to_long(df.select(label, *cols), cols, [label], "feature", "x").where(F.col("x").isNotNull())
     if classes is None:
-        classes = sorted(r[0] for r in df.select(label).distinct().limit(10_001).collect())
+        classes = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
     extra = {f"c{i}": F.sum((F.col(label) == F.lit(k)).cast("long")) for i, k in enumerate(classes)}
     dist = distinct_counts(long_df, ["feature"], "x", extra)
     pref = value_prefix(dist, ["feature"], "x").withColumn(
@@ -211,41 +200,37 @@ def mutual_info_binned(df: DataFrame, cols: list[str], label: str, bins: int = 1
 
 
 # ------------------------------------------------------------------ E4
-def _fenwick_counts(order_key: np.ndarray, group_key: np.ndarray, idx: np.ndarray, w: np.ndarray, size: int):
-    """Rows sorted by ``order_key``; rows with equal order_key are queried before
-    any of them is inserted (ties contribute nothing). For each row, weight of
-    earlier rows with smaller / larger ``idx`` (Fenwick tree over idx)."""
-    tree = np.zeros(size + 1)
-    total = 0.0
-    lower = 0.0
-    upper = 0.0
-    n = len(order_key)
-    start = 0
-    while start < n:
-        end = start
-        while end < n and order_key[end] == order_key[start]:
-            end += 1
-        for r in range(start, end):
-            i = int(idx[r])
-            s_lt = 0.0
-            j = i
-            while j > 0:
-                s_lt += tree[j]
-                j -= j & -j
-            s_le = 0.0
-            j = i + 1
-            while j > 0:
-                s_le += tree[j]
-                j -= j & -j
-            lower += w[r] * s_lt
-            upper += w[r] * (total - s_le)
-        for r in range(start, end):
-            j = int(idx[r]) + 1
-            while j <= size:
-                tree[j] += w[r]
-                j += j & -j
-            total += w[r]
-        start = end
+def _merge_counts(order: np.ndarray, idx: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Σ w_r w_s over s with a smaller order and a smaller (larger) idx than r; ties
+    count in neither. One sort and binary searches per block size, no loop over rows."""
+    n = len(order)
+    if n < 2:
+        return 0.0, 0.0
+    by = np.lexsort((idx, order))
+    order, idx, w = order[by], idx[by].astype(np.int64), w[by].astype("float64")
+    # equal orders must not meet: the left part of a row is the rows of smaller order
+    first = np.searchsorted(order, order, side="left")
+    top = int(idx.max()) + 1
+    lower = upper = 0.0
+    size = 1
+    pos = np.arange(n)
+    while size < n:
+        # blocks of ``size`` rows sorted by idx; the prefix [0, first) of a row is made of
+        # one block for every binary digit of ``first``
+        block = pos // size
+        key = block * top + idx
+        srt = np.argsort(key, kind="stable")
+        cum = np.concatenate([[0.0], np.cumsum(w[srt])])
+        ks = key[srt]
+        use = (first // size) % 2 == 1
+        b = first[use] // size - 1
+        lo = np.searchsorted(ks, b * top, side="left")
+        lt = np.searchsorted(ks, b * top + idx[use], side="left")
+        le = np.searchsorted(ks, b * top + idx[use], side="right")
+        hi = np.searchsorted(ks, (b + 1) * top, side="left")
+        lower += float((w[use] * (cum[lt] - cum[lo])).sum())
+        upper += float((w[use] * (cum[hi] - cum[le])).sum())
+        size *= 2
     return lower, upper
 
 
@@ -258,9 +243,8 @@ def _buckets(pref: DataFrame, buckets: int) -> "Column":
 
 
 def _sweep(pdf: pd.DataFrame, order: str, idx_col: str) -> tuple[float, float]:
-    pdf = pdf.sort_values([order, idx_col])
-    keys, inv = np.unique(pdf[idx_col].to_numpy(), return_inverse=True)
-    return _fenwick_counts(pdf[order].to_numpy(), None, inv, pdf["w"].to_numpy(dtype="float64"), len(keys))
+    _, inv = np.unique(pdf[idx_col].to_numpy(), return_inverse=True)
+    return _merge_counts(pdf[order].to_numpy(), inv, pdf["w"].to_numpy(dtype="float64"))
 
 
 def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0) -> DataFrame:
@@ -275,7 +259,7 @@ def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0)
       x- and y-buckets are the concordance of the bucket cells weighted by
       their counts, computed by the same function on the (smaller) cell table.
     """
-    points = compact(points).persist()
+    points = points.persist()
     sizes = points.groupBy("pair").agg(F.count(F.lit(1)).alias("m"))
     big = [r["pair"] for r in sizes.where(F.col("m") > rows_per_task).select("pair").collect()]
     schema = "pair string, C double, D double"
@@ -299,7 +283,7 @@ def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0)
     ys = value_prefix(pts.groupBy("pair", "y").agg(F.sum("w").alias("cnt")), ["pair"], "y")
     xb = xs.select("pair", "x", _buckets(xs, nb).alias("bx"))
     yb = ys.select("pair", "y", _buckets(ys, nb).alias("by"), F.col("below").alias("ry"))
-    d = compact(pts.join(xb, ["pair", "x"]).join(yb, ["pair", "y"])).persist()
+    d = pts.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
 
     def within_x(pdf: pd.DataFrame) -> pd.DataFrame:
         c, dd = _sweep(pdf.rename(columns={"ry": "yk"}), "x", "yk")
@@ -338,7 +322,7 @@ def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_task: int =
     long_df = sel.select(F.explode(F.array(*[
         F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
         for a, b in pairs])).alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    dist = compact(long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))).persist()
+    dist = long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
     cd = concordance(dist, rows_per_task)
     tx = dist.groupBy("pair", "x").agg(F.sum("w").alias("t")).groupBy("pair").agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties_x"),

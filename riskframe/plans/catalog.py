@@ -454,19 +454,49 @@ def kendall_y_pvalues(spark, sf_dir):
     return rounded(k.withColumn("unrelated", F.col("p_value") >= 0.05))
 
 
-@register("drop_correlated", "WITH " + _stats_ctes() + """,
+@register("drop_correlated", "WITH RECURSIVE " + _stats_ctes() + """,
 strong AS (SELECT col_i AS a, col_j AS b FROM spear WHERE abs(rho) > 0.5
            UNION ALL SELECT col_j, col_i FROM spear WHERE abs(rho) > 0.5),
-j AS (SELECT s.a, s.b, abs(ta.tau_b) AS ta, abs(tb.tau_b) AS tb FROM strong s
-      JOIN ktau ta ON ta.feature = s.a JOIN ktau tb ON tb.feature = s.b)
-SELECT DISTINCT a AS "column" FROM j WHERE tb > ta OR (tb = ta AND b < a)""")
+ord AS (SELECT feature, row_number() OVER (ORDER BY abs(tau_b) DESC, feature) AS k FROM ktau),
+near AS (SELECT o.feature, o.k, coalesce(list(s.b) FILTER (s.b IS NOT NULL), []) AS partners
+         FROM ord o LEFT JOIN strong s ON s.a = o.feature GROUP BY o.feature, o.k),
+greedy(k, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
+  UNION ALL SELECT n.k, CASE WHEN list_has_any(g.kept, n.partners) THEN g.kept ELSE list_append(g.kept, n.feature) END
+  FROM greedy g JOIN near n ON n.k = g.k + 1)
+SELECT feature AS "column" FROM ord
+WHERE NOT list_contains((SELECT kept FROM greedy ORDER BY k DESC LIMIT 1), feature)""")
 def drop_correlated(spark, sf_dir):
-    tr = _train_scaled(spark, sf_dir).persist()
+    """Greedy, by |τ with y|: a column goes if a kept column correlates with it."""
+    tr = _train_scaled(spark, sf_dir)
     pairs = SEL.spearman_pairs(tr, _STAT_COLS, "loan_id")
     tau = SEL.kendall_with_label(tr, _STAT_COLS, "y", CLASSES)
     return SEL.correlated_to_drop(pairs, tau, 0.5)
 
 
+_NULL_COLS = ["emp_length", "dti", "int_rate", "installment", "revol_bal"]
+
+
+@register("spearman_with_nulls", "WITH " + S.split_ctes() + """,
+view_nulls AS (SELECT loan_id, """ + ", ".join(
+    f"CASE WHEN loan_id % {7 + 2 * i} = 0 THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for i, c in enumerate(_NULL_COLS)) + """
+               FROM splitted WHERE split = 'train'),
+whole AS (SELECT * FROM view_nulls WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _NULL_COLS) + """),
+lr AS (""" + " UNION ALL ".join(
+    f"SELECT loan_id, '{c}' AS feature, {i} AS pos, {c} AS value FROM whole" for i, c in enumerate(_NULL_COLS)) + """),
+rk AS (SELECT loan_id, feature, pos, rank() OVER (PARTITION BY feature ORDER BY value) +
+              CAST(count(*) OVER (PARTITION BY feature, value) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS r FROM lr)
+SELECT a.feature AS col_i, b.feature AS col_j, round(corr(a.r, b.r), 6) AS rho, count(*) AS n
+FROM rk a JOIN rk b ON a.loan_id = b.loan_id AND a.pos > b.pos GROUP BY a.feature, b.feature""")
+def spearman_with_nulls(spark, sf_dir):
+    """E1 on columns with NULLs: complete cases, before imputation (the view's own
+    columns have few NULLs, so one in 7, 9, ... ids is blanked in each column)."""
+    tr = P.split_loans(spark, sf_dir).where(F.col("split") == "train")
+    holes = tr.select("loan_id", *[F.when(F.col("loan_id") % (7 + 2 * i) != 0, F.col(c).cast("double")).alias(c)
+                                   for i, c in enumerate(_NULL_COLS)])
+    return rounded(SEL.spearman_pairs(holes, _NULL_COLS, "loan_id"))
+
+
 MI_BINS = 10
 
 
@@ -496,7 +526,9 @@ PRESETS = {  # F2 presets over the fixed-β numeric inputs (static names)
 
 
 def _choice_long_sql() -> str:
-    parts = []
+    base = CLASSES[0]
+    parts = [f"SELECT loan_id, {base} AS alt, CAST(y = {base} AS INTEGER) AS chosen, 'BASE' AS term, "
+             "CAST(0.0 AS DOUBLE) AS value FROM tr"]
     for term, alt, col in DS.design_terms(FIXED_FEATURES, CLASSES):
         val = "CAST(1.0 AS DOUBLE)" if col is None else f"CAST({col} AS DOUBLE)"
         parts.append(f"SELECT loan_id, {alt} AS alt, CAST(y = {alt} AS INTEGER) AS chosen, '{term}' AS term, "
@@ -677,8 +709,9 @@ from ..models.mnl import fit_mnl  # noqa: E402
 from ..models.ordered import brant_test, fit_ordered  # noqa: E402
 from . import crossval as CV  # noqa: E402
 
-HYBRID_EPOCHS = 20       # the reference runs 50-100; rounds are a declared parameter
-GRID_EPOCHS = 5
+HYBRID_EPOCHS = 50       # as the reference's cross-validation
+GRID_EPOCHS = 50
+GRID_SIZES = [16, 32, 40, 56, 72, 96]
 HIDDEN = 16
 DNN_HIDDEN = 40
 
@@ -719,14 +752,13 @@ def mnl_l2(spark, sf_dir):
 
 @register("mnl_shared_beta")
 def mnl_shared_beta(spark, sf_dir):
-    """The same MNL likelihood trained by data-parallel Adam (the
-    reference's linear-in-parameters network), started from Newton's
-    estimates shrunk to half (start values)."""
+    """The same MNL likelihood trained by data-parallel Adam (the reference's
+    linear-in-parameters network), started at zero; Newton's estimates beside it."""
     p = P.prepared_loans(spark, sf_dir, materialize=True)
-    tr = p.train().persist()
+    tr = p.train()
     newton = fit_mnl(tr, p.model_features)
     spec = HY.HybridSpec(p.model_features, [], classes=CLASSES)
-    r = HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS, init_beta=newton.beta * 0.5)
+    r = HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS)
     beta = r.weights()["beta"]
     rows = [(f"y={k}", t, float(beta[a, j]), float(newton.beta[a, j]))
             for a, k in enumerate(CLASSES[1:]) for j, t in enumerate(["const"] + p.model_features)]
@@ -776,7 +808,7 @@ def holdout_scores(spark, sf_dir):
     ests = [CV.MNLNewton(f), CV.MNLRidge(f), CV.OrderedLogit(f),
             CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="Hybrid_H1_16N"),
             CV.HybridNet(None, f, DNN_HIDDEN, epochs=HYBRID_EPOCHS, name="DNN")]
-    return CV.holdout(p.data.persist(), ests)
+    return CV.holdout(p.data, ests)
 
 
 @register("cv_scores")
@@ -790,10 +822,10 @@ def cv_scores(spark, sf_dir):
 
 @register("size_grid")
 def size_grid(spark, sf_dir):
-    """Network size grid (16/32/40 units) × preset, 5-fold CV on train."""
+    """Network size grid (16 to 96 units) × preset, 5-fold CV on train."""
     p = P.prepared_loans(spark, sf_dir, folds=True)
     tr = p.data.where(F.col("split") == "train")
-    return CV.grid(tr, _presets(p.model_features), [16, 32, 40], L.VIEW_FOLDS, GRID_EPOCHS)
+    return CV.grid(tr, _presets(p.model_features), GRID_SIZES, L.VIEW_FOLDS, GRID_EPOCHS)
 
 
 def _fitted_hybrid(spark, sf_dir):
@@ -806,9 +838,14 @@ def _fitted_hybrid(spark, sf_dir):
 
 @register("training_history")
 def training_history(spark, sf_dir):
-    """Per-epoch training loss and accuracy of the hybrid logit."""
-    _, _, r = _fitted_hybrid(spark, sf_dir)
-    return spark.createDataFrame(r.history, "epoch int, loss double, accuracy double")
+    """G13 with C4: per-epoch loss and accuracy of the hybrid logit on its training rows
+    and on a held-out third of the training part."""
+    p = P.prepared_loans(spark, sf_dir, materialize=True)
+    w, d = _presets(p.model_features)["H1"]
+    parts = SP.tail_validation(p.train(), "y", "loan_id")
+    r = HY.fit_hybrid(parts.where("not is_validation"), HY.HybridSpec(w, d, HIDDEN, classes=CLASSES),
+                      epochs=HYBRID_EPOCHS, validation=parts.where("is_validation"))
+    return spark.createDataFrame(r.history, "epoch int, loss double, accuracy double, val_loss double, val_accuracy double")
 
 
 @register("hybrid_coef_table")

@@ -106,6 +106,39 @@ LOAN_MAX_NULLS = 60
 #: class-1 rows removed by the down-sample.
 LOAN_REMOVE_CLASS1 = 1_000_000
 
+#: text columns of the raw file that the preparation uses; every other used column is a number.
+LOAN_TEXT_COLUMNS = ["loan_status", "term", "purpose", "emp_length", "verification_status", "addr_state",
+                     "initial_list_status", "hardship_flag", "disbursement_method", "grade", "sub_grade"]
+#: encoded columns dropped because they correlate with a kept one.
+LOAN_DROP_CORRELATED = [
+    "recoveries", "bc_open_to_buy", "num_rev_accts", "open_acc", "total_rev_hi_lim", "num_actv_bc_tl",
+    "num_actv_rev_tl", "loan_amnt", "funded_amnt", "avg_cur_bal", "annual_inc", "all_util", "bc_util",
+    "percent_bc_gt_75", "mths_since_recent_bc", "acc_open_past_24mths", "sub_grade", "grade", "acc_now_delinq",
+    "last_fico_range_high", "collection_recovery_fee", "num_op_rev_tl", "num_sats", "num_bc_tl",
+    "num_rev_tl_bal_gt_0", "total_pymnt", "total_pymnt_inv", "total_rec_prncp", "total_rec_int", "tot_hi_cred_lim",
+    "total_bc_limit", "last_pymnt_amnt", "mo_sin_rcnt_tl", "num_tl_op_past_12m", "total_bal_ex_mort",
+    "total_il_high_credit_limit", "mort_acc", "num_il_tl", "num_tl_30dpd", "fico_range_high",
+    "num_accts_ever_120_pd", "num_tl_90g_dpd_24m", "pub_rec_bankruptcies", "addr_state_Western region",
+]
+#: encoded columns dropped because they are unrelated to the label.
+LOAN_DROP_UNRELATED = ["purpose_house", "purpose_other"]
+#: the model inputs in their order.
+LOAN_FEATURES = [
+    "emp_length", "dti", "pct_tl_nvr_dlq", "revol_util", "inq_last_6mths", "verification_status_Verified",
+    "purpose_car", "purpose_debt_consolidation", "purpose_home_improvement", "purpose_major_purchase",
+    "purpose_small_business", "initial_list_status_w", "hardship_flag_Y", "disbursement_method_DirectPay",
+    "addr_state_Midwest region", "addr_state_Northeast region", "addr_state_Southern region", "term", "int_rate",
+    "installment", "delinq_2yrs", "fico_range_low", "pub_rec", "revol_bal", "total_acc", "out_prncp",
+    "total_rec_late_fee", "last_fico_range_low", "collections_12_mths_ex_med", "tot_coll_amt", "tot_cur_bal",
+    "chargeoff_within_12_mths", "mo_sin_rcnt_rev_tl_op", "num_bc_sats", "tax_liens",
+]
+#: inputs of the network part of H1, and the linear inputs of H2 and H3; the other part is the rest.
+LOAN_H1_DEEP = ["purpose_home_improvement", "purpose_major_purchase", "addr_state_Midwest region",
+                "addr_state_Northeast region", "addr_state_Southern region", "delinq_2yrs", "tot_coll_amt"]
+LOAN_H2_WIDE = ["dti", "inq_last_6mths", "verification_status_Verified", "term", "int_rate", "fico_range_low",
+                "out_prncp", "total_rec_late_fee", "last_fico_range_low"]
+LOAN_H3_WIDE = ["dti", "int_rate", "fico_range_low", "last_fico_range_low"]
+
 # ---------------------------------------------------------------------------
 # Parameters of the view over the driver tables (our choice, not the reference's).
 # ---------------------------------------------------------------------------

@@ -80,7 +80,7 @@ def test_ordered_recovers(spark):
 def test_hybrid_loss_decreases_and_scores(spark):
     df = sim_mnl(spark, 2000)
     spec = HY.HybridSpec(["x1"], ["x2", "x3"], hidden=8)
-    r = HY.fit_hybrid(df, spec, epochs=6, partitions=4)
+    r = HY.fit_hybrid(df, spec, epochs=6, shards=4)
     losses = [h[1] for h in r.history]
     assert losses[-1] < losses[0]
     s = HY.score_hybrid(df, r, ["loan_id", "y"]).toPandas()
@@ -112,5 +112,71 @@ def test_altnet_gradient_and_training(spark):
         e[i] = eps
         assert (loss(params + e) - loss(params - e)) / (2 * eps) == pytest.approx(g[i], rel=1e-4, abs=1e-6)
     df = sim_mnl(spark, 1000)
-    r = HY.fit_hybrid(df, HY.AltNetSpec(["x1", "x2", "x3"], hidden=4, linear=True), epochs=4, partitions=2)
+    r = HY.fit_hybrid(df, HY.AltNetSpec(["x1", "x2", "x3"], hidden=4, linear=True), epochs=4, shards=2)
     assert r.history[-1][1] < r.history[0][1]
+
+
+def test_brant_uses_the_covariance_between_the_fits(spark):
+    from riskframe.models.ordered import brant_test
+    rng = np.random.default_rng(12)
+    n = 3000
+    x = rng.normal(size=(n, 2))
+    lat = x @ np.array([0.8, -0.5]) + rng.logistic(size=n)
+    y = 1 + (lat > -0.5).astype(int) + (lat + 0.15 * x[:, 0] > 1.0)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y.astype(int)}))
+    got = {r[0]: r[1:] for r in brant_test(df, ["a", "b"])}
+    # the same by plain numpy
+    z = np.hstack([np.ones((n, 1)), x])
+    bs, ps, vs = [], [], []
+    for k in (1, 2):
+        t, b = (y > k).astype(float), np.zeros(3)
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-z @ b))
+            v = np.linalg.inv(z.T @ (z * (p * (1 - p))[:, None]))
+            b = b + v @ (z.T @ (t - p))
+        bs.append(b), ps.append(p), vs.append(v)
+    c12 = vs[0] @ (z.T @ (z * (ps[1] * (1 - ps[0]))[:, None])) @ vs[1]
+    cov = (vs[0] + vs[1] - c12 - c12.T)[1:, 1:]
+    d = (bs[1] - bs[0])[1:]
+    assert got["Omnibus"][0] == pytest.approx(d @ np.linalg.solve(cov, d), rel=1e-5) and got["Omnibus"][1] == 2
+    assert got["a"][0] == pytest.approx(d[0] ** 2 / cov[0, 0], rel=1e-5)
+
+
+def test_ordered_logit_names_collinear_columns(spark):
+    from riskframe.models.ordered import fit_ordered
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "b": 2 * x, "y": rng.integers(1, 4, 300)}))
+    with pytest.raises(ValueError, match="a"):
+        fit_ordered(df, ["a", "b"])
+
+
+def test_weights_do_not_depend_on_partitions_and_validation_history(spark):
+    df = sim_mnl(spark, 600)
+    spec = HY.HybridSpec(["x1"], ["x2", "x3"], 4, classes=[1, 2, 3])
+    a = HY.fit_hybrid(df.repartition(3), spec, epochs=2)
+    b = HY.fit_hybrid(df.repartition(7), spec, epochs=2, validation=df)
+    assert np.allclose(a.params, b.params, atol=1e-12)
+    assert len(a.history[0]) == 3 and len(b.history[0]) == 5 and 0 < b.history[-1][4] <= 1
+
+
+def test_frozen_betas_stay(spark):
+    df = sim_mnl(spark, 400)
+    spec = HY.HybridSpec(["x1"], ["x2", "x3"], 4, classes=[1, 2, 3])
+    start = np.array([[0.1, 0.7], [-0.2, 0.4]])
+    r = HY.fit_hybrid(df, spec, epochs=2, init_beta=start, train_beta=False)
+    assert np.allclose(r.weights()["beta"], start)
+    moved = HY.fit_hybrid(df, spec, epochs=2, init_beta=start)
+    assert not np.allclose(moved.weights()["beta"], start)
+
+
+def test_partial_sums_add_up_over_any_partitions(spark):
+    from riskframe.models.sums import partition_sums
+    df = spark.range(1000).selectExpr("cast(id as double) as x")
+
+    def fn(pdf):
+        return np.concatenate([[len(pdf), pdf["x"].sum()], np.full(5000, 1.0) * len(pdf)])
+    for n in (1, 3, 40):
+        v = partition_sums(df.repartition(n), fn, 5002)
+        assert v[0] == 1000 and v[1] == 499500 and (v[2:] == 1000).all()
+    assert (partition_sums(df.where("false"), fn, 5002) == 0).all()

@@ -109,7 +109,7 @@ def test_split_with_dominant_class(spark):
     assert got[(2, "test")] == 60 and got[(2, "train")] == 140
 
 
-def test_spearman_wide_path_equals_aggregate_path(spark):
+def test_spearman_equals_pandas_with_and_without_nulls(spark):
     from riskframe.operators.select import spearman_pairs
     rng = np.random.default_rng(21)
     n = 300
@@ -120,13 +120,19 @@ def test_spearman_wide_path_equals_aggregate_path(spark):
     df = spark.createDataFrame(pdf)
     cols = [f"f{i}" for i in range(6)]
     a = {(r.col_i, r.col_j): r.rho for r in spearman_pairs(df, cols, "id").collect()}
-    b = {(r.col_i, r.col_j): r.rho for r in spearman_pairs(df, cols, "id", wide_threshold=2).collect()}
-    assert a.keys() == b.keys() and len(a) == 15
-    for k in a:
-        assert a[k] == pytest.approx(b[k], abs=1e-12)
+    assert len(a) == 15
     assert a[("f5", "f0")] == pytest.approx(1.0)
     exp = pdf[cols].rank().corr().loc["f3", "f1"]
     assert a[("f3", "f1")] == pytest.approx(exp, abs=1e-12)
+    holes = pdf.copy()
+    for i, c in enumerate(cols):
+        holes.loc[holes.index % (7 + i) == 0, c] = None
+    for use in (cols, cols[:3]):             # few and many columns: one definition
+        whole = holes.dropna(subset=use)
+        exp = whole[use].rank().corr()
+        sdf = spark.createDataFrame(holes.astype(object).where(holes.notna(), None), df.schema)
+        for r in spearman_pairs(sdf, use, "id").collect():
+            assert r.n == len(whole) and r.rho == pytest.approx(exp.loc[r.col_i, r.col_j], abs=1e-10)
 
 
 def test_kendall_antisymmetric(spark):
@@ -135,3 +141,26 @@ def test_kendall_antisymmetric(spark):
     pdf["neg"] = -pdf["x"]
     r = kendall_pairs(spark.createDataFrame(pdf), ["x", "neg"], "id").first()
     assert r["tau_b"] == pytest.approx(-1.0)
+
+
+def test_split_and_ranks_keep_null_groups(spark):
+    from riskframe.operators import rank as RK, split as SP
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(100)], "loan_id long, y int")
+    out = SP.stratified_split(df, "y", "loan_id", 0.3, 5)
+    assert out.count() == 100 and out.where("y is null and split = 'test'").count() == 6
+    long_df = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 2.0), ("a", None), ("a", 3.0)], "g string, v double")
+    got = sorted((str(r.g), str(r.v), str(r.avg_rank)) for r in RK.attach_ranks(long_df, ["g"], "v").collect())
+    assert got == sorted([("None", "1.0", "1.5"), ("None", "1.0", "1.5"), ("None", "2.0", "3.0"), ("a", "None", "None"),
+                          ("a", "3.0", "1.0")])
+
+
+def test_merge_counts_equal_all_pairs():
+    from riskframe.operators.select import _merge_counts
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 17, 64, 200):
+        x, y, w = rng.integers(0, 12, n), rng.integers(0, 9, n), rng.random(n)
+        lt = (x[None, :] < x[:, None])
+        ww = w[:, None] * w[None, :]
+        lower, upper = _merge_counts(x, y, w)
+        assert lower == pytest.approx((ww * (lt & (y[None, :] < y[:, None]))).sum())
+        assert upper == pytest.approx((ww * (lt & (y[None, :] > y[:, None]))).sum())
