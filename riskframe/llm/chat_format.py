@@ -101,8 +101,7 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
                            p["tokens"].alias("tokens")))))
     convs = convs.withColumn("flat", flat)
     for k in KINDS:    # the number that the first part of this kind gets in every turn
-        before = F.transform("t", lambda t, k=k: F.size(F.filter(t["parts"], lambda p: p["kind"] == k)))
-        convs = convs.withColumn(f"{k}s", _before(before))
+        convs = convs.withColumn(f"{k}s", _before(F.transform("t", _count_of(k))))
 
     def body(t: Column, i: Column) -> Column:
         def piece(p: Column, j: Column) -> Column:
@@ -136,6 +135,10 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
         F.aggregate("flat", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"))
 
 
+def _count_of(kind: str):
+    return lambda t: F.size(F.filter(t["parts"], lambda p: p["kind"] == kind))
+
+
 def _before(sizes: Column) -> Column:
     """Sums of the entries before each entry of an int array."""
     return F.aggregate(

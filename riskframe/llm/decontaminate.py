@@ -164,18 +164,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR
                block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, distance,
     allowed, start, length (code points of the text)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("k"), text_or_empty(item_text_col).alias("t"))
-    chars = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    blocks = parts_for(chars, block_chars)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
-        found = _scan(rows, [(r["k"], r["t"]) for r in part], error_share)
+    for items in _blocks(benchmark, item_col, item_text_col, block_chars):
+        found = _scan(rows, items, error_share)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no test item is found."""
+    def scan(told):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(told.value, error_share)
+            for batch in batches:
+                texts = batch.column(text_col).to_pylist()
+                yield batch.filter(pa.array([not matcher.match(t or "") for t in texts], pa.bool_()))
+        return run
+
+    for items in _blocks(benchmark, item_col, item_text_col, block_chars):
+        docs = docs.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str,
+            block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The test items in blocks of bounded size."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("k"), text_or_empty(item_text_col).alias("t"))
+    blocks = parts_for(items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0, block_chars)
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
+        yield [(r["k"], r["t"]) for r in part]
+
+
 def _scan(rows: DataFrame, items: list[tuple[int | None, str]], error_share: float) -> DataFrame:
     told = rows.sparkSession.sparkContext.broadcast(items)
 
