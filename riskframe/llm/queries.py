@@ -86,6 +86,42 @@ FROM e GROUP BY conv_id
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT text, min(doc_id) AS class_id, count(*) AS copies FROM d GROUP BY text),
+w AS (SELECT class_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM c),
+s AS (SELECT class_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+             lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS sh FROM w WHERE len(w) > 0),
+e AS (SELECT class_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.class_id AS u, b.class_id AS v FROM e a JOIN e b ON a.g = b.g AND a.class_id <> b.class_id
+          GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+root AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+n AS (SELECT l.u, sum(c.copies) AS k FROM links l JOIN c ON c.class_id = l.v GROUP BY l.u),
+known AS (SELECT s.class_id, c.copies - 1 + coalesce(n.k, 0) AS n_links, least(s.class_id, coalesce(root.v, s.class_id)) AS component_id
+          FROM s JOIN c USING (class_id) LEFT JOIN n ON n.u = s.class_id LEFT JOIN root ON root.u = s.class_id)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links,
+       coalesce(k.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(k.component_id, d.doc_id) AS kept
+FROM d JOIN c USING (text) LEFT JOIN known k ON k.class_id = c.class_id
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v
+       WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+root AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS k FROM links GROUP BY u)
+SELECT v.vec_id, coalesce(n.k, 0) AS n_links, least(v.vec_id, coalesce(root.v, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(root.v, v.vec_id)) AS kept
+FROM v LEFT JOIN n ON n.u = v.vec_id LEFT JOIN root ON root.u = v.vec_id
+"""
+
+
 def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = sharding.with_slots(sharding.shuffle_shards(docs, sharding.default_path(docs)))
@@ -111,5 +147,7 @@ QUERIES = {
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
 }
 ORACLES = {
+    "op3_ngram_jaccard_join": OP3_SQL,
+    "op6_int8_embedding_dedup": OP6_SQL,
     "op5_chat_formatting": OP5_SQL,
 }
