@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import text_or_empty
 
-FIT_DOCS = 12_000          # labelled rows to learn from, at most
+FIT_DOCS = 6_000          # labelled rows to learn from, at most
 FEATURES = 3_000           # weights, at most
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -89,50 +88,87 @@ def softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
-def choose_features(bags: list[list[set[str]]], y: np.ndarray, most: int = FEATURES, least_docs: int = 5,
+@dataclass
+class Bags:
+    """Documents as numbers: word ``code`` of sentence ``sentence``, once per sentence;
+    ``doc`` of every sentence; the ``words`` by code."""
+    words: list[str]
+    code: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "Bags":
+        index: dict[str, int] = {}
+        codes, owners, docs, n = [], [], [], 0
+        for d, text in enumerate(texts):
+            own, at = [], []
+            for a, b in sentences(text):
+                here = {index.setdefault(w, len(index)) for w in _WORD.findall(text[a:b].lower())}
+                own += here
+                at += [n] * len(here)
+                docs.append(d)
+                n += 1
+            codes.append(np.array(own, np.int32))
+            owners.append(np.array(at, np.int32))
+        return cls(list(index), np.concatenate(codes), np.concatenate(owners), np.array(docs, np.int32))
+
+
+def _expand(code: np.ndarray, owner: np.ndarray, first: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, feature) for every feature flat[first[c]:first[c + 1]] of every code."""
+    n = first[code + 1] - first[code]
+    at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(owner, n), flat[at]
+
+
+def _feature_table(words: list[str], index: dict[str, int], grow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every word as runs of one array; unknown ones only when growing."""
+    first, flat = [0], []
+    for w in words:
+        for f in features(w):
+            k = index.setdefault(f, len(index)) if grow else index.get(f)
+            if k is not None:
+                flat.append(k)
+        first.append(len(flat))
+    return np.array(first, np.int64), np.array(flat, np.int32)
+
+
+def choose_features(bags: Bags, y: np.ndarray, most: int = FEATURES, least_docs: int = 5,
                     least_z: float = 3.5) -> list[str]:
     """Features that stand out in positive documents by a two-proportion z."""
-    pos, neg = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        (pos if label else neg).update({f for w in set().union(*bag) for f in features(w)})
+    pair = np.unique(bags.doc[bags.sentence].astype(np.int64) * len(bags.words) + bags.code)
+    doc, code = pair // len(bags.words), pair % len(bags.words)
+    pos = y[doc] == 1
+    # features of the words in positive documents, counted by document
+    seen, local = np.unique(code[pos], return_inverse=True)
+    index: dict[str, int] = {}
+    first, flat = _feature_table([bags.words[c] for c in seen], index, True)
+    owner, feat = _expand(local, doc[pos], first, flat)
+    count = np.bincount(np.unique(owner * len(index) + feat) % max(1, len(index)), minlength=len(index))
+    names = [f for f, n in zip(index, count) if n >= least_docs]
+    a = count[count >= least_docs]
+    index = {f: i for i, f in enumerate(names)}
+    first, flat = _feature_table(bags.words, index, False)
+    owner, feat = _expand(code[~pos], doc[~pos], first, flat)
+    b = np.bincount(np.unique(owner * max(1, len(names)) + feat) % max(1, len(names)), minlength=len(names))
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    ranked = []
-    for f, a in pos.items():
-        b = neg.get(f, 0)
-        if a >= least_docs and a / n1 > b / n0:
-            p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) or 1)
-            if z >= least_z:
-                ranked.append((-z, f))
-    return [f for _, f in sorted(ranked)[:most]]
-
-
-def fit_bags(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0.1, ridge: float = 2e-3) -> Model:
+    p = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
+    return [f for _, f in sorted((-v, f) for v, f in zip(z, names) if v >= least_z)[:most]]
+
+
+def fit_bags(texts: list[str], labels: list[int], steps: int = 800, rate: float = 0.1, ridge: float = 3e-4) -> Model:
     """Maximum likelihood of the noisy-or by Adam over the whole sample."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model()
-    bags = [[set(_WORD.findall(t[a:b].lower())) for a, b in sentences(t)] for t in texts]
+    bags = Bags.of(texts)
     names = choose_features(bags, y)
-    index = {f: i for i, f in enumerate(names)}
-    memo: dict[str, list[int]] = {}
-    rows, cols, doc, blank = [], [], [], np.zeros(len(y))
-    n = 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            hit = []
-            for w in words:
-                if w not in memo:
-                    memo[w] = [index[f] for f in features(w) if f in index]
-                hit += memo[w]
-            if hit:
-                rows += [n] * len(hit)
-                cols += hit
-                doc.append(d)
-                n += 1
-            else:
-                blank[d] += 1
-    rows, cols, doc = np.array(rows, np.int64), np.array(cols, np.int64), np.array(doc, np.int64)
+    first, flat = _feature_table(bags.words, {f: i for i, f in enumerate(names)}, False)
+    owner, cols = _expand(bags.code, bags.sentence, first, flat)
+    marked, rows = np.unique(owner, return_inverse=True)      # sentences with a feature
+    doc, n = bags.doc[marked], len(marked)
+    blank = np.bincount(bags.doc, minlength=len(y)) - np.bincount(doc, minlength=len(y))
     theta = np.zeros(len(names) + 1)
     theta[-1] = -5.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -144,7 +180,7 @@ def fit_bags(texts: list[str], labels: list[int], steps: int = 400, rate: float
         a = np.bincount(doc, np.logaddexp(0, z), len(y)) + blank * np.logaddexp(0, b)
         push = np.where(y == 1, -1 / np.expm1(np.clip(a, 1e-9, 60)), 1.0) / len(y)
         back = push[doc] * s
-        grad = np.concatenate([np.bincount(cols, back[rows], len(names)) + ridge / len(names) * theta[:-1],
+        grad = np.concatenate([np.bincount(cols, back[rows], len(names)) + ridge / max(1, len(names)) * theta[:-1],
                                [back.sum() + (push * blank).sum() * sb]])
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
@@ -190,3 +226,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind.simpleString()}, score double, "
              "offending array<struct<start:int,length:int,score:double>>")
+
+
+def reject(docs: DataFrame, model: Model, at: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose document scores below ``at``."""
+    told = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*told.value)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            yield batch.filter(pa.array([own.score(t or "")[0] < at for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
