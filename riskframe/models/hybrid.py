@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .mnl import softmax_rows
 from .sums import cached_design, design_matrix, label_index, partition_fold, partition_sums
@@ -376,3 +376,27 @@ def hybrid_beta_information(df: DataFrame, result: HybridResult, label: str = "y
     cols = list(dict.fromkeys([label] + wide + deep))
     v = partition_sums(df.select(*cols).dropna(), fn, 1 + d + d * d + 1)
     return v[1 + d:1 + d + d * d].reshape(d, d)
+
+
+_SAVED = ("kind string, wide array<string>, deep array<string>, hidden int, layers int, classes array<int>, dropout double, "
+          "linear boolean, n long, params array<double>, history array<array<double>>")
+
+
+def save_network(spark: SparkSession, result: HybridResult, path: str) -> None:
+    """A fitted network (column roles, sizes, weights, history) as a Parquet table of one row."""
+    s = result.spec
+    alt = isinstance(s, AltNetSpec)
+    row = ("alternatives" if alt else "hybrid", s.wide, list(s.deep or []), s.hidden, s.layers, [int(c) for c in s.classes],
+           float(s.dropout), s.linear if alt else None, result.n, [float(x) for x in result.params],
+           [[float(x) for x in h] for h in result.history])
+    spark.createDataFrame([row], _SAVED).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_network(spark: SparkSession, path: str) -> HybridResult:
+    r = spark.read.schema(_SAVED).parquet(path).first()
+    if r["kind"] == "alternatives":
+        spec = AltNetSpec(list(r["wide"]), r["hidden"], list(r["classes"]), r["dropout"], r["linear"])
+    else:
+        spec = HybridSpec(None if r["wide"] is None else list(r["wide"]), list(r["deep"]), r["hidden"], r["layers"],
+                          list(r["classes"]), r["dropout"])
+    return HybridResult(spec, np.array(r["params"], dtype="float64"), [tuple(h) for h in r["history"]], r["n"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..models.hybrid import HybridResult, forward, unpack
 from ..models.linear import class_utilities
 from ..models.mnl import softmax_rows
-from ..models.sums import design_matrix, label_index
+from ..models.sums import design_matrix, label_index, partition_sums
 
 
 def grid_point(step: Column, lo: float, hi: float, n: int) -> Column:
@@ -103,6 +103,52 @@ def partial_dependence(df: DataFrame, features: list[str], beta: dict, feature:
                      "mean_utility")
 
 
+def network_what_if(df: DataFrame, result: HybridResult, feature: str, lo: float = -0.3, hi: float = 0.3,
+                    n: int = 100) -> DataFrame:
+    """J5-J7 on a fitted network (hybrid or dense), one job for all grid points.
+
+    Rows: (step, point, cls, mean_change, mean_relative_change, share_change,
+    mean_utility): ``feature`` times (1 + point) against the data as they are (mean change
+    of the class's utility, mean of change / utility over rows whose utility is not
+    zero, change in the number of rows predicted in the class), and the mean utility
+    with the feature set to the point. Rows with a NULL input are left out."""
+    spec, params = result.spec, result.params
+    wide, deep, classes = spec.wide or [], list(spec.deep or []), list(spec.classes)
+    k = len(classes)
+    points = lo + np.arange(n) * (hi - lo) / (n - 1)
+    cols = list(dict.fromkeys(wide + deep))
+
+    def utilities(w: dict, pdf: pd.DataFrame, values: np.ndarray) -> np.ndarray:
+        pdf = pdf.assign(**{feature: values})
+        q = pdf[deep].to_numpy(dtype="float64") if deep else np.zeros((len(pdf), 0))
+        return spec.forward(w, design_matrix(pdf, wide), q)[0]
+
+    def fn(pdf: pd.DataFrame) -> np.ndarray:
+        w, x = unpack(spec, params), pdf[feature].to_numpy(dtype="float64")
+        old = utilities(w, pdf, x)
+        picked = old.argmax(1)
+        some = old != 0
+        out = np.zeros((n, 5, k))
+        for i, p in enumerate(points):
+            new = utilities(w, pdf, x * (1 + p))
+            change = new - old
+            out[i, 0] = change.sum(0)
+            out[i, 1] = np.divide(change, old, out=np.zeros_like(old), where=some).sum(0)
+            out[i, 2] = some.sum(0)
+            out[i, 3] = np.bincount(new.argmax(1), minlength=k) - np.bincount(picked, minlength=k)
+            out[i, 4] = utilities(w, pdf, np.full(len(pdf), p)).sum(0)
+        return np.concatenate([out.ravel(), [float(len(pdf))]])
+
+    v = partition_sums(df.select(*cols).dropna(), fn, n * 5 * k + 1)
+    rows, total = v[:-1].reshape(n, 5, k), v[-1]
+    out = [(i, float(points[i]), int(c), float(rows[i, 0, j] / total),
+            float(rows[i, 1, j] / rows[i, 2, j]) if rows[i, 2, j] else None, int(rows[i, 3, j]),
+            float(rows[i, 4, j] / total)) for i in range(n) for j, c in enumerate(classes)] if total else []
+    return df.sparkSession.createDataFrame(
+        out, "step int, point double, cls int, mean_change double, mean_relative_change double, "
+             "share_change long, mean_utility double")
+
+
 def saliency(df: DataFrame, result: HybridResult, label: str = "y") -> DataFrame:
     """Gradient of the label class's utility w.r.t. every input, per row;
     aggregated as Σ|g| and mean g per (input, target class)."""

@@ -710,7 +710,7 @@ from ..models.ordered import brant_test, fit_ordered  # noqa: E402
 from . import crossval as CV  # noqa: E402
 
 HYBRID_EPOCHS = 50       # as the reference's cross-validation
-GRID_EPOCHS = 50
+GRID_EPOCHS = 10         # 6 sizes x 5 folds; the library default is 50
 GRID_SIZES = [16, 32, 40, 56, 72, 96]
 HIDDEN = 16
 DNN_HIDDEN = 40
@@ -1188,3 +1188,161 @@ def spearman_all_features(spark, sf_dir):
     reference's full matrix; pairs with |ρ| > 0.5 are the drop candidates."""
     p = P.prepared_loans(spark, sf_dir, materialize=True)
     return rounded(SEL.spearman_pairs(p.train(), p.features, "loan_id"))
+
+
+# ----------------------------------------------------------------------------
+# Networks with fixed weights: the same forward pass, gradients and what-ifs in SQL
+# ----------------------------------------------------------------------------
+import numpy as np  # noqa: E402
+
+NET_WIDE, NET_DEEP, NET_HIDDEN = ["int_rate", "dti"], ["installment", "revol_bal", "emp_length", "sub_grade"], 3
+WHAT_IF = {"feature": "installment", "lo": -0.4, "hi": 0.4, "n": 5}
+
+
+def fixed_network(wide: list[str] | None) -> HY.HybridResult:
+    """A small network whose weights follow a rule (our choice, not fitted)."""
+    spec = HY.HybridSpec(wide, NET_DEEP if wide else NET_WIDE + NET_DEEP, NET_HIDDEN, classes=CLASSES)
+    i = np.arange(spec.size())
+    return HY.HybridResult(spec, ((7 * i + 3) % 11 - 5) / 4.0, [], 0)
+
+
+def _net_sql(r: HY.HybridResult, swap: dict[str, str] | None = None) -> tuple[list[str], list[str]]:
+    """(inputs of the ReLU units, utilities) as SQL; ``swap`` replaces input columns."""
+    w, spec, swap = r.weights(), r.spec, swap or {}
+
+    def dot(b: float, ws, cols) -> str:
+        return "(" + " + ".join([S.lit(float(b))] + [f"{S.lit(float(x))} * {swap.get(c, c)}" for x, c in zip(ws, cols)]) + ")"
+    pre = [dot(w["b1"][h], w["w1"][:, h], spec.deep) for h in range(spec.hidden)]
+    relu = [f"greatest(CAST(0.0 AS DOUBLE), {x})" for x in pre]
+    out = []
+    for j in range(len(spec.classes)):
+        u = dot(w["b2"][j], w["w2"][:, j], relu)
+        if spec.wide is not None and j:
+            u = f"({u} + {dot(w['beta'][j - 1, 0], w['beta'][j - 1, 1:], spec.wide)})"
+        out.append(u)
+    return pre, out
+
+
+def _net_scored_sql(r: HY.HybridResult) -> str:
+    us = ", ".join(f"{u} AS u{k}" for u, k in zip(_net_sql(r)[1], CLASSES))
+    es = ", ".join(f"exp(u{k} - greatest({', '.join(f'u{j}' for j in CLASSES)})) AS e{k}" for k in CLASSES)
+    tot = " + ".join(f"e{k}" for k in CLASSES)
+    return S.numeric_prepared_ctes(FIXED_FEATURES) + f""",
+net_u AS (SELECT loan_id, y, split, {us} FROM scaled),
+net_e AS (SELECT loan_id, y, split, {es} FROM net_u),
+net_p AS (SELECT loan_id, y, split, {", ".join(f"e{k} / ({tot}) AS prob_c{k}" for k in CLASSES)} FROM net_e),
+net AS (SELECT *, {S.argmax_sql([f"prob_c{k}" for k in CLASSES], CLASSES)} AS pred FROM net_p)"""
+
+
+_NET_ROWS = "SELECT loan_id, split, " + ", ".join(f"round(prob_c{k}, 6) AS prob_c{k}" for k in CLASSES) + ", pred FROM net"
+
+
+def _net_scores(spark, sf_dir, r):
+    p = P.prepared_loans(spark, sf_dir)
+    return rounded(HY.score_hybrid(p.data, r, ["loan_id", "split"]))
+
+
+@register("hybrid_scores_fixed", "WITH " + _net_scored_sql(fixed_network(NET_WIDE)) + "\n" + _NET_ROWS)
+def hybrid_scores_fixed(spark, sf_dir):
+    """Forward pass of a hybrid logit with given weights."""
+    return _net_scores(spark, sf_dir, fixed_network(NET_WIDE))
+
+
+@register("dense_scores_fixed", "WITH " + _net_scored_sql(fixed_network(None)) + "\n" + _NET_ROWS)
+def dense_scores_fixed(spark, sf_dir):
+    """Forward pass of a dense net with given weights."""
+    return _net_scores(spark, sf_dir, fixed_network(None))
+
+
+@register("hybrid_metrics_fixed", "WITH " + _net_scored_sql(fixed_network(NET_WIDE)) + """,
+basic AS ({}), auc AS ({})
+SELECT split, n, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, round(auc_ovr, 6) AS auc_ovr
+FROM basic JOIN auc USING (split)""".format(*S.metrics_select("net", ["split"])))
+def hybrid_metrics_fixed(spark, sf_dir):
+    """H1, H2, H5 of a hybrid logit with given weights, per part."""
+    pred = HY.score_hybrid(P.prepared_loans(spark, sf_dir).data, fixed_network(NET_WIDE), ["loan_id", "y", "split"])
+    return rounded(metrics.classification_scores(pred, ["split"]).select("split", "n", "accuracy", "log_loss", "auc_ovr"))
+
+
+def _saliency_sql() -> str:
+    r = fixed_network(NET_WIDE)
+    w, pre = r.weights(), _net_sql(r)[0]
+    parts = []
+    for j, k in enumerate(CLASSES):
+        for i, c in enumerate(NET_WIDE):
+            g = float(w["beta"][j - 1, 1 + i]) if j else 0.0
+            parts.append(f"SELECT '{c}' AS input, {k} AS target, CAST({g!r} AS DOUBLE) AS g FROM tr WHERE y = {k}")
+        for i, c in enumerate(NET_DEEP):
+            terms = " + ".join(f"(CASE WHEN {pre[h]} > 0 THEN {S.lit(float(w['w2'][h, j] * w['w1'][i, h]))} "
+                               f"ELSE CAST(0.0 AS DOUBLE) END)" for h in range(NET_HIDDEN))
+            parts.append(f"SELECT '{c}' AS input, {k} AS target, {terms} AS g FROM tr WHERE y = {k}")
+    return "WITH " + S.numeric_prepared_ctes(FIXED_FEATURES) + """,
+tr AS (SELECT * FROM scaled WHERE split = 'test'),
+g AS (""" + " UNION ALL ".join(parts) + """)
+SELECT input, target, round(sum(abs(g)), 6) AS sum_abs, round(avg(g), 6) AS mean, count(*) AS n FROM g GROUP BY input, target"""
+
+
+@register("saliency_fixed", _saliency_sql())
+def saliency_fixed(spark, sf_dir):
+    """J4/K2 for given weights: input gradients of the label class's utility."""
+    return rounded(EX.saliency(P.prepared_loans(spark, sf_dir).test(), fixed_network(NET_WIDE)))
+
+
+def _net_info_sql() -> str:
+    terms = ["1.0", *NET_WIDE]
+    names = [f"{t}_{k}" for k in CLASSES[1:] for t in ["const", *NET_WIDE]]
+    parts = []
+    for a, ka in enumerate(CLASSES[1:]):
+        for b, kb in enumerate(CLASSES[1:]):
+            w = f"prob_c{ka} * ({1.0 if a == b else 0.0} - prob_c{kb})"
+            for i, x in enumerate(terms):
+                for j, z in enumerate(terms):
+                    parts.append(f"SELECT '{names[a * len(terms) + i]}' AS row_term, '{names[b * len(terms) + j]}' AS col_term, "
+                                 f"round(sum({x} * {z} * {w}), 6) AS value FROM f")
+    return "WITH " + _net_scored_sql(fixed_network(NET_WIDE)) + """,
+f AS (SELECT net.*, s.int_rate, s.dti FROM net JOIN scaled s USING (loan_id) WHERE net.split = 'train')
+""" + " UNION ALL ".join(parts)
+
+
+@register("hybrid_info_fixed", _net_info_sql())
+def hybrid_info_fixed(spark, sf_dir):
+    """J2 of the linear part given the network."""
+    info = HY.hybrid_beta_information(P.prepared_loans(spark, sf_dir).train(), fixed_network(NET_WIDE))
+    names = [f"{t}_{k}" for k in CLASSES[1:] for t in ["const", *NET_WIDE]]
+    rows = [(a, b, float(info[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return rounded(spark.createDataFrame(rows, "row_term string, col_term string, value double"))
+
+
+def _what_if_sql() -> str:
+    r, f, lo, hi, n = fixed_network(NET_WIDE), *WHAT_IF.values()
+    old = _net_sql(r)[1]
+    new = _net_sql(r, {f: f"({f} * (1 + point))"})[1]
+    at = _net_sql(r, {f: "point"})[1]
+    cols = ", ".join([f"{u} AS o{k}" for u, k in zip(old, CLASSES)] + [f"{u} AS w{k}" for u, k in zip(new, CLASSES)]
+                     + [f"{u} AS a{k}" for u, k in zip(at, CLASSES)])
+    old_pick, new_pick = (S.argmax_sql([f"{c}{k}" for k in CLASSES], CLASSES) for c in "ow")
+    return "WITH " + S.numeric_prepared_ctes(FIXED_FEATURES) + f""",
+steps AS (SELECT CAST(i AS INTEGER) AS step, {S.lit(lo)} + i * ({S.lit(hi)} - {S.lit(lo)}) / {n - 1} AS point FROM range({n}) t(i)),
+u AS (SELECT step, point, {cols} FROM scaled, steps WHERE split = 'test'),
+c AS (SELECT *, {old_pick} AS op, {new_pick} AS np FROM u)
+""" + " UNION ALL ".join(
+        f"SELECT step, round(point, 6) AS point, {k} AS cls, round(avg(w{k} - o{k}), 6) AS mean_change, "
+        f"round(avg((w{k} - o{k}) / nullif(o{k}, 0)), 6) AS mean_relative_change, "
+        f"CAST(sum(CAST(np = {k} AS INTEGER) - CAST(op = {k} AS INTEGER)) AS BIGINT) AS share_change, "
+        f"round(avg(a{k}), 6) AS mean_utility FROM c GROUP BY step, point" for k in CLASSES)
+
+
+@register("network_what_if_fixed", _what_if_sql())
+def network_what_if_fixed(spark, sf_dir):
+    """J5-J7 on a hybrid logit with given weights, relative change included."""
+    f, lo, hi, n = WHAT_IF.values()
+    return rounded(EX.network_what_if(P.prepared_loans(spark, sf_dir).test(), fixed_network(NET_WIDE), f, lo, hi, n))
+
+
+@register("network_roundtrip", "WITH " + _net_scored_sql(fixed_network(NET_WIDE)) + "\n" + _NET_ROWS)
+def network_roundtrip(spark, sf_dir):
+    """A6 on a network: written, read back, and scored."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/network-{uuid.uuid4().hex}"
+    HY.save_network(spark, fixed_network(NET_WIDE), path)
+    return _net_scores(spark, sf_dir, HY.load_network(spark, path))

@@ -180,3 +180,18 @@ def test_partial_sums_add_up_over_any_partitions(spark):
         v = partition_sums(df.repartition(n), fn, 5002)
         assert v[0] == 1000 and v[1] == 499500 and (v[2:] == 1000).all()
     assert (partition_sums(df.where("false"), fn, 5002) == 0).all()
+
+
+def test_networks_and_ordered_logit_come_back(spark, tmp_path):
+    from riskframe.models.ordered import fit_ordered, load_ordered, save_ordered
+    df = sim_mnl(spark, 300)
+    for spec in (HY.HybridSpec(["x1"], ["x2", "x3"], 4, classes=[1, 2, 3]), HY.HybridSpec(None, ["x1", "x2"], 3, classes=[1, 2, 3]),
+                 HY.AltNetSpec(["x1", "x2"], hidden=3, linear=True)):
+        r = HY.fit_hybrid(df, spec, epochs=1)
+        HY.save_network(spark, r, str(tmp_path / "net"))
+        back = HY.load_network(spark, str(tmp_path / "net"))
+        assert back.spec == r.spec and np.array_equal(back.params, r.params) and back.history == r.history
+    r = fit_ordered(df, ["x1", "x2"])
+    save_ordered(spark, r, str(tmp_path / "ordered"))
+    back = load_ordered(spark, str(tmp_path / "ordered"))
+    assert back.coef_rows() == r.coef_rows() and back.bic() == r.bic()
