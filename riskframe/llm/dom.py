@@ -30,8 +30,8 @@ NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 NOISE_NAMES = re.compile(
     r"^(?:(?:site|page|global|top|main|sub|side|bottom|left|right|mobile)[-_]?)?"
     r"(?:header|footer|nav|navbar|navigation|menu|sidebar|masthead|topbar|toolbar)s?(?:[-_]\w+)*$"
-    r"|^(?:\w+[-_])?(?:ad|ads|adv|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promotion)"
-    r"(?:s|[-_]?(?:box|slot|unit|block|container|wrapper|area|\d+))?$"
+    r"|^(?:\w+[-_])?(?:ads?|advs?|adverts?|advertisements?|advertising|adsense|sponsors?|sponsored|promos?|promotions?|banners?)"
+    r"(?:[-_]\w+)*$"
     r"|^(?:\w+[-_])?(?:cookie|cookies|consent|gdpr|notice|notices|newsletter|subscribe|subscription|popup|modal|overlay|"
     r"alert|paywall)(?:[-_]?\w+)*$"
     r"|^(?:\w+[-_])?(?:comment|comments|commentlist|respond|reply|replies|disqus)(?:[-_]\w+)*$"

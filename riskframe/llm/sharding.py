@@ -46,20 +46,20 @@ def shuffle_shards(df: DataFrame, path: str, shards: int = 8, seed: int = 17, id
         (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         rendezvous(F.col(id_col), shards, seed).alias("shard"),
         rendezvous(F.col(id_col), shards + 1, seed).alias("grown_shard"),
+        F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col(text_col)).alias("row_hash"),
         F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col), F.spark_partition_id()),
                F.lit(each)).alias("bucket"))
-    item = F.struct("size", "text_crc32", "grown_shard", "record")
+    item = F.struct("row_hash", "size", "text_crc32", "grown_shard", "record")
     gathered = (rows.repartition(each * shards, "shard", "bucket").groupBy("shard", "bucket")
                 .agg(F.collect_list(item).alias("items"))
                 .sortWithinPartitions("shard", "bucket"))
-    order = F.array_sort("items", lambda a, b: F.when(a["text_crc32"] < b["text_crc32"], -1)
-                         .when(a["text_crc32"] > b["text_crc32"], 1)
-                         .otherwise(F.coalesce(F.when(a["record"][id_col] < b["record"][id_col], -1)
-                                               .when(a["record"][id_col] > b["record"][id_col], 1), F.lit(0))))
+    # an order that does not depend on how the rows arrived, before the seeded shuffle
+    order = F.array_sort("items", lambda a, b: F.when(a["row_hash"] < b["row_hash"], -1)
+                         .when(a["row_hash"] > b["row_hash"], 1).otherwise(0))
     (gathered.select("shard", "bucket", F.posexplode(F.shuffle(order, seed)).alias("place", "item"))
-     .select("shard", "bucket", "place", "item.*").write.partitionBy("shard").parquet(path))
+     .select("shard", "bucket", "place", "item.*").drop("row_hash").write.partitionBy("shard").parquet(path))
     schema = gathered.select("bucket", F.lit(0).alias("place"), F.explode("items").alias("item")).select(
-        "bucket", "place", "item.*", F.lit(0).alias("shard")).schema
+        "bucket", "place", "item.*", F.lit(0).alias("shard")).drop("row_hash").schema
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -181,6 +181,15 @@ def test_pages_of_the_table(spark):
         assert got[r["page_id"]] == " ".join(" ".join(html.unescape(re.sub("<[^>]*>", "", p)) for p in parts).split())
 
 
+def test_names_of_noise():
+    for name in ("ad", "ad-1", "ad-slot-top", "post-ad", "sponsored", "cookie-notice", "site-footer", "sidebar", "comment-list",
+                 "comments", "newsletter-signup", "share", "breadcrumbs", "main-nav", "notice", "banner"):
+        assert dom.NOISE_NAMES.match(name), name
+    for name in ("article", "article-body", "article-header", "content", "entry-content", "headline", "address", "lead",
+                 "adventure", "text", "page", "main", "post", "story", "commentary", "shareholder"):
+        assert not dom.NOISE_NAMES.match(name), name
+
+
 def test_reader_survives_any_markup():
     rng = random.Random(8)
     bits = ["<p>", "</p>", "<div class=ad>", "</div>", "<b", ">", "<!--", "-->", "<script>", "</script>", "text ", "&amp",
