@@ -3,10 +3,10 @@
 A pre-tokenizer that never joins characters across white space lets a text be
 encoded word by word, so every distinct lower-cased word goes through the
 library once per worker process (all new words of a batch in one call) and its
-ids are reused. Texts for which the
-shortcut is not provably the same (special-token strings, characters whose
-lower case or normal form depends on context, control characters that Python
-but not the library counts as white space) go through the library whole.
+ids are reused. Texts for which the shortcut is not provably the same
+(special-token strings, characters whose lower case or normal form depends on
+context, control characters that Python but not the library counts as white
+space, code points unknown to Python) go through the library whole.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORDS_KEPT = 1_000_000   # memo entries per worker before the memo starts anew
-PIECES_KEPT = 800_000
 WORDS_A_CALL = 20_000
 TEXTS_A_TIME = 2_000
 # the word split of a lower-cased text: contractions, letter runs, single digits, runs of other marks
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_SPLIT_LINES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SPLIT_FOR = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # texts with these go through the library whole: Python but not the library takes
 # the first four as white space, and the others have a context-bound lower case
@@ -35,6 +34,13 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _runs(flat: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[first[c]:first[c] + size[c]] for c in code, joined, and their ends."""
+    n = size[code]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class Encoder:
     """Token ids of texts under one tokenizer file (``add_special_tokens`` off)."""
 
@@ -51,7 +57,6 @@ class Encoder:
         self.by_word = ("Lowercase" in json.dumps(spec.get("normalizer")) and bool(steps[0].get("invert"))
                         and (steps[0].get("pattern") or {}).get("Regex") == _SPLIT_FOR)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -74,27 +79,33 @@ class Encoder:
         return (self.by_word and (text.isascii() or unicodedata.is_normalized("NFC", text))
                 and not any(s in text for s in _ODD) and not any(s in text for s in self.special))
 
-    def _learn_pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [_SPLIT.findall(p) for p in pieces]
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        self._learn_words([w for w in set().union(*found) if w not in self.words])
-        get = self.words.__getitem__
-        return [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in found]
-
-    def _pieces_to_ids(self, pieces: list[str]) -> list[bytes]:
-        ids = list(map(self.pieces.get, pieces))
-        gaps = [i for i, v in enumerate(ids) if v is None]
-        new = [pieces[i] for i in gaps]
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-        for i, p, v in zip(gaps, new, self._learn_pieces(new)):
-            ids[i] = self.pieces[p] = v
-        return ids
+        self._learn_words([w for w in words if w not in self.words])
+        return list(map(self.words.__getitem__, words))
+
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ends): piece i has ends[i]:ends[i + 1]."""
+        # one call splits all pieces; the line feeds between them come out as words
+        coded = pa.array(_SPLIT_LINES.findall("\n".join(pieces)), pa.large_string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        line = words.index("\n") if "\n" in words else -1
+        ids = self._ids_of_words([w for w in words if w != "\n"])
+        if line >= 0:
+            ids.insert(line, b"")
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = self._gather(ids, code)
+        return flat, ends[np.concatenate([[0], np.flatnonzero(code == line) + 1, [len(code)]])]
+
+    def _gather(self, ids: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the coded entries one after another, and where each ends."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        return _runs(np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size, size, code)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (``dtype``) of every whole text; equal pieces of the texts between
-        white space are looked up once."""
+        white space are split once per batch, equal words encoded once."""
         out: list[np.ndarray] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         for i in set(range(len(texts))).difference(plain):
@@ -104,19 +115,18 @@ class Encoder:
             split = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in part], pa.large_string()))
             coded = split.flatten().dictionary_encode()
             names = coded.dictionary.to_pylist()
-            ids = self._pieces_to_ids([p for p in names if p])
-            if len(ids) < len(names):      # leading or trailing white space gives one empty piece
-                ids.insert(names.index(""), b"")
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-            first = np.concatenate([[0], np.cumsum(size)])[:-1]
-            flat = np.frombuffer(b"".join(ids), self.dtype)
+            flat, cuts = self._piece_ids(names)
             code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            n = size[code]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            stream = flat[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])]
-            cuts = ends[split.offsets.to_numpy()]
+            stream, ends = _runs(flat, cuts[:-1], np.diff(cuts), code)
+            at = ends[split.offsets.to_numpy()]
             for j, i in enumerate(part):
-                out[i] = stream[cuts[j]:cuts[j + 1]]
+                out[i] = stream[at[j]:at[j + 1]]
+            # code points that this Python does not know may be letters to the library
+            odd = [c for c, p in enumerate(names) if not p.isprintable()]
+            if odd:
+                where = np.flatnonzero(np.isin(code, odd))
+                for j in np.unique(np.searchsorted(split.offsets.to_numpy(), where, side="right") - 1).tolist():
+                    out[part[j]] = np.frombuffer(self._whole(texts[part[j]]), self.dtype)
         return out
 
     def encode(self, text: str) -> np.ndarray:
