@@ -36,7 +36,7 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[n
     return pattern, float(best[capacity])
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4,
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4,
           rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """Column generation with a revised simplex: (patterns by row, uses).
 
