@@ -198,14 +198,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
     sample = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(fit_docs)
     # the sample has at most fit_docs rows of two numbers
     rows = (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-            .join(F.broadcast(sample), "id").select("id", "text", "y").toArrow())
-    # repeated rows of a document teach once
+            .join(F.broadcast(sample), "id").select("id", "text", "y"))
+    # one task holds the bounded sample; the driver gets the weights
+    found = rows.repartition(1).mapInArrow(_fit_task, "feature string, weight double").collect()
+    weights = {r["feature"]: r["weight"] for r in found}
+    bias = weights.pop(None, None)
+    return Model() if bias is None else Model(bias, weights)
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, weight) rows of the fitted model, the bias under no feature."""
     seen: dict[int, tuple[str, int]] = {}
-    for i, t, v in zip(*(rows.column(c).to_pylist() for c in ("id", "text", "y"))):
-        if i not in seen or t < seen[i][0]:
-            seen[i] = (t, v)
+    for batch in batches:
+        # repeated rows of a document teach once
+        for i, t, v in zip(*(c.to_pylist() for c in batch.columns)):
+            if i not in seen or t < seen[i][0]:
+                seen[i] = (t, v)
     order = sorted(seen)
-    return fit_bags([seen[i][0] for i in order], [seen[i][1] for i in order])
+    model = fit_bags([seen[i][0] for i in order], [seen[i][1] for i in order])
+    yield pa.record_batch([pa.array([None, *model.weights], pa.string()),
+                           pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
