@@ -228,8 +228,9 @@ def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS,
     placed = member.join(sizes, "cluster").withColumn(
         "tile", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("tiles")).cast("int"))
     placed = written(placed.select("cluster", "tile", "tiles", "key", "class_id", "copies"), "cluster-members")
-    # one text per class: the rows that carry the class's smallest id
-    texts = docs.select("doc_id", "key", "text").join(
+    # one text per class: the rows that carry the class's smallest id. The members grow with the
+    # documents, so this join is by shuffle at every size
+    texts = docs.select("doc_id", "key", "text").hint("merge").join(
         placed, (docs["key"] == placed["key"]) & docs["doc_id"].eqNullSafe(placed["class_id"])).select(
         "cluster", "tile", "tiles", placed["key"], "copies", "text")
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
@@ -253,5 +254,22 @@ def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS,
                     .alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                     F.when(F.col("head_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
                     .alias("component_id"),
-                    F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("head_key")),
-                               F.lit(True)).alias("kept")))
+                    (F.col("head_key").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id"))
+                                                   & (F.col("key") == F.col("head_key")))).alias("kept")))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """The rows of ``df``, all columns, of the documents that stand for their
+    component. Rows with one id and text are one document; rows without words stay.
+    Repeated rows are combined before the shuffle; the decisions join on the same keys."""
+    names = [f"`{c}`" for c in df.columns]
+    keys = ["__id", "__no_id", "__key"]
+
+    def keyed(rows: DataFrame, id_: str, key) -> DataFrame:
+        return rows.withColumns({"__id": F.coalesce(F.col(id_).cast("long"), F.lit(0)), "__no_id": F.col(id_).isNull(),
+                                 "__key": key})
+
+    kept = jaccard_join(df, id_col=id_col, text_col=text_col, **rule).where("kept").select("doc_id", "key")
+    kept = keyed(kept, "doc_id", F.col("key")).select(*keys).distinct()
+    rows = keyed(df, id_col, text_key(text_or_empty(text_col))).dropDuplicates(keys)
+    return rows.join(kept, keys).select(*names)
