@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,43 @@ def test_suffix_dedup_overlaps_and_pieces_of_long_texts(spark, monkeypatch):
     assert expand(whole) == expand(cut) and len(expand(whole)) == len(text) - 49
 
 
+def test_suffix_dedup_spreads_a_hot_minimizer(spark):
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line, passage = "All rights reserved, see terms.", "A passage that most documents share. " * 4
+    rows = [(i, own(90) + line + own(90) + (passage if i % 2 else "") + own(60)) for i in range(120)]
+    want = sorted((w[0], w[2], w[3], w[5]) for w in brute.repeats(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_runs in (10, 10 ** 9):
+        got = suffix_dedup.remove_repeats(df, batch_bytes=8_000, bucket_bytes=1_000, hot_runs=hot_runs).collect()
+        assert sorted((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
+    # the line's surroundings differ in every document: no bucket gets them all
+    bits = 6
+    batches = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": [t for _, t in part]})
+               for part in (rows[k::4] for k in range(4))]
+    most = {}
+    for hot_runs in (10, 10 ** 9):
+        sent = pa.concat_tables([suffix_dedup._send_minimizers(bits, 50)((pa.scalar(k),), b) for k, b in enumerate(batches)])
+        back = pa.concat_tables([suffix_dedup._shared_minimizers(hot_runs)(sent.filter(pc.equal(sent["bucket"], k)))
+                                 for k in set(sent["bucket"].to_pylist())])
+        load = {}
+        for k, b in enumerate(batches):
+            runs = suffix_dedup._send_runs(bits, 50)((pa.scalar(k),), b, back.filter(pc.equal(back["batch"], k)))
+            for to, n in zip(runs["bucket"].to_pylist(), runs["counts"].to_pylist()):
+                load[to] = load.get(to, 0) + sum(n)
+        most[hot_runs] = max(load.values()) / sum(load.values())
+    assert most[10] < 0.1 < most[10 ** 9]
+
+
+def test_suffix_dedup_spreads_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "one row, many times")] * 80, "doc_id long, text string").repartition(8)
+    assert df.select(suffix_dedup.batch_of(64)).distinct().count() > 2
+    text = "one text of more than fifty bytes, which two ids have, many times. "
+    rows = [(1 + i % 2, text) for i in range(40)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), batch_bytes=200)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(1, 0)] * 20 + [(2, len(text))] * 20
+
+
 def test_cut_repeats_keeps_the_columns(odd_documents):
     got = suffix_dedup.cut_repeats(odd_documents.withColumn("n_chars", F.lit(0).cast("long")))
     assert got.columns == [*odd_documents.columns, "n_chars"]
