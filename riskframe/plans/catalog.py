@@ -710,15 +710,16 @@ from ..models.ordered import brant_test, fit_ordered  # noqa: E402
 from . import crossval as CV  # noqa: E402
 
 HYBRID_EPOCHS = 50       # as the reference's cross-validation
-GRID_EPOCHS = 10         # 6 sizes x 5 folds; the library default is 50
+GRID_EPOCHS = 50
 GRID_SIZES = [16, 32, 40, 56, 72, 96]
 HIDDEN = 16
 DNN_HIDDEN = 40
 
 
 def _presets(feats: list[str]) -> dict:
-    """H1-like split of the model inputs: the first 8 linear, the rest to the net."""
-    return {"H1": (feats[:8], feats[8:])}
+    """H1-, H2- and H3-like splits of the model inputs: the first 8, 4 and 2 linear, the
+    rest to the net (the ratios of ``design_counts``)."""
+    return {name: (feats[:k], feats[k:]) for name, k in (("H1", 8), ("H2", 4), ("H3", 2))}
 
 
 @register("mnl_coefs")
