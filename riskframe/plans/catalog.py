@@ -800,25 +800,27 @@ def dense_net_scores(spark, sf_dir):
                                             name="DNN")])
 
 
+def _estimators(f: list[str]) -> list:
+    """The five model families."""
+    w, d = _presets(f)["H1"]
+    return [CV.MNLNewton(f), CV.MNLRidge(f), CV.OrderedLogit(f),
+            CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="Hybrid_H1_16N"),
+            CV.HybridNet(None, f, DNN_HIDDEN, epochs=HYBRID_EPOCHS, name="DNN")]
+
+
 @register("holdout_scores")
 def holdout_scores(spark, sf_dir):
     """Every model fitted on train and scored on test, one metric table."""
     p = P.prepared_loans(spark, sf_dir, materialize=True)
-    f = p.model_features
-    w, d = _presets(f)["H1"]
-    ests = [CV.MNLNewton(f), CV.MNLRidge(f), CV.OrderedLogit(f),
-            CV.HybridNet(w, d, HIDDEN, epochs=HYBRID_EPOCHS, name="Hybrid_H1_16N"),
-            CV.HybridNet(None, f, DNN_HIDDEN, epochs=HYBRID_EPOCHS, name="DNN")]
-    return CV.holdout(p.data, ests)
+    return CV.holdout(p.data, _estimators(p.model_features))
 
 
 @register("cv_scores")
 def cv_scores(spark, sf_dir):
-    """H9: stratified 5-fold CV on the training part (MNL and ordered logit)."""
+    """H9: stratified 5-fold CV of the five model families on the training part."""
     p = P.prepared_loans(spark, sf_dir, folds=True)
     tr = p.data.where(F.col("split") == "train")
-    return CV.cross_validate(tr, [CV.MNLNewton(p.model_features), CV.OrderedLogit(p.model_features)],
-                             L.VIEW_FOLDS)
+    return CV.cross_validate(tr, _estimators(p.model_features), L.VIEW_FOLDS)
 
 
 @register("size_grid")
