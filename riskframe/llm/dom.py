@@ -6,6 +6,7 @@ Every text belongs to the block that holds it.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -22,6 +23,7 @@ ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dia
           "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu",
           "nav", "ol", "pre", "section", "table", "ul"}
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "aside", "nav", "footer", "header", "main", "div", "body"}
+CONTAINERS = {"html", "body", "div", "main", "section", "article", "header"}
 # parts of a page that are never its main text
 NOISE_TAGS = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "audio", "video",
               "canvas", *RAW}
@@ -187,6 +189,22 @@ def blocks(root: Node, path: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def layout(root: Node) -> str:
+    """The page's layout, without noise, in two steps: a hash of the set of paths of
+    containers, then one of the set of all paths of names."""
+    coarse, fine = set(), set()
+    todo = [(root, "", True)]
+    while todo:
+        n, path, outer = todo.pop()
+        path, outer = f"{path}/{n.tag}", outer and (n is root or n.tag in CONTAINERS)
+        fine.add(path)
+        if outer:
+            coarse.add(path)
+        todo += [(c, path, outer) for c in n.items if isinstance(c, Node) and not c.noise]
+    return "/".join(hashlib.blake2b("\n".join(sorted(x)).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+                    for x in (coarse, fine))
+
+
 def text_key(path: str, text: str) -> str:
     return f"{path}#{zlib.crc32(text.encode('utf-8', 'surrogatepass')):08x}-{len(text)}"
 

@@ -1,21 +1,24 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
 1. Tasks parse every page once into its folded DOM tree (neighbouring siblings of
-   one name are one node) and write the tree, without noise elements.
-2. Every host gets up to ``references`` reference trees, those of the smallest
-   seeded hash in each of as many hash classes (a grouped ``min_by``, combined
-   before the shuffle).
-3. Every page's tree is aligned with its host's references by simple tree
+   one name are one node) and write the tree, without noise elements, and its layout:
+   the set of its paths of containers, then that of all its paths of names.
+2. Every group of pages (a host, its pages with the same containers, those with the
+   same paths) of at least ``least_pages`` pages gets up to ``references`` reference
+   trees, those of the smallest seeded hash in each of as many hash classes (a
+   grouped ``min_by``, combined before the shuffle). So every layout of a host has
+   references of its own. A group of all pages of the next larger one is that one.
+3. Every page's tree is aligned with the references of its groups by simple tree
    matching (Yang, 1991). Block texts that equal a text of the matched node of
    the best reference count as constant there. Texts constant on at least
-   ``constant_share`` of a host's other pages, on hosts of at least ``least_pages``
-   pages, are the host's template.
+   ``constant_share`` of a group's other pages are template for all pages of the host
+   with the same containers (texts count with their path).
 4. Tasks parse every page again and give the block texts of the content root
    (article, else main part, else body) that are neither noise elements (menus,
    footers, forms, adverts, comments, ...) nor template, in page order.
 
 The alignment works on pages x references, so a host of any size is spread over
-tasks; the template table holds a row per host that has constant texts at all,
+tasks; the template table holds a row per host and containers that have constant texts at all,
 is written first, and Spark broadcasts it only when its written size is below
 the session's broadcast threshold (otherwise it joins by shuffle).
 
@@ -84,45 +87,63 @@ def constant_texts(tree: list, references: list[list]) -> set[str]:
 
 
 def page_trees(pages: DataFrame, url_col: str, html_col: str, seed: int) -> DataFrame:
-    """(host, h, tree) of every page; h is a seeded hash of the page."""
+    """(host, h, tree, layout) of every page; h is a seeded hash of the page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [json.dumps(dom.folded(dom.parse(p))) for p in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(trees, pa.string())],
-                                  ["host", "h", "tree"])
+            roots = list(map(dom.parse, batch.column(2).to_pylist()))
+            trees = [json.dumps(dom.folded(r)) for r in roots]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(trees, pa.string()),
+                                   pa.array(list(map(dom.layout, roots)), pa.string())], ["host", "h", "tree", "layout"])
 
     rows = pages.select(host_of(url_col).alias("host"),
                         F.xxhash64(F.lit(seed), F.col(url_col), F.col(html_col)).alias("h"),
                         text_or_empty(html_col).alias("html"))
-    return rows.mapInArrow(run, "host string, h long, tree string")
+    return rows.mapInArrow(run, "host string, h long, tree string, layout string")
+
+
+def groups_of(layout: str) -> Column:
+    """The groups of a page within its host: all pages, same containers, same paths."""
+    return F.array(F.lit(""), F.substring_index(layout, "/", 1), F.col(layout))
 
 
 def induce(pages: DataFrame, references: int = 3, least_pages: int = 5, constant_share: float = 0.8,
            url_col: str = "url", html_col: str = "html", seed: int = 5) -> DataFrame:
-    """The wrapper table: host, template (array of constant block-text keys)."""
+    """The wrapper table: host, outer (containers of the layout), template (array of constant block-text keys)."""
     trees = written(page_trees(pages, url_col, html_col, seed), "page-trees")
-    refs = (trees.groupBy("host", F.pmod("h", F.lit(references)).alias("class")).agg(F.min_by("tree", "h").alias("ref"),
-                                                                                    F.min("h").alias("ref_h"),
-                                                                                    F.count(F.lit(1)).alias("n"))
-            .groupBy("host").agg(F.collect_list("ref").alias("refs"), F.collect_list("ref_h").alias("ref_hs"),
-                                 F.sum("n").alias("n")).where(F.col("n") >= least_pages))
+    of = trees.select("host", "h", "tree", F.explode(groups_of("layout")).alias("part"))
+    refs = (of.groupBy("host", "part", F.pmod("h", F.lit(references)).alias("class"))
+            .agg(F.min_by("tree", "h").alias("ref"), F.min("h").alias("ref_h"), F.count(F.lit(1)).alias("n"))
+            .groupBy("host", "part").agg(F.collect_list("ref").alias("refs"), F.collect_list("ref_h").alias("ref_hs"),
+                                         F.sum("n").alias("n")).where(F.col("n") >= least_pages))
     refs = written(refs, "references")
+    # a group of all pages of the next larger one has the same template
+    up = F.when(F.col("part").contains("/"), F.substring_index("part", "/", 1)).when(F.col("part") != "", F.lit(""))
+    whole = refs.select("host", F.col("part").alias("up"), F.col("n").alias("n_up"))
+    refs = (refs.withColumn("up", up).join(whole, ["host", "up"], "left")
+            .where("up is null or n < n_up").select("host", "part", "refs", "ref_hs", "n"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
-            for host, tree, own, rs in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "h", "both"))):
+            hosts, parts, keys = [], [], []
+            for host, part, tree, own, rs in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "tree", "h", "both"))):
                 others = [json.loads(r["ref"]) for r in rs if r["h"] != own]
                 for t in constant_texts(json.loads(tree), others):
                     hosts.append(host)
+                    parts.append(part)
                     keys.append(t)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(keys, pa.string())], ["host", "key"])
+            yield pa.record_batch([pa.array(x, pa.string()) for x in (hosts, parts, keys)], ["host", "part", "key"])
 
     both = F.arrays_zip(F.col("refs").alias("ref"), F.col("ref_hs").alias("h"))
-    found = (trees.join(refs.select("host", both.cast("array<struct<ref:string,h:bigint>>").alias("both")), "host")
-             .mapInArrow(align, "host string, key string").groupBy("host", "key").agg(F.count(F.lit(1)).alias("k")))
-    return (found.join(refs.select("host", "n"), "host").where(F.col("k") >= constant_share * (F.col("n") - 1))
-            .groupBy("host").agg(F.collect_list("key").alias("template")))
+    found = (of.join(refs.select("host", "part", both.cast("array<struct<ref:string,h:bigint>>").alias("both")), ["host", "part"])
+             .mapInArrow(align, "host string, part string, key string")
+             .groupBy("host", "part", "key").agg(F.count(F.lit(1)).alias("k")))
+    constant = (found.join(refs.select("host", "part", "n"), ["host", "part"])
+                .where(F.col("k") >= constant_share * (F.col("n") - 1)).select("host", "part", "key"))
+    # every page with these containers: the texts of its host and of the groups within
+    outer = F.substring_index("layout", "/", 1).alias("outer")
+    layouts = trees.select("host", outer).distinct().select("host", "outer", F.explode(F.array(F.lit(""), "outer")).alias("of"))
+    constant = constant.select("host", F.substring_index("part", "/", 1).alias("of"), "key")
+    return layouts.join(constant, ["host", "of"]).groupBy("host", "outer").agg(F.collect_set("key").alias("template"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id",
@@ -131,14 +152,23 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     wrapper = written(induce(pages, url_col=url_col, html_col=html_col, **rule), "wrappers")
     id_type = pages.schema[id_col].dataType.simpleString()
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = list(map(dom.parse, batch.column(2).to_pylist()))
+            found = list(map(content_blocks, roots))
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array([dom.layout(r).split("/")[0] for r in roots], pa.string()),
+                 *(pa.array([[b[i] for b in f] for f in found], pa.list_(pa.string())) for i in (0, 1))],
+                ["page_id", "url", "host", "outer", "keys", "texts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept_n, dropped_n = [], [], []
-            for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                kept, all_blocks = main_blocks(page, template or ())
+            for keys, page, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                kept = outside(list(zip(keys, page)), template or ())
                 texts.append(" ".join(kept))
                 kept_n.append(len(kept))
-                dropped_n.append(all_blocks - len(kept))
+                dropped_n.append(len(keys) - len(kept))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64()), pa.array(kept_n, pa.int32()),
@@ -146,20 +176,32 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
                         text_or_empty(html_col).alias("html"), host_of(url_col).alias("host"))
-    return rows.join(wrapper, "host", "left").select("page_id", "url", "html", "template").mapInArrow(
+    found = rows.mapInArrow(read, f"page_id {id_type}, url string, host string, outer string, keys array<string>, "
+                                  "texts array<string>")
+    return found.join(wrapper, ["host", "outer"], "left").select("page_id", "url", "keys", "texts", "template").mapInArrow(
         run, f"page_id {id_type}, url string, text string, n_chars long, n_blocks int, n_template int")
 
 
-def main_blocks(page: str, template: list[str] | tuple) -> tuple[list[str], int]:
-    """The block texts of the page's content outside the template, and how many
-    blocks the content has."""
-    constant = set(template)
+def content_blocks(page: dom.Node) -> list[tuple[str, str]]:
+    """(key, text) of the blocks of the page's content, in page order."""
     found = []
-    for root in dom.content_roots(dom.parse(page)):
+    for root in dom.content_roots(page):
         names, n = [], root
         while n.up is not None:
             n = n.up
             names.append(n.tag)
         found += dom.blocks(root, "".join(f"/{t}" for t in reversed(names)))
-    kept = [t for path, t in found if not constant or dom.text_key(path, t) not in constant]
-    return (kept or [t for _, t in found]), len(found)
+    return [(dom.text_key(path, t), t) for path, t in found]
+
+
+def outside(found: list[tuple[str, str]], template: list[str] | tuple) -> list[str]:
+    """The texts outside the template; all, if there are none."""
+    constant = set(template)
+    return [t for key, t in found if key not in constant] or [t for _, t in found]
+
+
+def main_blocks(page: str, template: list[str] | tuple) -> tuple[list[str], int]:
+    """The block texts of the page's content outside the template, and how many
+    blocks the content has."""
+    found = content_blocks(dom.parse(page))
+    return outside(found, template), len(found)

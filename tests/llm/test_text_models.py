@@ -164,6 +164,19 @@ def test_copies_of_a_page_are_not_template(spark):
     assert {r["text"] for r in got if r["page_id"] < 4} == {"same x & b c dbold y"}
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    news = "<body><div><h1>News {i}</h1><p>story {i}</p>{more}<p>Read the magazine every day</p></div></body>"
+    shop = "<body><div><h1>Thing {i}</h1><table><tr><td>price {i}<td>Taxes included</table></div></body>"
+    game = "<body><div><div><p>game {i}</p><p>Play with friends</p></div></div></body>"
+    rows = [(i, f"http://mix.example/{i}", page.format(i=i, more="<ul><li>point</ul>" * (i % 7 == 0)))
+            for i, page in enumerate([news] * 20 + [shop] * 20 + [game] * 6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(46):     # of the news, three pages with a list are no layout of their own
+        more = " point" if i % 7 == 0 else ""
+        assert got[i] == (f"News {i} story {i}{more}" if i < 20 else f"Thing {i} price {i}" if i < 40 else f"game {i}")
+
+
 def test_tree_matching_counts_and_pairs():
     a = ["r", [["x", [], ["1"]], ["y", [["z", [], []]], []]], []]
     b = ["r", [["y", [["z", [], []], ["w", [], []]], []], ["x", [], ["1"]]], []]
