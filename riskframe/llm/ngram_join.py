@@ -258,9 +258,13 @@ def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS,
                                                    & (F.col("key") == F.col("head_key")))).alias("kept")))
 
 
+#: the white space that parts words
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """The rows of ``df``, all columns, of the documents that stand for their
-    component. Rows with one id and text are one document; rows without words stay.
+    component. Rows with one id and text are one document; rows without words all stay.
     Repeated rows are combined before the shuffle; the decisions join on the same keys."""
     names = [f"`{c}`" for c in df.columns]
     keys = ["__id", "__no_id", "__key"]
@@ -269,7 +273,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ru
         return rows.withColumns({"__id": F.coalesce(F.col(id_).cast("long"), F.lit(0)), "__no_id": F.col(id_).isNull(),
                                  "__key": key})
 
+    wordless = text_or_empty(text_col).rlike(rf"\A[{SPACE}]*\z")
+    empty, df = df.where(wordless), df.where(~wordless)
     kept = jaccard_join(df, id_col=id_col, text_col=text_col, **rule).where("kept").select("doc_id", "key")
     kept = keyed(kept, "doc_id", F.col("key")).select(*keys).distinct()
     rows = keyed(df, id_col, text_key(text_or_empty(text_col))).dropDuplicates(keys)
-    return rows.join(kept, keys).select(*names)
+    return rows.join(kept, keys).select(*names).union(empty.select(*names))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,17 @@ def test_keep_one_of_each_group(odd_documents):
     assert (None, "solo row") in rows and len([i for i in ids if i is None]) == 1
 
 
+def test_keep_one_keeps_all_rows_without_words(spark):
+    rows = [(None, None), (None, None), (None, ""), (None, "  "), (4, ""), (4, ""), (4, "\u2003\n\u00a0"), (4, "\u2003\n\u00a0"),
+            (5, "some words"), (5, "some words"), (6, "some words"), (None, "x"), (None, "x")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_sorted(pairs_of(got)) == as_sorted([*rows[:8], (5, "some words"), (None, "x")])
+    # the white space of the filter is that of the words
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    _, ends = ngram_join.Shingler(5)(chars)
+    assert [c for c, n in zip(chars, np.diff(ends)) if not n] == [c for c in chars if re.match(f"[{ngram_join.SPACE}]", c)]
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.999, 160)
     assert bands * rows <= 160 and 1 - (1 - 0.8 ** rows) ** bands >= 0.999
