@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (chat_format, decontaminate, embedding_dedup, html_extract, ngram_join, packing, sharding,
-                           suffix_dedup, token_files, toxicity)
+from riskframe.llm import (chat_format, decontaminate, embedding_dedup, html_extract, license_scan, ngram_join, packing,
+                           ranked_search, sharding, suffix_dedup, token_files, toxicity, whitening)
 from riskframe.llm.common import read_table
 
 TOXIC_AT = 0.7
@@ -134,6 +134,36 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op11_licence_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    # null beyond 64 bits; the operator itself gives 38 digits
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(text="coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({_TERMS.format(text="coalesce(text, '')")})) AS t FROM benchmark),
+g AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t, n),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * n) // l AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT q, item_id, p.r, m.doc_id, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN p USING (t) JOIN f USING (t) JOIN m ON m.r = p.r GROUP BY q, item_id, p.r, m.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
 QUERIES = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_wrapper_induction": op2_wrapper_induction,
@@ -145,9 +175,13 @@ QUERIES = {
     "op10_arrow_token_files": op10_arrow_token_files,
     "op5_chat_formatting": op5_chat_formatting,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
+    "op11_licence_expressions": op11_licence_expressions,
+    "op12_qdwh_whitening": op12_qdwh_whitening,
+    "op13_pipelined_search": op13_pipelined_search,
 }
 ORACLES = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op6_int8_embedding_dedup": OP6_SQL,
     "op5_chat_formatting": OP5_SQL,
+    "op13_pipelined_search": OP13_SQL,
 }
