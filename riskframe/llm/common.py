@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,17 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
+def byte_slices(batch: pa.RecordBatch, column: int | str, n_bytes: int = 4 << 20, rows: int = 2000):
+    """Slices of a batch with at most ``n_bytes`` of one text column and ``rows`` rows, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + n_bytes, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def runs_by(batches, names: list[str]):
     """Consecutive rows with equal values in ``names``, as (values, Arrow table);
     for batches whose rows are sorted by these columns. Holds one run at a time."""

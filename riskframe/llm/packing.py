@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm import cutting_stock
-from riskframe.llm.common import text_or_empty, written
+from riskframe.llm.common import byte_slices, text_or_empty, written
 from riskframe.llm.tokens import encoder
 
 _PIECES = ("doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long, "
@@ -52,8 +52,7 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, granule: int, en
                             ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()),
                             ("size_class", pa.int32()), ("task", pa.int32()), ("task_rank", pa.int64())])
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for part in byte_slices(batch, 1):
                 keys = part.column(0).to_pylist()
                 rows = []
                 for key, ids in zip(keys, enc.encode_many(part.column(1).to_pylist())):

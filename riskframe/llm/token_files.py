@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import scratch_path, text_or_empty, written
+from riskframe.llm.common import byte_slices, scratch_path, text_or_empty, written
 from riskframe.llm.tokens import encoder
 
 ROWS_A_BATCH = 128
@@ -89,8 +89,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
         name = f"{at.partitionId():06d}-{at.taskAttemptId()}.arrow"
         end, n_docs, seq, doc = np.array([end_id], enc.dtype), 0, None, None
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for part in byte_slices(batch, 1):
                 if seq is None:
                     seq_sink = store.open_output_stream(f"{root}/seq-{name}")
                     doc_sink = store.open_output_stream(f"{root}/doc-{name}")

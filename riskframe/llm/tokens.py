@@ -15,6 +15,8 @@ import json
 import os
 import re
 import unicodedata
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,9 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-WORDS_KEPT = 1_000_000   # memo entries per worker before the memo starts anew
+WORDS_KEPT = 250_000     # words of the young memo; full, it becomes the old one, whose words in use move up again
 WORDS_A_CALL = 20_000
-TEXTS_A_TIME = 2_000
+CHARS_A_TIME = 1_000_000  # texts encoded in one step, one at least
 # the word split of a lower-cased text: contractions, letter runs, single digits, runs of other marks
 _SPLIT_LINES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SPLIT_FOR = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -41,6 +43,19 @@ def _runs(flat: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarra
     return flat[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
+def _parts(at: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """Consecutive texts of at most ``CHARS_A_TIME`` characters together, or one."""
+    part, size = [], 0
+    for i in at:
+        if part and size + len(texts[i]) > CHARS_A_TIME:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(texts[i])
+    if part:
+        yield part
+
+
 class Encoder:
     """Token ids of texts under one tokenizer file (``add_special_tokens`` off)."""
 
@@ -56,14 +71,27 @@ class Encoder:
         # the shortcut is for files that lower-case, fold white space and split words as above
         self.by_word = ("Lowercase" in json.dumps(spec.get("normalizer")) and bool(steps[0].get("invert"))
                         and (steps[0].get("pattern") or {}).get("Regex") == _SPLIT_FOR)
+        self.by_model = self.by_word and (spec.get("model") or {}).get("type") == "BPE" and all(
+            s.get("type") in ("Split", "ByteLevel") and not s.get("add_prefix_space") for s in steps)
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.pack = lambda ids: array(code, ids).tobytes()
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn_words(self, words: list[str]) -> None:
-        for k in range(0, len(words), WORDS_A_CALL):
-            part = words[k:k + WORDS_A_CALL]
+        # ASCII words pass the other steps of the library unchanged, so its model alone is asked
+        ascii_words = [w for w in words if w.isascii()] if self.by_model else []
+        learn = self.tok.model.tokenize
+        for w in ascii_words:
+            self.words[w] = self.pack([t.id for t in learn(w)])
+        if len(ascii_words) == len(words):
+            return
+        rest = [w for w in words if not w.isascii()] if ascii_words else words
+        for k in range(0, len(rest), WORDS_A_CALL):
+            part = rest[k:k + WORDS_A_CALL]
             enc = self.tok.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(enc.ids, self.dtype)
             of = np.array(enc.word_ids, np.int64)
@@ -81,8 +109,11 @@ class Encoder:
 
     def _ids_of_words(self, words: list[str]) -> list[bytes]:
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        self._learn_words([w for w in words if w not in self.words])
+            self.old, self.words = self.words, {}
+        missing = [w for w in words if w not in self.words]
+        known = [w for w in missing if w in self.old]
+        self.words.update(zip(known, map(self.old.__getitem__, known)))
+        self._learn_words([w for w in missing if w not in self.words])
         return list(map(self.words.__getitem__, words))
 
     def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +141,7 @@ class Encoder:
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         for i in set(range(len(texts))).difference(plain):
             out[i] = np.frombuffer(self._whole(texts[i]), self.dtype)
-        for k in range(0, len(plain), TEXTS_A_TIME):
-            part = plain[k:k + TEXTS_A_TIME]
+        for part in _parts(plain, texts):
             split = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in part], pa.large_string()))
             coded = split.flatten().dictionary_encode()
             names = coded.dictionary.to_pylist()

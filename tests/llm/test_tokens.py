@@ -30,7 +30,7 @@ def test_encoder_equals_the_library(text):
 def test_encoder_batches_and_full_memo(documents, monkeypatch):
     texts = [r["text"] or "" for r in documents.collect()]
     own = Encoder(PATH)
-    monkeypatch.setattr("riskframe.llm.tokens.TEXTS_A_TIME", 7)
+    monkeypatch.setattr("riskframe.llm.tokens.CHARS_A_TIME", 900)
     monkeypatch.setattr("riskframe.llm.tokens.WORDS_KEPT", 50)
     assert [x.tolist() for x in own.encode_many([*texts[:40], "", " a ", "<|endoftext|>"])] == [
         ids_of(t) for t in [*texts[:40], "", " a ", "<|endoftext|>"]]
