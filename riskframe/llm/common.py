@@ -104,7 +104,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
-def byte_slices(batch: pa.RecordBatch, column: int | str, n_bytes: int = 4 << 20, rows: int = 2000):
+def byte_slices(batch: pa.RecordBatch, column: int | str, n_bytes: int = 8 << 20, rows: int = 2000):
     """Slices of a batch with at most ``n_bytes`` of one text column and ``rows`` rows, one row at least."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -26,7 +26,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORDS_KEPT = 250_000     # words of the young memo; full, it becomes the old one, whose words in use move up again
 WORDS_A_CALL = 20_000
-CHARS_A_TIME = 1_000_000  # texts encoded in one step, one at least
+CHARS_A_TIME = 8_000_000  # texts encoded in one step, one at least
 # the word split of a lower-cased text: contractions, letter runs, single digits, runs of other marks
 _SPLIT_LINES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SPLIT_FOR = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -40,7 +40,9 @@ def _runs(flat: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarra
     """The runs flat[first[c]:first[c] + size[c]] for c in code, joined, and their ends."""
     n = size[code]
     ends = np.concatenate([[0], np.cumsum(n)])
-    return flat[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])], ends
+    at = np.repeat(first[code] - ends[:-1], n)
+    at += np.arange(ends[-1])
+    return flat[at], ends
 
 
 def _parts(at: list[int], texts: list[str]) -> Iterator[list[int]]:
