@@ -474,16 +474,16 @@ def drop_correlated(spark, sf_dir):
     return SEL.correlated_to_drop(pairs, tau, 0.5)
 
 
-_NULL_COLS = ["emp_length", "dti", "int_rate", "installment", "revol_bal"]
+_NULL_RANK_COLS = ["emp_length", "dti", "int_rate", "installment", "revol_bal"]
 
 
 @register("spearman_with_nulls", "WITH " + S.split_ctes() + """,
 view_nulls AS (SELECT loan_id, """ + ", ".join(
-    f"CASE WHEN loan_id % {7 + 2 * i} = 0 THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for i, c in enumerate(_NULL_COLS)) + """
+    f"CASE WHEN loan_id % {7 + 2 * i} = 0 THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for i, c in enumerate(_NULL_RANK_COLS)) + """
                FROM splitted WHERE split = 'train'),
-whole AS (SELECT * FROM view_nulls WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _NULL_COLS) + """),
+whole AS (SELECT * FROM view_nulls WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _NULL_RANK_COLS) + """),
 lr AS (""" + " UNION ALL ".join(
-    f"SELECT loan_id, '{c}' AS feature, {i} AS pos, {c} AS value FROM whole" for i, c in enumerate(_NULL_COLS)) + """),
+    f"SELECT loan_id, '{c}' AS feature, {i} AS pos, {c} AS value FROM whole" for i, c in enumerate(_NULL_RANK_COLS)) + """),
 rk AS (SELECT loan_id, feature, pos, rank() OVER (PARTITION BY feature ORDER BY value) +
               CAST(count(*) OVER (PARTITION BY feature, value) - 1 AS DOUBLE) / CAST(2.0 AS DOUBLE) AS r FROM lr)
 SELECT a.feature AS col_i, b.feature AS col_j, round(corr(a.r, b.r), 6) AS rho, count(*) AS n
@@ -493,8 +493,8 @@ def spearman_with_nulls(spark, sf_dir):
     columns have few NULLs, so one in 7, 9, ... ids is blanked in each column)."""
     tr = P.split_loans(spark, sf_dir).where(F.col("split") == "train")
     holes = tr.select("loan_id", *[F.when(F.col("loan_id") % (7 + 2 * i) != 0, F.col(c).cast("double")).alias(c)
-                                   for i, c in enumerate(_NULL_COLS)])
-    return rounded(SEL.spearman_pairs(holes, _NULL_COLS, "loan_id"))
+                                   for i, c in enumerate(_NULL_RANK_COLS)])
+    return rounded(SEL.spearman_pairs(holes, _NULL_RANK_COLS, "loan_id"))
 
 
 MI_BINS = 10
