@@ -1,11 +1,11 @@
 """The hybrid logit V = Xβ + NN(Q) and its special cases,
 trained data-parallel on Spark.
 
-One epoch = one Spark job. The current weights (and Adam moments) travel to
-the tasks in the closure (a few thousand doubles); each partition runs
-mini-batch Adam over its own rows in a seeded order (with inverted dropout)
-and returns its weights, moments and row count as partial sums; the driver
-averages them by rows (local SGD with model averaging). Scoring is a
+One epoch = one Spark job (``many``). The current weights (and Adam moments) travel
+to the tasks (a few thousand doubles); each partition runs mini-batch Adam over
+its own rows in a seeded order (with inverted dropout) and returns its weights,
+moments and row count as partial sums; the driver averages them by rows (local SGD
+with model averaging); L-BFGS steps on the whole table may follow. Scoring is a
 ``mapInPandas`` forward pass. numpy only.
 
 * wide = [] gives the dense net (G5/G6); deep = [] gives the MNL trained by
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .mnl import softmax_rows
-from .sums import cached_design, design_matrix, label_index, partition_fold, partition_sums
+from .sums import cached_design, design_matrix, label_index, partition_sums
 
 
 @dataclass
@@ -194,10 +194,6 @@ def flat_grad(spec: HybridSpec, g: dict) -> np.ndarray:
     return np.concatenate([g[name].ravel() for name, _ in spec.shapes()])
 
 
-#: parts that train side by side and are averaged after every epoch.
-SHARDS = 8
-
-
 @dataclass
 class HybridResult:
     spec: HybridSpec
@@ -226,82 +222,27 @@ def _loss_accuracy(data: DataFrame, spec: HybridSpec, params: np.ndarray, label:
 
 
 def fit_hybrid(df: DataFrame, spec: HybridSpec, label: str = "y", key: str = "loan_id", epochs: int = 50,
-               batch_size: int = 32, lr: float = 1e-3, seed: int = 10, shards: int = SHARDS,
+               batch_size: int = 32, lr: float = 1e-3, seed: int = 10, shards: int | None = None,
                init_beta: np.ndarray | None = None, train_beta: bool = True,
-               validation: DataFrame | None = None) -> HybridResult:
-    """Train by per-shard Adam epochs + row-weighted averaging.
-
-    The design is hash-partitioned by key into ``shards`` parts, a parameter of the
-    model like the batch size: the weights do not depend on the cluster. It is
-    persisted, so every epoch sees the same parts in the same order; a part
-    streams its Arrow batches. History rows are (epoch, loss, accuracy), followed
-    by the loss and accuracy on ``validation`` where given (forward pass without
-    dropout)."""
-    cols = list(dict.fromkeys((spec.wide or []) + spec.deep))
-    data = cached_design(df, cols, label, key=key, partitions=shards)
+               validation: DataFrame | None = None, polish_steps: int = 0) -> HybridResult:
+    """One network: per-shard Adam epochs + row-weighted averaging, then at most
+    ``polish_steps`` full-gradient L-BFGS steps (see ``many``).
+
+    The shard count is a parameter of the model like the batch size, by default a
+    rule of the row count (``many.shards_for``): the weights do not depend on the
+    cluster. History rows are (epoch, loss, accuracy), followed by the loss and
+    accuracy on ``validation`` where given (forward pass without dropout)."""
+    from .many import Model, design, fit_many
+    cols = list(dict.fromkeys((spec.wide or []) + list(spec.deep or [])))
+    d = design(df, cols, label, key, shards=shards)
     held = None if validation is None else cached_design(validation, cols, label)
-    size = spec.size()
-    params = init_params(spec, seed, init_beta)
-    m = np.zeros(size)
-    v = np.zeros(size)
-    t = 0.0
-    b1, b2, eps = 0.9, 0.999, 1e-7
-    history = []
-    wide, deep, classes = spec.wide or [], list(spec.deep or []), spec.classes
-    n_total = 0
-    for epoch in range(epochs):
-        p0, m0, v0, t0 = params.copy(), m.copy(), v.copy(), t
-
-        def fold(batches, p0=p0, m0=m0, v0=v0, t0=t0, epoch=epoch):
-            # state carries across the partition's Arrow batches; memory = one batch
-            p, mm, vv, tt = p0.copy(), m0.copy(), v0.copy(), t0
-            loss = correct = 0.0
-            steps = 0
-            nrow = 0.0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = design_matrix(pdf, wide)
-                q = pdf[deep].to_numpy(dtype="float64") if deep else np.zeros((len(pdf), 0))
-                yi = label_index(pdf, label, classes)
-                h = int(pd.util.hash_pandas_object(pdf[key].iloc[:1], index=False).iloc[0] % (2 ** 31))
-                rng = np.random.default_rng([seed, epoch, h])
-                order = rng.permutation(len(pdf))
-                for s in range(0, len(order), batch_size):
-                    idx = order[s:s + batch_size]
-                    w = unpack(spec, p)
-                    u, cache = spec.forward(w, x[idx], q[idx], rng)
-                    pr = softmax_rows(u)
-                    yb = np.zeros_like(pr)
-                    yb[np.arange(len(idx)), yi[idx]] = 1.0
-                    loss += -np.log(np.clip(pr[np.arange(len(idx)), yi[idx]], 1e-300, None)).sum()
-                    correct += (pr.argmax(1) == yi[idx]).sum()
-                    du = (pr - yb) / len(idx)
-                    g = flat_grad(spec, spec.backward(w, cache, du, train_beta))
-                    tt += 1
-                    steps += 1
-                    mm = b1 * mm + (1 - b1) * g
-                    vv = b2 * vv + (1 - b2) * g * g
-                    mh = mm / (1 - b1 ** tt)
-                    vh = vv / (1 - b2 ** tt)
-                    p = p - lr * mh / (np.sqrt(vh) + eps)
-                nrow += float(len(pdf))
-            if nrow == 0:
-                return None
-            return np.concatenate([p * nrow, mm * nrow, vv * nrow, [steps * nrow, nrow, loss, correct]])
-
-        tot = partition_fold(data, fold, 3 * size + 4)
-        n_total = tot[-3]
-        params = tot[:size] / n_total
-        m = tot[size:2 * size] / n_total
-        v = tot[2 * size:3 * size] / n_total
-        t = t + tot[3 * size] / n_total
-        row = (epoch + 1, float(tot[-2] / n_total), float(tot[-1] / n_total))
-        history.append(row + (_loss_accuracy(held, spec, params, label) if held is not None else ()))
-    data.unpersist()
+    after = None if held is None else lambda params: [_loss_accuracy(held, spec, params[0], label)]
+    model = Model(spec, seed=seed, init_beta=init_beta, train_beta=train_beta)
+    result = fit_many(d, [model], epochs, batch_size, lr, polish_steps, after_epoch=after)[0]
+    d.release()
     if held is not None:
         held.unpersist()
-    return HybridResult(spec, params, history, int(n_total))
+    return result
 
 
 def score_hybrid(df: DataFrame, result: HybridResult, keep: list[str], prefix: str = "prob_c",

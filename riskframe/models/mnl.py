@@ -119,10 +119,11 @@ def check_information(info: np.ndarray, terms: list[str]) -> None:
 
 
 def fit_mnl(df: DataFrame, features: list[str], label: str = "y", classes=(1, 2, 3),
-            maxiter: int = 35, tol: float = 1e-8, init: np.ndarray | None = None) -> MNLResult:
+            maxiter: int = 35, tol: float = 1e-8, init: np.ndarray | None = None,
+            cache: bool = True) -> MNLResult:
     """Maximum-likelihood multinomial logit (Newton with step halving)."""
     classes = list(classes)
-    data = cached_design(df, features, label)
+    data = cached_design(df, features, label, cache)
     k1, pp = len(classes) - 1, len(features) + 1
     d = k1 * pp
     beta = np.zeros((k1, pp)) if init is None else np.asarray(init, dtype="float64").reshape(k1, pp)
@@ -156,7 +157,8 @@ def fit_mnl(df: DataFrame, features: list[str], label: str = "y", classes=(1, 2,
             break
     check_information(info, terms)
     cov = np.linalg.inv(info)
-    data.unpersist()
+    if cache:
+        data.unpersist()
     return MNLResult(list(features), classes, beta, cov, float(ll), n, it, converged, history)
 
 

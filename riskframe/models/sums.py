@@ -38,10 +38,14 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["shard", "vec"])
 
 
-def _reduce(parts: DataFrame, size: int) -> np.ndarray:
-    """Add the per-partition vectors; no partition had rows: zeros."""
-    row = parts.repartition("shard").mapInArrow(_add, _VECTOR).repartition(1).mapInArrow(_add, _VECTOR).first()
-    return np.zeros(size) if row is None else np.array(row["vec"], dtype="float64")
+def _reduce(parts: DataFrame, size: int, shards: int | None = None) -> np.ndarray:
+    """Add the per-partition vectors; no partition had rows: zeros. Tables known to have
+    at most ``FAN_IN`` partitions need no first level."""
+    if shards is None or shards > FAN_IN:
+        parts = parts.repartition("shard").mapInArrow(_add, _VECTOR)
+    # collect, not first(): a limit breaks off the Python workers, which then start anew
+    rows = parts.repartition(1).mapInArrow(_add, _VECTOR).collect()
+    return np.array(rows[0]["vec"], dtype="float64") if rows else np.zeros(size)
 
 
 def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
@@ -62,7 +66,7 @@ def partition_sums(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size
     return _reduce(df.mapInPandas(mapper, _VECTOR), size)
 
 
-def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
+def partition_fold(df: DataFrame, fold: Callable, size: int, shards: int | None = None) -> np.ndarray:
     """Like :func:`partition_sums`, but ``fold(batches)`` sees the partition's
     Arrow batches as an iterator (state may carry from batch to batch, memory
     stays one batch) and returns one length-``size`` vector per partition."""
@@ -74,21 +78,16 @@ def partition_fold(df: DataFrame, fold: Callable, size: int) -> np.ndarray:
         if vec is not None:
             yield _row(vec)
 
-    return _reduce(df.mapInPandas(mapper, _VECTOR), size)
+    return _reduce(df.mapInPandas(mapper, _VECTOR), size, shards)
 
 
-def cached_design(df: DataFrame, cols: list[str], label: str | None = None,
-                  key: str | None = None, partitions: int | None = None) -> DataFrame:
+def cached_design(df: DataFrame, cols: list[str], label: str | None = None, cache: bool = True) -> DataFrame:
     """Project the fit columns, drop rows with NULLs and persist (MEMORY_AND_DISK;
-    a lost block is recomputed from the deterministic lineage). ``partitions``
-    hash-partitions by ``key`` so per-partition training is repeatable."""
-    sel = ([key] if key else []) + ([label] if label else []) + list(cols)
-    d = df.select(*sel).dropna()
-    if partitions:
-        d = d.repartition(partitions, key) if key else d.repartition(partitions)
-        if key:
-            d = d.sortWithinPartitions(key)
-    return d.persist(StorageLevel.MEMORY_AND_DISK)
+    a lost block is recomputed from the deterministic lineage). ``cache=False``: the
+    caller holds the table for several fits and releases it after the last;
+    fits that run side by side would otherwise release each other's cache."""
+    d = df.select(*([label] if label else []), *cols).dropna()
+    return d.persist(StorageLevel.MEMORY_AND_DISK) if cache else d
 
 
 def design_matrix(pdf: pd.DataFrame, cols: list[str], intercept: bool = True) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..models.linear import score_linear
+from ..models.linear import score_linear, score_ordered
 from ..operators import metrics
 from . import loanprep as P
 from . import sqlgen as S
@@ -742,15 +742,70 @@ def coef_table(spark, sf_dir):
 
 @register("mnl_l2")
 def mnl_l2(spark, sf_dir):
-    """L2-penalised multinomial logit (C = 1) via MLlib: coefficients per class."""
+    """L2-penalised multinomial logit (C = 1) by Newton-CG: coefficients per class."""
     p = P.prepared_loans(spark, sf_dir, materialize=True)
-    f = CV.MNLRidge(p.model_features).fit(p.train())
-    cm, icp = f.detail
-    rows = [(f"y={k}", t, float(v)) for ci, k in enumerate(CLASSES)
-            for t, v in zip(["const"] + p.model_features, [icp[ci], *cm[ci]])]
+    r = CV.MNLRidge(p.model_features).fit(p.train()).detail
+    rows = [(f"y={k}", t, float(v)) for k, own in zip(CLASSES, r.beta) for t, v in zip(["const"] + p.model_features, own)]
     return spark.createDataFrame(rows, "equation string, term string, estimate double")
 
 
+# First-order conditions at the fitted parameters: a maximum-likelihood fit makes the model's
+# moments equal the observed ones, which SQL sums without knowing the parameters.
+_MOMENT_COLS = [c for c in _NUMERIC if c not in P.MODEL_DROP]
+
+
+def _moments(df: DataFrame, weights: dict[int, "F.Column"], extra=None) -> DataFrame:
+    """(cls, term, moment): mean of weight x column per class, plus ``extra[cls, term]``."""
+    terms = ["const", *_MOMENT_COLS]
+    one = df.agg(*[F.avg(w * (F.lit(1.0) if t == "const" else F.col(t))).alias(f"m{k}_{t}")
+                   for k, w in weights.items() for t in terms])
+    own = extra or {}
+    return rounded(one.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("cls"), F.lit(t).alias("term"),
+                 (F.col(f"m{k}_{t}") + F.lit(float(own.get((k, t), 0.0)))).alias("moment"))
+        for k in weights for t in terms])).alias("r")).select("r.*"))
+
+
+def _moments_sql(weights: dict[int, str]) -> str:
+    cols = {t: "CAST(1.0 AS DOUBLE)" if t == "const" else t for t in ["const", *_MOMENT_COLS]}
+    return ("WITH " + S.numeric_prepared_ctes(_NUMERIC) + ",\ntr AS (SELECT * FROM scaled WHERE split = 'train')\n"
+            + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS cls, '{t}' AS term, round(avg({w} * {c}), 6) AS moment FROM tr"
+                                 for k, w in weights.items() for t, c in cols.items()))
+
+
+_OBSERVED = {k: f"CAST(y = {k} AS DOUBLE)" for k in CLASSES}
+
+
+@register("mnl_score_equations", _moments_sql(_OBSERVED))
+def mnl_score_equations(spark, sf_dir):
+    """G1: mean of p_k x_j under the Newton fit, which the observed mean of (y = k) x_j must equal."""
+    tr = P.cut_lineage(_train_scaled(spark, sf_dir))
+    r = fit_mnl(tr, _MOMENT_COLS)
+    s = score_linear(tr, _MOMENT_COLS, r.beta_dict(), keep=_MOMENT_COLS)
+    return _moments(s, {k: F.col(f"prob_c{k}") for k in CLASSES})
+
+
+@register("ridge_score_equations", _moments_sql(_OBSERVED))
+def ridge_score_equations(spark, sf_dir):
+    """Mean of p_k x_j plus the penalty's pull b_kj / (C n), equal to the observed mean."""
+    tr = P.cut_lineage(_train_scaled(spark, sf_dir))
+    f = CV.MNLRidge(_MOMENT_COLS).fit(tr)
+    r = f.detail
+    pull = {(k, t): r.beta[i, j + 1] / (r.C * r.n) for i, k in enumerate(CLASSES) for j, t in enumerate(_MOMENT_COLS)}
+    return _moments(f.score(tr, _MOMENT_COLS), {k: F.col(f"prob_c{k}") for k in CLASSES}, pull)
+
+
+@register("ordered_score_equations", f"SELECT * FROM ({_moments_sql({0: 'CAST(1.0 AS DOUBLE)'})}) WHERE term <> 'const'")
+def ordered_score_equations(spark, sf_dir):
+    """Mean of x_j (P(Y <= y) + P(Y < y)) under the cumulative logit, equal to the mean of x_j."""
+    tr = P.cut_lineage(_train_scaled(spark, sf_dir))
+    r = fit_ordered(tr, _MOMENT_COLS)
+    s = score_ordered(tr, _MOMENT_COLS, r.beta, r.theta, ["y", *_MOMENT_COLS])
+    below = F.when(F.col("y") == 1, F.lit(0.0)).when(F.col("y") == 2, F.col("prob_c1")).otherwise(F.col("prob_c1") + F.col("prob_c2"))
+    own = F.when(F.col("y") == 1, F.col("prob_c1")).when(F.col("y") == 2, F.col("prob_c2")).otherwise(F.col("prob_c3"))
+    return _moments(s, {0: 2 * below + own}).where("term <> 'const'")
+
+
 @register("mnl_shared_beta")
 def mnl_shared_beta(spark, sf_dir):
     """The same MNL likelihood trained by data-parallel Adam (the reference's
@@ -759,7 +814,7 @@ def mnl_shared_beta(spark, sf_dir):
     tr = p.train()
     newton = fit_mnl(tr, p.model_features)
     spec = HY.HybridSpec(p.model_features, [], classes=CLASSES)
-    r = HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS)
+    r = HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS, polish_steps=CV.POLISH)
     beta = r.weights()["beta"]
     rows = [(f"y={k}", t, float(beta[a, j]), float(newton.beta[a, j]))
             for a, k in enumerate(CLASSES[1:]) for j, t in enumerate(["const"] + p.model_features)]
@@ -836,7 +891,7 @@ def _fitted_hybrid(spark, sf_dir):
     w, d = _presets(p.model_features)["H1"]
     spec = HY.HybridSpec(w, d, HIDDEN, classes=CLASSES)
     tr = p.train()
-    return p, tr, HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS)
+    return p, tr, HY.fit_hybrid(tr, spec, epochs=HYBRID_EPOCHS, polish_steps=CV.POLISH)
 
 
 @register("training_history")
