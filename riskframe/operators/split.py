@@ -1,8 +1,9 @@
 """Sampling and splitting (C1-C4) by a reproducible hash order inside each class.
 
-All three rank rows with :func:`rank.rank_by_hash`, so no class is sorted in
-one task and the same seed gives the same rows on any cluster size (and in
-DuckDB, which computes the same md5).
+Down-sample and splits cut the hash order at the n-th smallest hash of a class
+(:mod:`nth`: counting passes, then a filter; no row is shuffled), and the folds rank
+rows with :func:`rank.rank_by_hash`. No class is sorted in one task, and the same
+seed gives the same rows on any cluster size (and in DuckDB, which computes the same md5).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .nth import first_in_hash_order
 from .rank import rank_by_hash
 
 
@@ -28,32 +30,29 @@ def down_sample(df: DataFrame, label: str, key: str, remove: dict | None = None,
     are kept whole. The kept rows of a class are those first in hash order.
     """
     remove, remove_share, keep = remove or {}, remove_share or {}, keep or {}
-    classes = set(remove) | set(remove_share) | set(keep)
-    ranked = rank_by_hash(df.where(F.col(label).isin(list(classes))), [label], key, seed)
+    classes = list(set(remove) | set(remove_share) | set(keep))
     keep_n = F.lit(None).cast("long")
     for c, n in remove.items():
-        keep_n = F.when(F.col(label) == c, F.col("_n") - F.lit(n)).otherwise(keep_n)
+        left = F.col("_n") - F.lit(n)
+        left = F.when(left < 0, F.raise_error(F.lit("down_sample: class smaller than the rows to remove"))).otherwise(left)
+        keep_n = F.when(F.col(label) == c, left).otherwise(keep_n)
     for c, s in remove_share.items():
         keep_n = F.when(F.col(label) == c, F.col("_n") - _round_half_up(F.col("_n") * F.lit(float(s)))
                         ).otherwise(keep_n)
     for c, n in keep.items():
         keep_n = F.when(F.col(label) == c, F.lit(n)).otherwise(keep_n)
-    if remove:
-        too_small = F.when(keep_n < 0, F.raise_error(F.lit("down_sample: class smaller than the rows to remove")))
-        ranked = ranked.where(too_small.isNull())
-    kept = ranked.where(F.col("_rank") <= keep_n).drop("_rank", "_n")
-    rest = df.where(~F.col(label).isin(list(classes)) | F.col(label).isNull())
-    return kept.unionByName(rest)
+    cut = F.col(label).isin(classes)
+    chosen = first_in_hash_order(df.where(cut), label, key, seed, keep_n)
+    return df.where(F.coalesce(~cut, F.lit(True)) | chosen)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.3,
                      seed: int = 10, out: str = "split") -> DataFrame:
     """Per class, the first ``round(test_fraction·n_c)`` rows in hash order are
     'test', the rest 'train'."""
-    ranked = rank_by_hash(df, [label], key, seed)
     n_test = _round_half_up(F.col("_n") * F.lit(float(test_fraction)))
-    return ranked.withColumn(out, F.when(F.col("_rank") <= n_test, F.lit("test")).otherwise(F.lit("train"))
-                             ).drop("_rank", "_n")
+    chosen = first_in_hash_order(df, label, key, seed, n_test)
+    return df.withColumn(out, F.when(chosen, F.lit("test")).otherwise(F.lit("train")))
 
 
 def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 10,

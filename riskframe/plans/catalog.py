@@ -86,6 +86,7 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------
 from ..operators import clean as C  # noqa: E402
 from ..operators import compare as CMP  # noqa: E402
+from ..operators import knn_info as KI  # noqa: E402
 from ..operators import prep as D  # noqa: E402
 from ..operators import rank as R  # noqa: E402
 from ..operators import split as SP  # noqa: E402
@@ -512,6 +513,41 @@ def mutual_info_binned(spark, sf_dir):
     return rounded(SEL.mutual_info_binned(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_BINS, CLASSES))
 
 
+MI_NEIGHBOURS = 10     # as the reference
+
+
+def _knn_sql() -> str:
+    k = MI_NEIGHBOURS
+    w = "OVER (PARTITION BY feature, y ORDER BY value)"
+    low = [f"value - lag(value, {a}) {w}" if a else "value - value" for a in range(k + 1)]
+    high = [f"lead(value, {k - a}) {w} - value" if k - a else "value - value" for a in range(k + 1)]
+    # an edge of the class has no such neighbour: the sum is NULL there, as greatest() would not be
+    near = ", ".join(f"CASE WHEN ({x}) + ({z}) IS NOT NULL THEN greatest({x}, {z}) END" for x, z in zip(low, high))
+    return "WITH " + _stats_ctes() + f""",
+nr AS (SELECT feature, y, value, list_min(list_filter([{near}], lambda z: z IS NOT NULL)) AS r,
+              count(*) OVER (PARTITION BY feature, y) AS nc FROM lr WHERE value IS NOT NULL),
+q AS (SELECT *, CASE WHEN r = 0 THEN value ELSE value - r END AS lo, CASE WHEN r = 0 THEN value ELSE value + r END AS hi FROM nr),
+d AS (SELECT feature, value, count(*) AS c FROM nr GROUP BY ALL),
+pf AS (SELECT feature, value, sum(c) OVER (PARTITION BY feature ORDER BY value) AS upto,
+              sum(c) OVER (PARTITION BY feature ORDER BY value) - c AS below FROM d),
+j AS (SELECT q.*, h.upto AS h_upto, l.upto AS l_upto, e.upto - e.below AS same
+      FROM q ASOF LEFT JOIN pf h ON q.feature = h.feature AND q.hi > h.value
+             ASOF LEFT JOIN pf l ON q.feature = l.feature AND q.lo >= l.value
+             LEFT JOIN pf e ON q.feature = e.feature AND q.value = e.value),
+m AS (SELECT feature, y, nc, count(*) OVER (PARTITION BY feature) AS n,
+             CAST(CASE WHEN r = 0 THEN same ELSE h_upto - coalesce(l_upto, 0) END AS BIGINT) AS m FROM j),
+hm AS (SELECT i, sum(CASE WHEN i > 1 THEN CAST(1.0 AS DOUBLE) / (i - 1) ELSE 0 END) OVER (ORDER BY i) AS h
+       FROM range(1, (SELECT max(n) + 1 FROM m)) t(i))
+SELECT m.feature, round(greatest(0, max(hn.h) + (SELECT h FROM hm WHERE i = {k}) - avg(hc.h) - avg(h1.h)), 6) AS mutual_info
+FROM m JOIN hm h1 ON h1.i = m.m JOIN hm hc ON hc.i = m.nc JOIN hm hn ON hn.i = m.n GROUP BY m.feature"""
+
+
+@register("mutual_info_knn", _knn_sql())
+def mutual_info_knn(spark, sf_dir):
+    """E8 by nearest neighbours, the reference's estimator (without its noise on ties)."""
+    return rounded(KI.mutual_info_knn(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_NEIGHBOURS))
+
+
 # ----------------------------------------------------------------------------
 # F: choice design; H7/H8/J2 with fixed β
 # ----------------------------------------------------------------------------
