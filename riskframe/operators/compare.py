@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .rank import value_prefix
+from .pairs import all_pairs
+from .rank import null_safe_join, value_prefix
 
-MAX_MODELS = 1_000
 
 
 def block_ranks(df: DataFrame, group: str, block: str, value: str, out: str = "rank") -> DataFrame:
@@ -106,37 +106,18 @@ def wilcox_exact_p(w: float, m: int, n: int) -> float:
     return min(1.0, 2.0 * p)
 
 
-def pairwise_ranksum(df: DataFrame, group: str, value: str, exact_below: int = 50) -> DataFrame:
-    """For each pair a < b: W of a, n_a, n_b, tie sum, z and p (unadjusted)."""
-    spark = df.sparkSession
-    models = sorted(r[0] for r in df.select(group).distinct().limit(MAX_MODELS + 1).collect())
-    if len(models) > MAX_MODELS:
-        raise ValueError("pairwise_ranksum: too many groups")
-    route = [(a, b, a, 1) for i, a in enumerate(models) for b in models[i + 1:]] + \
-            [(a, b, b, 0) for i, a in enumerate(models) for b in models[i + 1:]]
-    routes = spark.createDataFrame(route, f"model_a string, model_b string, {group} string, is_a int")
-    # equal values of a model travel to its pairs as one counted row
-    rows = (df.select(F.col(group).cast("string").alias(group), F.col(value).cast("double").alias("v"))
-            .groupBy(group, "v").agg(F.count(F.lit(1)).alias("c")))
-    routed = rows.join(F.broadcast(routes), on=group)  # ≤ MAX_MODELS² routing rows
-    dist = routed.groupBy("model_a", "model_b", "v").agg(F.sum("c").alias("cnt"),
-                                                         F.sum(F.col("c") * F.col("is_a")).alias("cnt_a"))
-    pref = value_prefix(dist, ["model_a", "model_b"], "v")
-    st = pref.groupBy("model_a", "model_b").agg(
-        F.sum(F.col("cnt_a") * (F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))).alias("r_a"),
-        F.sum("cnt_a").alias("n_a"), F.first("n").alias("n"),
-        F.sum(F.pow(F.col("cnt"), 3) - F.col("cnt")).alias("tie_sum"))
-    st = st.withColumns({c: F.col(c).cast("double") for c in ("n_a", "n")})   # products of counts leave the long range
-    st = st.withColumn("n_b", F.col("n") - F.col("n_a")).withColumn(
-        "w", F.col("r_a") - F.col("n_a") * (F.col("n_a") + 1) / F.lit(2.0))
+def pairwise_ranksum(df: DataFrame, group: str, value: str) -> DataFrame:
+    """For each pair a < b: W of a, n_a, n_b, tie sum, z (unadjusted). All pairs come from one
+    pass over the values (:mod:`pairs`); a pair's row carries counts as doubles, as products
+    of counts leave the long range. An all-tied pair has a NULL z."""
+    st = all_pairs(df, group, value).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    n = F.col("n_a") + F.col("n_b")
     mu = F.col("n_a") * F.col("n_b") / F.lit(2.0)
-    sigma = F.sqrt(F.col("n_a") * F.col("n_b") / F.lit(12.0) *
-                   ((F.col("n") + 1) - F.col("tie_sum") / (F.col("n") * (F.col("n") - 1))))
+    sigma = F.sqrt(F.col("n_a") * F.col("n_b") / F.lit(12.0) * ((n + 1) - F.col("tie_sum") / (n * (n - 1))))
     d = F.col("w") - mu
-    corr = F.signum(d) * F.lit(0.5)
-    st = st.withColumn("z", F.try_divide(d - corr, sigma))   # all-tied pair: NULL, not an error
     return st.select("model_a", "model_b", "w", F.col("n_a").cast("long").alias("n_a"),
-                     F.col("n_b").cast("long").alias("n_b"), "tie_sum", "z")
+                     F.col("n_b").cast("long").alias("n_b"), "tie_sum",
+                     F.try_divide(d - F.signum(d) * F.lit(0.5), sigma).alias("z"))
 
 
 def ranksum_p(st: DataFrame, exact_below: int = 50) -> DataFrame:
@@ -157,20 +138,28 @@ def _exact_p_series(exact_below: int):
     return run
 
 
-def bh_adjust(df: DataFrame, p: str = "p_value", out: str = "p_adj", partition: list[str] | None = None
-              ) -> DataFrame:
+BH_RUN = 1 << 20
+
+
+def bh_adjust(df: DataFrame, p: str = "p_value", out: str = "p_adj", partition: list[str] | None = None,
+              run: int = BH_RUN) -> DataFrame:
     """Benjamini-Hochberg: min over p' ≥ p of p'·m/rank(p'), capped at 1
-    (ties share the largest rank, as R's p.adjust)."""
-    part = partition or []
-    base = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))
-    asc = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy(F.col(p)) \
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    desc = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy(F.col(p).desc()) \
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    m = F.count(F.lit(1)).over(base)
-    d = df.withColumn("__i", F.count(F.lit(1)).over(asc)).withColumn("__m", m)
-    d = d.withColumn("__v", F.col(p) * F.col("__m") / F.col("__i"))
-    return d.withColumn(out, F.least(F.lit(1.0), F.min("__v").over(desc))).drop("__i", "__m", "__v")
+    (ties share the largest rank, as R's p.adjust). A NULL p stays NULL and is not counted.
+
+    Ranks are distributed (distinct p values with counts); the minimum from above is taken
+    within runs of the order and over the later runs' minima, one row per run."""
+    part = partition or ["__all"]
+    rows = df if partition else df.withColumn("__all", F.lit(0))
+    dist = rows.where(F.col(p).isNotNull()).groupBy(*part, p).agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = (value_prefix(dist, part, p)
+              .withColumn("__v", F.col(p) * F.col("n") / (F.col("below") + F.col("cnt")))
+              .withColumn("__run", F.floor(F.col("below") / F.lit(run))))
+    own = Window.partitionBy(*part, "__run").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*part).orderBy(F.col("__run").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    runs = ranked.groupBy(*part, "__run").agg(F.min("__v").alias("__low")).withColumn("__later", F.min("__low").over(later))
+    adjusted = null_safe_join(ranked.withColumn("__own", F.min("__v").over(own)), runs.drop("__low"), [*part, "__run"])
+    table = adjusted.select(*part, F.col(p), F.least(F.lit(1.0), F.col("__own"), F.col("__later")).alias(out))
+    return null_safe_join(rows, table, [*part, p], "left").drop("__all").select(*df.columns, out)
 
 
 def metric_mean_rank(df: DataFrame, model: str, metric: str, fold: str, value: str,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..models.hybrid import HybridResult, forward, unpack
@@ -46,20 +46,51 @@ def share_elasticity(df: DataFrame, features: list[str], beta: dict, feature: st
                      hi: float = 0.3, n: int = 100, classes=(1, 2, 3)) -> DataFrame:
     """Scale ``feature`` by (1 + point) for each grid point; change in the
     number of rows predicted in each class versus the unscaled prediction.
-    Rows: (step, point, cls, change)."""
+    Rows: (step, point, cls, change).
+
+    Along the grid a row's utilities are straight lines, so a class is predicted on one run of
+    steps whose ends follow from the pairwise crossings. A row gives an entry and an exit event
+    per class with such a run; their counts per step, added along the grid, are the predictions."""
     classes = list(classes)
-    base_u = class_utilities(features, beta, classes)
-    d = df.select(*features).withColumn("__base", _argmax(base_u, classes))
-    d = _with_steps(d, n).withColumn("point", grid_point(F.col("step"), lo, hi, n))
-    scaled = [F.col(f) * (F.lit(1.0) + F.col("point")) if f == feature else F.col(f) for f in features]
-    d = d.withColumns({f"__x{i}": c for i, c in enumerate(scaled)})
-    new_u = class_utilities([f"__x{i}" for i in range(len(features))], beta, classes)
-    d = d.withColumn("__new", _argmax(new_u, classes))
-    agg = d.groupBy("step", "point").agg(*[
-        (F.sum((F.col("__new") == k).cast("long")) - F.sum((F.col("__base") == k).cast("long"))).alias(f"c{k}")
-        for k in classes])
-    return agg.unpivot(["step", "point"], [f"c{k}" for k in classes], "cls", "change").withColumn(
-        "cls", F.substring("cls", 2, 10).cast("int"))
+    slopes = _slopes(features, beta, feature, classes)
+    zero = df.select(*[(F.lit(0.0) if f == feature else F.col(f)).alias(f"__x{i}") for i, f in enumerate(features)],
+                     F.col(feature).alias("__x"), _argmax(class_utilities(features, beta, classes), classes).alias("__base"))
+    us = class_utilities([f"__x{i}" for i in range(len(features))], beta, classes)
+    lines = zero.where(F.col("__x").isNotNull()).select(
+        "__base", *[u.alias(f"a{k}") for u, k in zip(us, classes)],
+        *[(F.lit(slopes[k]) * F.col("__x")).alias(f"b{k}") for k in classes])
+    delta = (hi - lo) / (n - 1) if n > 1 else 1.0
+    first, stop = {}, {}
+    for j, low in enumerate(classes):
+        for k in classes[j + 1:]:
+            # k beats the class before it where its line is strictly above: from or before a step
+            rise = F.col(f"b{k}") - F.col(f"b{low}")
+            at = (F.try_divide(F.col(f"a{low}") - F.col(f"a{k}"), rise) - F.lit(1.0 + lo)) / F.lit(delta)
+            at = F.least(F.greatest(at, F.lit(-2.0)), F.lit(n + 1.0))
+            up, down = F.floor(at) + 1, F.ceil(at)
+            above = F.col(f"a{k}") > F.col(f"a{low}")
+            first[k, low] = F.when(rise > 0, up).when(rise < 0, F.lit(0)).otherwise(F.when(above, F.lit(0)).otherwise(F.lit(n)))
+            stop[k, low] = F.when(rise < 0, down).otherwise(F.lit(n))
+            first[low, k] = F.when(rise < 0, down).when(rise > 0, F.lit(0)).otherwise(F.when(above, F.lit(n)).otherwise(F.lit(0)))
+            stop[low, k] = F.when(rise > 0, up).otherwise(F.lit(n))
+    others = {k: [j for j in classes if j != k] for k in classes}
+    ends = lines.select("__base", *[F.greatest(F.lit(0), *[first[k, j] for j in others[k]]).alias(f"f{k}") for k in classes],
+                        *[F.least(F.lit(n), *[stop[k, j] for j in others[k]]).alias(f"s{k}") for k in classes])
+    events = F.array(
+        F.struct(F.lit(-1).cast("long").alias("step"), F.col("__base").alias("cls"), F.lit(1).alias("d")),
+        *[F.when(F.col(f"f{k}") < F.col(f"s{k}"), F.struct(F.col(x).cast("long").alias("step"), F.lit(k).alias("cls"), F.lit(d).alias("d")))
+          for k in classes for x, d in ((f"f{k}", 1), (f"s{k}", -1))])
+    counts = (ends.select(F.inline(F.array_compact(events))).groupBy("step", "cls").agg(F.sum("d").alias("d")))
+    grid = df.sparkSession.range(n).select(F.col("id").alias("step"), F.explode(F.array(*map(F.lit, classes))).alias("cls"),
+                                           F.lit(0).cast("long").alias("d"))
+    along = Window.partitionBy("cls").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    base = F.coalesce(F.sum(F.when(F.col("step") < 0, F.col("d"))).over(Window.partitionBy("cls")), F.lit(0))
+    inside = F.coalesce(F.sum(F.when(F.col("step") >= 0, F.col("d"))).over(along), F.lit(0))
+    # (steps + 2) x classes cells from here on
+    cells = counts.unionByName(grid).groupBy("step", "cls").agg(F.sum("d").alias("d"))
+    told = cells.withColumn("change", inside - base).where(F.col("step").between(0, n - 1))
+    return told.select(F.col("step").cast("int").alias("step"), grid_point(F.col("step"), lo, hi, n).alias("point"),
+                       F.col("cls").cast("int").alias("cls"), "change")
 
 
 def _steps_of(one_row: DataFrame, lo: float, hi: float, n: int, values: dict, out: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden values of FIXTURES.md §3 (Friedman, pairwise rank-sum, BH) on the
 reference's two result tables."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,47 @@ def test_bh_monotone(spark):
 def test_chi2_tail():
     assert chi2_sf(19.428571, 5) == pytest.approx(0.0015989, rel=1e-4)
     assert chi2_sf(2.0, 2) == pytest.approx(0.36787944117, rel=1e-9)
+
+
+def test_rank_sums_of_200_models_by_brute_force(spark, monkeypatch):
+    from riskframe.operators import pairs
+    monkeypatch.setattr(pairs, "CHUNK", 3)
+    rng = np.random.default_rng(3)
+    rows = [(f"m{i:03d}", float(v)) for i in range(200) for v in rng.integers(0, 12, rng.integers(1, 6))]
+    df = spark.createDataFrame([*rows, ("m000", None), (None, 1.0)], "model string, value double")
+    own = {}
+    for m, v in rows:
+        own.setdefault(m, []).append(v)
+    got = pairs.all_pairs(df, "model", "value").collect()
+    assert len(got) == 200 * 199 // 2
+    for r in got:
+        a, b = own[r["model_a"]], own[r["model_b"]]
+        assert r["w"] == sum((x > y) + (x == y) / 2 for x in a for y in b)
+        both = a + b
+        assert (r["n_a"], r["n_b"]) == (len(a), len(b))
+        assert r["tie_sum"] == sum(both.count(v) ** 3 - both.count(v) for v in set(both))
+
+
+def test_rank_sums_over_many_runs(spark):
+    from riskframe.operators import pairs
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(m, float(v)) for m in "abc" for v in rng.integers(0, 60, 80)], "model string, value double")
+    whole = pairs.pair_sums(df, "model", "value", ["a", "b", "c"])
+    for x, y in zip(whole, pairs.pair_sums(df, "model", "value", ["a", "b", "c"], run=7)):
+        assert np.array_equal(x, y)
+
+
+def test_bh_runs_nulls_and_groups(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(60), 2).tolist()
+    df = spark.createDataFrame([(g, x) for g in ("u", "v") for x in p] + [("u", None)], "g string, p_value double")
+    order = sorted(range(60), key=lambda i: -p[i])
+    want, low = {}, 1.0
+    for i in order:
+        rank = sum(1 for x in p if x <= p[i])
+        low = min(low, p[i] * 60 / rank)
+        want[p[i]] = low
+    for run in (5, 1 << 20):
+        out = CMP.bh_adjust(df, partition=["g"], run=run).collect()
+        assert len(out) == 121
+        assert all((r["p_adj"] is None) if r["p_value"] is None else r["p_adj"] == pytest.approx(want[r["p_value"]]) for r in out)
