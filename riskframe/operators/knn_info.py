@@ -58,7 +58,7 @@ def radii(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
 
 
 def mutual_info_knn(df: DataFrame, cols: list[str], label: str, k: int = 10, run: int = RUN) -> DataFrame:
-    """(feature, mutual_info) in nats, not below 0."""
+    """(feature, estimate, mutual_info) in nats: the estimate itself, and not below 0."""
     run = max(run, k)       # so that the halo lies within the next run
     rows = to_long(df.where(F.col(label).isNotNull()).select(F.col(label).alias("cls"), *cols), cols, ["cls"],
                    "feature", "x").where(F.col("x").isNotNull())
@@ -99,4 +99,5 @@ def mutual_info_knn(df: DataFrame, cols: list[str], label: str, k: int = 10, run
     sums = told.groupBy("feature").agg(
         F.sum("cnt").alias("n"),
         F.sum(F.col("cnt") * (digamma(F.col("k")) - digamma(F.col("nc")) - digamma(F.col("m")))).alias("s"))
-    return sums.select("feature", F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("s") / F.col("n")).alias("mutual_info"))
+    estimate = digamma(F.col("n")) + F.col("s") / F.col("n")
+    return sums.select("feature", estimate.alias("estimate")).withColumn("mutual_info", F.greatest(F.lit(0.0), "estimate"))

@@ -85,6 +85,7 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # B: filters, projections, recodes
 # ----------------------------------------------------------------------------
 from ..operators import clean as C  # noqa: E402
+from ..operators import codes as CD  # noqa: E402
 from ..operators import compare as CMP  # noqa: E402
 from ..operators import knn_info as KI  # noqa: E402
 from ..operators import prep as D  # noqa: E402
@@ -203,6 +204,18 @@ def ordinal_encode(spark, sf_dir):
     return p.data.select("loan_id", "sub_grade")
 
 
+@register("ordinal_codes_joined", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS DOUBLE) AS c_name,
+       CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS c_mktsegment
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def ordinal_codes_joined(spark, sf_dir):
+    """D3 with a dictionary that grows with the data (customer names) and a small one, by joined codes."""
+    who = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    rows = orders.join(who, orders["o_custkey"] == who["c_custkey"]).drop("o_custkey", "c_custkey")
+    return CD.encode_ordinal(rows, CD.sorted_codes(rows, ["c_name", "c_mktsegment"]), ["c_name", "c_mktsegment"])
+
+
 @register("minmax_scale", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + "\n" +
           rsql(["loan_id", "split"] + _NUMERIC, _NUMERIC, "scaled"))
 def minmax_scale(spark, sf_dir):
@@ -455,6 +468,17 @@ def kendall_y_pvalues(spark, sf_dir):
     return rounded(k.withColumn("unrelated", F.col("p_value") >= 0.05))
 
 
+@register("drop_unrelated", "WITH " + _stats_ctes() + """
+SELECT feature AS column FROM ktau WHERE abs(z) > 1.959963984540054""")
+def drop_unrelated(spark, sf_dir):
+    """The columns that stay in the training table after those with p >= 0.05 are dropped."""
+    tr = _train_scaled(spark, sf_dir)
+    p = SEL.with_normal_p(SEL.kendall_with_label(tr, _STAT_COLS, "y", CLASSES))
+    gone = [r["column"] for r in SEL.unrelated_to_label(p).collect()]      # at most the columns of the table
+    left = C.drop_columns(tr.select(*_STAT_COLS), gone).columns
+    return spark.createDataFrame([(c,) for c in left], "column string")
+
+
 @register("drop_correlated", "WITH RECURSIVE " + _stats_ctes() + """,
 strong AS (SELECT col_i AS a, col_j AS b FROM spear WHERE abs(rho) > 0.5
            UNION ALL SELECT col_j, col_i FROM spear WHERE abs(rho) > 0.5),
@@ -538,14 +562,15 @@ m AS (SELECT feature, y, nc, count(*) OVER (PARTITION BY feature) AS n,
              CAST(CASE WHEN r = 0 THEN same ELSE h_upto - coalesce(l_upto, 0) END AS BIGINT) AS m FROM j),
 hm AS (SELECT i, sum(CASE WHEN i > 1 THEN CAST(1.0 AS DOUBLE) / (i - 1) ELSE 0 END) OVER (ORDER BY i) AS h
        FROM range(1, (SELECT max(n) + 1 FROM m)) t(i))
-SELECT m.feature, round(greatest(0, max(hn.h) + (SELECT h FROM hm WHERE i = {k}) - avg(hc.h) - avg(h1.h)), 6) AS mutual_info
-FROM m JOIN hm h1 ON h1.i = m.m JOIN hm hc ON hc.i = m.nc JOIN hm hn ON hn.i = m.n GROUP BY m.feature"""
+SELECT feature, round(e, 6) AS estimate, round(greatest(0, e), 6) AS mutual_info FROM (
+SELECT m.feature, max(hn.h) + (SELECT h FROM hm WHERE i = {k}) - avg(hc.h) - avg(h1.h) AS e
+FROM m JOIN hm h1 ON h1.i = m.m JOIN hm hc ON hc.i = m.nc JOIN hm hn ON hn.i = m.n GROUP BY m.feature)"""
 
 
 @register("mutual_info_knn", _knn_sql())
 def mutual_info_knn(spark, sf_dir):
     """E8 by nearest neighbours, the reference's estimator (without its noise on ties)."""
-    return rounded(KI.mutual_info_knn(_train_scaled(spark, sf_dir), _STAT_COLS, "y", MI_NEIGHBOURS))
+    return rounded(KI.mutual_info_knn(P.cut_lineage(_train_scaled(spark, sf_dir)), _STAT_COLS, "y", MI_NEIGHBOURS))
 
 
 # ----------------------------------------------------------------------------
@@ -1022,6 +1047,24 @@ def external_scores(spark, sf_dir):
     return rounded(m.select("fold", *_MET_COLS[1:]))
 
 
+_FOLD_FILE = T.StructType([T.StructField("true", T.IntegerType()), T.StructField("pred", T.IntegerType()),
+                           *[T.StructField(f"prob_pred_c{k}", T.DoubleType()) for k in CLASSES]])
+
+
+@register("external_csv_scores", _external_sql())
+def external_csv_scores(spark, sf_dir):
+    """A2 + H12 from CSV: prediction files of the reference's layout (true, pred, class
+    probabilities; a folder per fold) are written, scanned with their schema and scored per fold."""
+    import uuid
+    scored = SP.stratified_kfold(fixed_scored(spark, sf_dir), "y", "loan_id", L.VIEW_FOLDS, EXT_FOLD_SEED)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fold-files-{uuid.uuid4().hex}"
+    outside = scored.select("fold", F.col("y").alias("true"), "pred",
+                            *[F.col(f"prob_c{k}").alias(f"prob_pred_c{k}") for k in CLASSES])
+    TB.write_dataset(outside, path, fmt="csv", partition_by=["fold"])
+    back = TB.read_fold_predictions(spark, path, _FOLD_FILE)
+    return rounded(metrics.classification_scores(back, ["fold"]).select("fold", *_MET_COLS[1:]))
+
+
 _MRANK_SQL = """
 evf AS (SELECT event_type AS model, value,
                CAST((row_number() OVER (PARTITION BY event_type ORDER BY md5('{seed}|' || CAST(event_id AS VARCHAR)), event_id) - 1)
@@ -1126,6 +1169,21 @@ LOAN_CSV_SCHEMA = T.StructType([
 ])
 
 
+@register("design_roundtrip", "WITH " + S.numeric_prepared_ctes(_NUMERIC) + """
+SELECT loan_id, y, """ + ", ".join(f"round({c}, 6) AS {c}" for c in _MOMENT_COLS) + " FROM scaled WHERE split = 'train'")
+def design_roundtrip(spark, sf_dir):
+    """A5: the scaled training design saved as a bucketed table with its manifest and loaded again."""
+    import uuid
+    from ..sources import designs as DG
+    name = f"design_{uuid.uuid4().hex[:12]}"
+    DG.save_design(_train_scaled(spark, sf_dir), name, {"wide": _MOMENT_COLS[:4], "deep": _MOMENT_COLS[4:]})
+    stored = DG.load_design(spark, name)
+    out = P.cut_lineage(stored.design.data.select("loan_id", "y", *[c for own in stored.roles.values() for c in own]))
+    stored.design.release()
+    DG.drop_design(spark, name)
+    return rounded(out)
+
+
 @register("csv_roundtrip", "WITH " + S.cleaned_ctes() + """
 SELECT count(*) AS n_rows, count(emp_length) AS n_emp_length, round(sum(installment), 4) AS sum_installment,
        count(DISTINCT addr_state) AS n_states FROM view""")

@@ -78,9 +78,13 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def probability_file_schema(classes: int = 3, prefix: str = "Categ") -> T.StructType:
-    """Schema of an outside class-probability file (``Categ1..K``)."""
-    return T.StructType([T.StructField(f"{prefix}{k}", T.DoubleType()) for k in range(1, classes + 1)])
+def read_fold_predictions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A2: outside prediction files (true, pred, prob_pred_c1..K), one folder ``fold=i`` per
+    fold, as one dataset (fold, y, pred, prob_c1..K) in one scan."""
+    with_fold = T.StructType([*schema.fields, T.StructField("fold", T.IntegerType())])
+    df = read_csv(spark, path, with_fold)
+    probs = [c for c in schema.fieldNames() if c.startswith("prob_pred_")]
+    return df.select("fold", F.col("true").alias("y"), "pred", *[F.col(c).alias(c.replace("prob_pred_", "prob_")) for c in probs])
 
 
 def finite_or_null(x: float | None) -> float | None:

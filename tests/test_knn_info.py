@@ -23,7 +23,7 @@ def plain(x, y, k):
         r = same[own - 1]
         m = sum(1 for v in x if (v == x[i] if r == 0 else x[i] - r < v < x[i] + r))
         total += psi(own) - psi(len(same) + 1) - psi(m)
-    return max(0.0, psi(len(x)) + total / len(x))
+    return psi(len(x)) + total / len(x)
 
 
 @pytest.mark.parametrize("run", [4, 1 << 16])
@@ -39,7 +39,9 @@ def test_equals_all_pairs(spark, run):
     df = spark.createDataFrame(pdf)
     df = df.withColumn("hole", F.when(~F.isnan("hole"), F.col("hole")))
     cols = ["a", "ties", "few", "flat", "hole"]
-    got = {r["feature"]: r["mutual_info"] for r in KI.mutual_info_knn(df, cols, "y", 5, run).collect()}
+    rows = KI.mutual_info_knn(df, cols, "y", 5, run).collect()
+    assert all(r["mutual_info"] == max(0.0, r["estimate"]) for r in rows)
+    got = {r["feature"]: r["estimate"] for r in rows}
     for c in cols:
         assert got[c] == pytest.approx(plain(pdf[c].tolist(), y.tolist(), 5), abs=1e-9), c
     assert KI.mutual_info_knn(df.limit(0), cols, "y").count() == 0
