@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..session import cut_lineage
+from .kendall import kendall_pairs, merge_counts as _merge_counts  # noqa: F401  (E4)
 from .rank import attach_ranks, distinct_counts, to_long, value_prefix
 
 MAX_FEATURES = 2_000
@@ -197,152 +197,3 @@ def mutual_info_binned(df: DataFrame, cols: list[str], label: str, bins: int = 1
          .withColumn("ny", F.sum("nby").over(wy)))
     term = (F.col("nby") / F.col("n")) * F.log(F.col("nby") * F.col("n") / (F.col("nb") * F.col("ny")))
     return c.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
-
-
-# ------------------------------------------------------------------ E4
-def _merge_counts(order: np.ndarray, idx: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Σ w_r w_s over s with a smaller order and a smaller (larger) idx than r; ties
-    count in neither. One sort and binary searches per block size, no loop over rows."""
-    n = len(order)
-    if n < 2:
-        return 0.0, 0.0
-    by = np.lexsort((idx, order))
-    order, idx, w = order[by], idx[by].astype(np.int64), w[by].astype("float64")
-    # equal orders must not meet: the left part of a row is the rows of smaller order
-    first = np.searchsorted(order, order, side="left")
-    top = int(idx.max()) + 1
-    lower = upper = 0.0
-    size = 1
-    pos = np.arange(n)
-    while size < n:
-        # blocks of ``size`` rows sorted by idx; the prefix [0, first) of a row is made of
-        # one block for every binary digit of ``first``
-        block = pos // size
-        key = block * top + idx
-        srt = np.argsort(key, kind="stable")
-        cum = np.concatenate([[0.0], np.cumsum(w[srt])])
-        ks = key[srt]
-        use = (first // size) % 2 == 1
-        b = first[use] // size - 1
-        lo = np.searchsorted(ks, b * top, side="left")
-        lt = np.searchsorted(ks, b * top + idx[use], side="left")
-        le = np.searchsorted(ks, b * top + idx[use], side="right")
-        hi = np.searchsorted(ks, (b + 1) * top, side="left")
-        lower += float((w[use] * (cum[lt] - cum[lo])).sum())
-        upper += float((w[use] * (cum[hi] - cum[le])).sum())
-        size *= 2
-    return lower, upper
-
-
-def _buckets(pref: DataFrame, buckets: int) -> "Column":
-    """Monotone bucket id from exact ranks; a value holding ≥ n/buckets rows gets
-    a bucket of its own (odd id), so no bucket mixes a hot value with others."""
-    base = F.floor(F.col("below") * F.lit(buckets) / F.col("n")).cast("long")
-    hot = (F.col("cnt") * F.lit(buckets) >= F.col("n")).cast("long")
-    return base * 2 + hot
-
-
-def _sweep(pdf: pd.DataFrame, order: str, idx_col: str) -> tuple[float, float]:
-    _, inv = np.unique(pdf[idx_col].to_numpy(), return_inverse=True)
-    return _merge_counts(pdf[order].to_numpy(), inv, pdf["w"].to_numpy(dtype="float64"))
-
-
-def concordance(points: DataFrame, rows_per_task: int = 50_000, depth: int = 0) -> DataFrame:
-    """Weighted concordant / discordant pair counts per ``pair`` of the points
-    (pair, x, y, w): C = Σ w_r w_s over x_s < x_r, y_s < y_r; D over x_s < x_r,
-    y_s > y_r (ties count in neither). Exact and distributed:
-
-    * a pair with at most ``rows_per_task`` points is swept in one task;
-    * otherwise exact ranks cut x and y into ordered buckets (a hot value gets
-      a bucket of its own). Pairs of points inside one x-bucket, and inside
-      one y-bucket across x-buckets, are swept per bucket; pairs in different
-      x- and y-buckets are the concordance of the bucket cells weighted by
-      their counts, computed by the same function on the (smaller) cell table.
-    """
-    points = points.persist()
-    sizes = points.groupBy("pair").agg(F.count(F.lit(1)).alias("m"))
-    big = [r["pair"] for r in sizes.where(F.col("m") > rows_per_task).select("pair").collect()]
-    schema = "pair string, C double, D double"
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, d = _sweep(pdf, "x", "y")
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "C": [c], "D": [d]})
-
-    small = points.where(~F.col("pair").isin(big)) if big else points
-    out = small.groupBy("pair").applyInPandas(whole, schema)
-    if not big or depth > 24:
-        return out if not big else out.unionByName(
-            points.where(F.col("pair").isin(big)).groupBy("pair").applyInPandas(whole, schema))
-    pts = points.where(F.col("pair").isin(big))
-    m_max = sizes.agg(F.max("m")).first()[0]
-    # buckets: enough for sweeps of ~rows_per_task points, but at most √m/4 so
-    # that the cell table ((2nb+2)² cells) is at least ~4× smaller than the
-    # points and the recursion shrinks; very large pairs sweep ~4√m points.
-    nb = max(1, min(math.ceil(m_max / rows_per_task), int(math.sqrt(m_max) / 4)))
-    xs = value_prefix(pts.groupBy("pair", "x").agg(F.sum("w").alias("cnt")), ["pair"], "x")
-    ys = value_prefix(pts.groupBy("pair", "y").agg(F.sum("w").alias("cnt")), ["pair"], "y")
-    xb = xs.select("pair", "x", _buckets(xs, nb).alias("bx"))
-    yb = ys.select("pair", "y", _buckets(ys, nb).alias("by"), F.col("below").alias("ry"))
-    d = pts.join(xb, ["pair", "x"]).join(yb, ["pair", "y"]).persist()
-
-    def within_x(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, dd = _sweep(pdf.rename(columns={"ry": "yk"}), "x", "yk")
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "C": [c], "D": [dd]})
-
-    def within_y(pdf: pd.DataFrame) -> pd.DataFrame:
-        # order by y; index = x-bucket (different buckets only: equal bx are skipped)
-        c, dd = _sweep(pdf, "y", "bx")
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "C": [c], "D": [dd]})
-
-    multi_x = d.groupBy("pair", "bx").agg(F.countDistinct("x").alias("k")).where("k > 1").drop("k")
-    multi_y = d.groupBy("pair", "by").agg(F.countDistinct("y").alias("k"), F.countDistinct("bx").alias("kb")) \
-        .where("k > 1 AND kb > 1").drop("k", "kb")
-    wx = (d.join(multi_x, ["pair", "bx"]).select("pair", "bx", "x", "ry", "w")
-          .groupBy("pair", "bx").applyInPandas(within_x, schema))
-    wy = (d.join(multi_y, ["pair", "by"]).select("pair", "by", "y", "bx", "w")
-          .groupBy("pair", "by").applyInPandas(within_y, schema))
-    cells = d.groupBy("pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")) \
-        .agg(F.sum("w").alias("w"))
-    grid = concordance(cut_lineage(cells), rows_per_task, depth + 1)   # short plans per level
-    parts = out.unionByName(wx).unionByName(wy).unionByName(grid)
-    return parts.groupBy("pair").agg(F.sum("C").alias("C"), F.sum("D").alias("D"))
-
-
-def kendall_pairs(df: DataFrame, cols: list[str], key: str, rows_per_task: int = 50_000) -> DataFrame:
-    """τ-b and z for every column pair (i > j), exact, without a pair join.
-
-    Rows collapse to distinct (pair, x, y, w); :func:`concordance` counts
-    concordant and discordant pairs; tie terms come from the distinct x and y
-    counts. A hot value never lands whole in one task, and the bucket grid
-    recurses instead of being capped, so per-task work stays bounded.
-    """
-    idx = {c: i for i, c in enumerate(cols)}
-    pairs = [(a, b) for a in cols for b in cols if idx[a] > idx[b]]
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    long_df = sel.select(F.explode(F.array(*[
-        F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in pairs])).alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    dist = long_df.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
-    cd = concordance(dist, rows_per_task)
-    tx = dist.groupBy("pair", "x").agg(F.sum("w").alias("t")).groupBy("pair").agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties_x"),
-        F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("vt"),
-        F.sum(F.col("t") * (F.col("t") - 1)).alias("t1"),
-        F.sum(F.col("t") * (F.col("t") - 1) * (F.col("t") - 2)).alias("t2"),
-        F.sum("t").alias("n"))
-    ty = dist.groupBy("pair", "y").agg(F.sum("w").alias("u")).groupBy("pair").agg(
-        F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("ties_y"),
-        F.sum(F.col("u") * (F.col("u") - 1) * (2 * F.col("u") + 5)).alias("vu"),
-        F.sum(F.col("u") * (F.col("u") - 1)).alias("u1"),
-        F.sum(F.col("u") * (F.col("u") - 1) * (F.col("u") - 2)).alias("u2"))
-    allp = cd.join(tx, "pair").join(ty, "pair")
-    n = F.col("n")
-    s_ = F.col("C") - F.col("D")
-    n0 = n * (n - 1) / 2
-    tau = F.try_divide(s_, F.sqrt((n0 - F.col("ties_x")) * (n0 - F.col("ties_y"))))
-    var = ((n * (n - 1) * (2 * n + 5) - F.col("vt") - F.col("vu")) / 18
-           + F.col("t1") * F.col("u1") / (2 * n * (n - 1))
-           + F.col("t2") * F.col("u2") / (9 * n * (n - 1) * (n - 2)))
-    z = F.try_divide(s_, F.sqrt(var))
-    return allp.select(F.split("pair", r"\|")[0].alias("col_i"), F.split("pair", r"\|")[1].alias("col_j"),
-                       F.col("n").cast("long").alias("n"), tau.alias("tau_b"), z.alias("z"))

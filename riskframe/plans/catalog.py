@@ -1280,6 +1280,47 @@ def kendall_xx(spark, sf_dir):
     return rounded(SEL.with_normal_p(k))
 
 
+# levels of a unit of the scaled inputs; fixed factors leave two of them below 0.01
+_LEVELS = {c: 1_000_000 if c in ("dti", "int_rate") else 100 for c in _STAT_COLS}
+
+
+def _contingency_sql() -> str:
+    """τ-b and z of all pairs of columns on levels, from the contingency table of each pair."""
+    lv = ", ".join(f"floor({c} * {_LEVELS[c]}) AS {c}" for c in _STAT_COLS)
+    cells = " UNION ALL ".join(
+        f"SELECT '{a}' AS col_i, '{b}' AS col_j, {a} AS x, {b} AS y, CAST(count(*) AS DOUBLE) AS w FROM lv "
+        f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
+        for i, a in enumerate(_STAT_COLS) for b in _STAT_COLS[:i])
+
+    def ties(side: str) -> str:
+        return (f"SELECT col_i, col_j, sum(t) AS n, sum(t * (t - 1) / 2) AS t0, sum(t * (t - 1) * (2 * t + 5)) AS tv, "
+                f"sum(t * (t - 1)) AS t1, sum(t * (t - 1) * (t - 2)) AS t2 "
+                f"FROM (SELECT col_i, col_j, sum(w) AS t FROM cells GROUP BY col_i, col_j, {side}) GROUP BY col_i, col_j")
+    return "WITH " + S.numeric_prepared_ctes(_NUMERIC) + f""",
+lv AS (SELECT {lv} FROM scaled WHERE split = 'train'),
+cells AS ({cells}),
+s AS (SELECT a.col_i, a.col_j, sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s
+      FROM cells a JOIN cells b ON a.col_i = b.col_i AND a.col_j = b.col_j GROUP BY a.col_i, a.col_j),
+tx AS ({ties("x")}),
+ty AS ({ties("y")}),
+f AS (SELECT s.col_i, s.col_j, s, n, n * (n - 1) / 2 AS n0, tx.t0 AS xa, tx.tv AS xb, tx.t1 AS xc, tx.t2 AS xd,
+             ty.t0 AS ya, ty.tv AS yb, ty.t1 AS yc, ty.t2 AS yd
+      FROM s JOIN tx USING (col_i, col_j) JOIN (SELECT col_i, col_j, t0, tv, t1, t2 FROM ty) ty USING (col_i, col_j)),
+g AS (SELECT *, (n0 - xa) * (n0 - ya) AS d, (n * (n - 1) * (2 * n + 5) - xb - yb) / 18 + xc * yc / (2 * n * (n - 1))
+                + xd * yd / (9 * n * (n - 1) * (n - 2)) AS v FROM f)
+SELECT col_i, col_j, CAST(n AS BIGINT) AS n, CASE WHEN d > 0 THEN round(s / sqrt(d), 6) END AS tau_b,
+       CASE WHEN v > 0 THEN round(s / sqrt(v), 6) END AS z
+FROM g"""
+
+
+@register("kendall_contingency", _contingency_sql())
+def kendall_contingency(spark, sf_dir):
+    """E4 on levels of the scaled numeric inputs: the same operator, held against contingency tables."""
+    tr = P.prepared_loans(spark, sf_dir).train()
+    levels = tr.select("loan_id", *[F.floor(F.col(c) * _LEVELS[c]).alias(c) for c in _STAT_COLS])
+    return rounded(SEL.kendall_pairs(levels, _STAT_COLS, "loan_id", rows_per_task=1_000))
+
+
 @register("alt_shared_net")
 def alt_shared_net(spark, sf_dir):
     """One network shared by the alternatives on the alternative-specific

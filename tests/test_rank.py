@@ -164,3 +164,45 @@ def test_merge_counts_equal_all_pairs():
         lower, upper = _merge_counts(x, y, w)
         assert lower == pytest.approx((ww * (lt & (y[None, :] < y[:, None]))).sum())
         assert upper == pytest.approx((ww * (lt & (y[None, :] > y[:, None]))).sum())
+
+
+def test_kendall_pairs_many_buckets_nulls_and_hot_values(spark):
+    """Rows in many buckets and stripes, with NULLs, NaN, a hot value, a constant and repeated rows."""
+    from riskframe.operators.kendall import cell_pairs, kendall_pairs, merge_counts
+    rng = np.random.default_rng(4)
+    n = 3000
+    a = rng.normal(size=n)
+    b = np.round(a + rng.normal(size=n), 1)
+    c = np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 900, n))
+    data = {"a": a, "b": b, "c": c, "d": np.full(n, 2.0)}
+    rows = [[float(v[i]) if rng.random() > 0.1 else None for v in data.values()] for i in range(n)]
+    for k in range(40):
+        rows[k][0] = float("nan")
+    rows += rows[:200]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    names = list(data)
+    got = {(r.col_i, r.col_j): r for r in kendall_pairs(df, names, rows_per_task=60).collect()}
+    assert len(got) == 6
+    for i, x in enumerate(names):
+        for j in range(i):
+            both = np.array([(np.inf if r[i] != r[i] else r[i], np.inf if r[j] != r[j] else r[j])
+                             for r in rows if r[i] is not None and r[j] is not None])
+            u, v = (np.unique(both[:, k], return_inverse=True)[1] for k in (0, 1))
+            s = (np.sign(u[:, None] - u) * np.sign(v[:, None] - v)).sum() / 2
+            m = len(u)
+            tx, ty = (sum(t * (t - 1) // 2 for t in np.bincount(k).tolist()) for k in (u, v))
+            r = got[(x, names[j])]
+            assert r.n == m
+            if "d" in (x, names[j]):
+                assert r.tau_b is None
+                continue
+            n0 = m * (m - 1) / 2
+            assert r.tau_b == pytest.approx(s / np.sqrt((n0 - tx) * (n0 - ty)), abs=1e-12)
+    cells = [(1, 0, int(x), int(y), float(rng.integers(1, 5))) for x in range(30) for y in range(25) if rng.random() < 0.3]
+    r = cell_pairs(spark.createDataFrame(cells, "i int, j int, bx int, by int, n double"), 30) \
+        .groupBy().sum("a", "b").first()
+    x, y, w = (np.array([q[k] for q in cells]) for k in (2, 3, 4))
+    assert (r[0], r[1]) == pytest.approx(merge_counts(x, y, w))
+    assert kendall_pairs(df.limit(0), names).count() == 0
+    few = kendall_pairs(spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "x double, y double"), ["x", "y"]).first()
+    assert few.n == 2 and few.tau_b == 1.0
