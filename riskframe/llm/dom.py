@@ -10,6 +10,7 @@ import hashlib
 import html
 import re
 import zlib
+from functools import lru_cache
 
 # fixed sets of HTML element names
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -52,10 +53,11 @@ class Node:
     """A block element: name, its path of names, whether it is noise, whether its
     name says main text, its children and texts in page order."""
 
-    __slots__ = ("tag", "noise", "main", "items", "up")
+    __slots__ = ("tag", "noise", "main", "items", "up", "inside")
 
     def __init__(self, tag: str, up: "Node | None", noise: bool = False, main: bool = False):
         self.tag, self.up, self.noise, self.main, self.items = tag, up, noise, main, []
+        self.inside = tag == "article" or main or up is not None and up.inside      # of an article or main part
 
 
 def _attributes(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
@@ -115,7 +117,7 @@ def parse(page: str) -> Node:
         if tag in VOID:
             at.items.append(" ")
             continue
-        noise, main = _attributes(tag, m[5], any_article(at))
+        noise, main = _attributes(tag, m[5], at.inside)
         if tag in INLINE and not noise:
             continue
         if tag in ENDS_P or tag == "p":
@@ -137,12 +139,10 @@ def parse(page: str) -> Node:
     return root
 
 
-def any_article(n: Node | None) -> bool:
-    while n is not None:
-        if n.tag == "article" or n.main:
-            return True
-        n = n.up
-    return False
+@lru_cache(maxsize=1 << 16)
+def step(path: str, tag: str) -> str:
+    """The path of a child named ``tag``: a chained hash, as long at any depth."""
+    return hashlib.blake2b(f"{path}/{tag}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def content_roots(root: Node) -> list[Node]:
@@ -162,11 +162,11 @@ def content_roots(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(root: Node, path: str = "") -> list[tuple[str, str]]:
+def blocks(root: Node, path: str = "", noise: bool = False) -> list[tuple[str, str]]:
     """(path of names, text) of every run of text in a block, in page order, white
-    space folded, without noise and without empty texts."""
+    space folded, without empty texts and, but for ``noise``, without noise elements."""
     out: list[tuple[str, str]] = []
-    todo: list[tuple] = [(root, path + "/" + root.tag)]
+    todo: list[tuple] = [(root, step(path, root.tag))]
     while todo:
         item, where = todo.pop()
         if isinstance(item, str):
@@ -181,8 +181,8 @@ def blocks(root: Node, path: str = "") -> list[tuple[str, str]]:
             if run:
                 parts.append((" ".join("".join(run).split()), where))
                 run = []
-            if not c.noise:
-                parts.append((c, f"{where}/{c.tag}"))
+            if noise or not c.noise:
+                parts.append((c, step(where, c.tag)))
         if run:
             parts.append((" ".join("".join(run).split()), where))
         todo += reversed([p for p in parts if p[0] != ""])
@@ -196,25 +196,43 @@ def layout(root: Node) -> str:
     todo = [(root, "", True)]
     while todo:
         n, path, outer = todo.pop()
-        path, outer = f"{path}/{n.tag}", outer and (n is root or n.tag in CONTAINERS)
+        path, outer = step(path, n.tag), outer and (n is root or n.tag in CONTAINERS)
         fine.add(path)
         if outer:
             coarse.add(path)
         todo += [(c, path, outer) for c in n.items if isinstance(c, Node) and not c.noise]
-    return "/".join(hashlib.blake2b("\n".join(sorted(x)).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-                    for x in (coarse, fine))
+    return "/".join(hashlib.blake2b("\n".join(sorted(x)).encode(), digest_size=8).hexdigest() for x in (coarse, fine))
 
 
 def text_key(path: str, text: str) -> str:
     return f"{path}#{zlib.crc32(text.encode('utf-8', 'surrogatepass')):08x}-{len(text)}"
 
 
-def folded(root: Node) -> tuple:
-    """The tree for alignment: (name, children, texts). Neighbouring siblings of one
-    name are folded into one node; texts holds the keys of its block texts."""
-    def fold(nodes: list[Node], path: str) -> tuple:
-        path = f"{path}/{nodes[0].tag}"
-        texts, groups = set(), []
+PERIOD = 4          # siblings whose names repeat in steps of up to 4 are one step
+WIDEST = 128        # a longer list of siblings has one node per name
+
+
+def _fold_in(groups: list[list[Node]], child: Node) -> None:
+    """Append a child; a step of names that repeats the one before it is folded into that."""
+    groups.append([child])
+    for k in range(1, PERIOD + 1):
+        if len(groups) >= 2 * k and all(groups[i - k][0].tag == groups[i][0].tag for i in range(-k, 0)):
+            for i in range(-k, 0):
+                groups[i - k] += groups[i]
+            del groups[-k:]
+            return
+
+
+def folded(root: Node) -> list[list]:
+    """The tree for alignment, noise elements included, as lists over its nodes in page
+    order: name, parent, texts (the keys of its block texts). Siblings whose names repeat in
+    steps (p p p, or h2 p h2 p) are one step; longer lists than ``WIDEST`` fold all of one name."""
+    names, ups, texts = [], [], []
+    todo: list[tuple] = [([root], -1, "")]
+    while todo:
+        nodes, up, path = todo.pop()
+        path, me = step(path, nodes[0].tag), len(names)
+        found, groups = set(), []
         for n in nodes:
             run = []
             for c in n.items:
@@ -222,15 +240,28 @@ def folded(root: Node) -> tuple:
                     run.append(c)
                     continue
                 if run:
-                    texts.add(" ".join("".join(run).split()))
+                    found.add(" ".join("".join(run).split()))
                     run = []
-                if not c.noise:
-                    if groups and groups[-1][0].tag == c.tag:
-                        groups[-1].append(c)
-                    else:
-                        groups.append([c])
+                _fold_in(groups, c)
             if run:
-                texts.add(" ".join("".join(run).split()))
-        texts.discard("")
-        return nodes[0].tag, [fold(g, path) for g in groups], sorted(text_key(path, t) for t in texts)
-    return fold([root], "")
+                found.add(" ".join("".join(run).split()))
+        if len(groups) > WIDEST:
+            by_name: dict[str, list[Node]] = {}
+            for g in groups:
+                by_name.setdefault(g[0].tag, []).extend(g)
+            groups = list(by_name.values())
+        found.discard("")
+        names.append(nodes[0].tag)
+        ups.append(up)
+        texts.append(sorted(text_key(path, t) for t in found))
+        todo += [(g, me, path) for g in reversed(groups)]
+    return [names, ups, texts]
+
+
+def unfolded(tree: list[list]) -> list:
+    """The nested form of :func:`folded`: [name, children, texts]."""
+    nodes = [[name, [], keys] for name, keys in zip(tree[0], tree[2])]
+    for node, up in zip(nodes, tree[1]):
+        if up >= 0:
+            nodes[up][1].append(node)
+    return nodes[0]

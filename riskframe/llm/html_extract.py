@@ -1,7 +1,7 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-1. Tasks parse every page once into its folded DOM tree (neighbouring siblings of
-   one name are one node) and write the tree, without noise elements, and its layout:
+1. Tasks parse every page once into its folded DOM tree (repeated steps of sibling
+   names are one) and write the tree, noise elements included, and its layout:
    the set of its paths of containers, then that of all its paths of names.
 2. Every group of pages (a host, its pages with the same containers, those with the
    same paths) of at least ``least_pages`` pages gets up to ``references`` reference
@@ -23,7 +23,7 @@ is written first, and Spark broadcasts it only when its written size is below
 the session's broadcast threshold (otherwise it joins by shuffle).
 
 Defined cases: null or empty html gives an empty text; pages without a host are
-one host of their own; repeated rows are extracted each; unclosed or truncated
+one host of their own; elements may be nested to any depth; repeated rows are extracted each; unclosed or truncated
 markup is closed at the end of the page; an empty table gives an empty table;
 other columns are ignored. If all texts of a page were template, they are kept.
 """
@@ -33,54 +33,115 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import dom
-from riskframe.llm.common import text_or_empty, written
+from riskframe.llm.common import byte_slices, text_or_empty, written
 
 
 def host_of(url: str | Column) -> Column:
     return F.lower(F.regexp_extract(text_or_empty(url), r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def tree_match(a: list, b: list, pairs: list | None = None) -> int:
+class Shapes:
+    """Shapes of folded trees (names and children's shapes), numbered, with the scores of their
+    matches. A pair of shapes is scored once, however often its trees occur."""
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.names: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def of(self, tree: list) -> dict[int, int]:
+        """The shape of every node, by ``id``."""
+        nodes, found = [tree], {}
+        for n in nodes:             # grows: parents come before their children
+            nodes += n[1]
+        for n in reversed(nodes):
+            key = (n[0], tuple(found[id(c)] for c in n[1]))
+            if key not in self.ids:
+                self.ids[key] = len(self.names)
+                self.names.append(key[0])
+                self.kids.append(key[1])
+                self.sizes.append(1 + sum(self.sizes[k] for k in key[1]))
+            found[id(n)] = self.ids[key]
+        return found
+
+    def _known(self, a: int, b: int) -> int | None:
+        if self.names[a] != self.names[b]:
+            return 0
+        return self.sizes[a] if a == b else self.scores.get((a, b))
+
+    def score(self, a: int, b: int) -> int:
+        """Nodes in the largest order-keeping match of equal names."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._known(x, y) is None:
+                xs, ys = self.kids[x], self.kids[y]
+                open_ = [(i, j) for i in set(xs) for j in set(ys) if self._known(i, j) is None]
+                if open_:
+                    todo += open_
+                    continue
+                self.scores[x, y] = 1 + int(self.table(xs, ys)[0][-1, -1])
+            todo.pop()
+        return self._known(a, b)
+
+    def table(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of all prefixes, scores of the pairs) of two lists of siblings."""
+        inner = {x: np.array([self._known(x, y) for y in ys], np.int64) for x in set(xs)}
+        m = np.zeros((len(xs) + 1, len(ys) + 1), np.int64)
+        for i, x in enumerate(xs):
+            np.maximum.accumulate(np.maximum(m[i, 1:], m[i, :-1] + inner[x]), out=m[i + 1, 1:])
+        return m, np.array([inner[x] for x in xs]).reshape(len(xs), len(ys))
+
+
+def tree_match(a: list, b: list, pairs: list | None = None, shapes: Shapes | None = None) -> int:
     """Simple tree matching of two folded trees: the nodes in the largest
     order-keeping match of equal names. ``pairs`` receives the matched nodes."""
-    if a[0] != b[0]:
-        return 0
-    rows, cols = a[1], b[1]
-    m = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
-    inner = [[tree_match(x, y) if x[0] == y[0] else 0 for y in cols] for x in rows]
-    for i in range(1, len(rows) + 1):
-        for j in range(1, len(cols) + 1):
-            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + inner[i - 1][j - 1])
-    if pairs is not None:
+    shapes = shapes or Shapes()
+    of = {**shapes.of(a), **shapes.of(b)}
+    score = shapes.score(of[id(a)], of[id(b)])
+    todo = [(a, b)] if pairs is not None and score else []
+    while todo:
+        a, b = todo.pop()
         pairs.append((a, b))
-        i, j = len(rows), len(cols)
+        if of[id(a)] == of[id(b)]:
+            todo += zip(a[1], b[1])
+            continue
+        m, inner = shapes.table(tuple(of[id(c)] for c in a[1]), tuple(of[id(c)] for c in b[1]))
+        i, j = len(a[1]), len(b[1])
         while i and j:
-            if inner[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + inner[i - 1][j - 1]:
-                tree_match(rows[i - 1], cols[j - 1], pairs)
+            if inner[i - 1, j - 1] and m[i, j] == m[i - 1, j - 1] + inner[i - 1, j - 1]:
+                todo.append((a[1][i - 1], b[1][j - 1]))
                 i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
+            elif m[i, j] == m[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-    return 1 + m[-1][-1]
+    return score
 
 
 def tree_size(a: list) -> int:
-    return 1 + sum(map(tree_size, a[1]))
+    nodes = [a]
+    for n in nodes:
+        nodes += n[1]
+    return len(nodes)
 
 
 def constant_texts(tree: list, references: list[list]) -> set[str]:
     """Block texts of the page that equal a text of the matched node in the
     reference that matches best."""
     best: tuple[float, list] = (0.0, [])
+    shapes = Shapes()
     for ref in references:
         pairs: list = []
-        score = 2 * tree_match(tree, ref, pairs) / (tree_size(tree) + tree_size(ref))
+        score = 2 * tree_match(tree, ref, pairs, shapes) / (tree_size(tree) + tree_size(ref))
         if score > best[0]:
             best = (score, pairs)
     return {t for a, b in best[1] for t in set(a[2]).intersection(b[2])}
@@ -89,11 +150,15 @@ def constant_texts(tree: list, references: list[list]) -> set[str]:
 def page_trees(pages: DataFrame, url_col: str, html_col: str, seed: int) -> DataFrame:
     """(host, h, tree, layout) of every page; h is a seeded hash of the page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = list(map(dom.parse, batch.column(2).to_pylist()))
-            trees = [json.dumps(dom.folded(r)) for r in roots]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(trees, pa.string()),
-                                   pa.array(list(map(dom.layout, roots)), pa.string())], ["host", "h", "tree", "layout"])
+        for whole in batches:
+            for batch in byte_slices(whole, 2):
+                trees, layouts = [], []
+                for page in batch.column(2):
+                    root = dom.parse(page.as_py())
+                    trees.append(json.dumps(dom.folded(root)))
+                    layouts.append(dom.layout(root))
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(trees, pa.string()),
+                                       pa.array(layouts, pa.string())], ["host", "h", "tree", "layout"])
 
     rows = pages.select(host_of(url_col).alias("host"),
                         F.xxhash64(F.lit(seed), F.col(url_col), F.col(html_col)).alias("h"),
@@ -126,8 +191,8 @@ def induce(pages: DataFrame, references: int = 3, least_pages: int = 5, constant
         for batch in batches:
             hosts, parts, keys = [], [], []
             for host, part, tree, own, rs in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "tree", "h", "both"))):
-                others = [json.loads(r["ref"]) for r in rs if r["h"] != own]
-                for t in constant_texts(json.loads(tree), others):
+                others = [dom.unfolded(json.loads(r["ref"])) for r in rs if r["h"] != own]
+                for t in constant_texts(dom.unfolded(json.loads(tree)), others):
                     hosts.append(host)
                     parts.append(part)
                     keys.append(t)
@@ -148,37 +213,45 @@ def induce(pages: DataFrame, references: int = 3, least_pages: int = 5, constant
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id",
             **rule) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_blocks, n_template."""
+    """One row per page: page_id, url, text, n_chars, n_blocks (in the text), n_template (blocks
+    of the whole page, noise elements included, that the wrapper knows as template)."""
     wrapper = written(induce(pages, url_col=url_col, html_col=html_col, **rule), "wrappers")
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = list(map(dom.parse, batch.column(2).to_pylist()))
-            found = list(map(content_blocks, roots))
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array([dom.layout(r).split("/")[0] for r in roots], pa.string()),
-                 *(pa.array([[b[i] for b in f] for f in found], pa.list_(pa.string())) for i in (0, 1))],
-                ["page_id", "url", "host", "outer", "keys", "texts"])
+        for whole in batches:
+            for batch in byte_slices(whole, 2):
+                outer, keys, texts, every = [], [], [], []
+                for page in batch.column(2):
+                    root = dom.parse(page.as_py())
+                    found = content_blocks(root)
+                    outer.append(dom.layout(root).split("/")[0])
+                    keys.append([k for k, _ in found])
+                    texts.append([t for _, t in found])
+                    every.append([dom.text_key(*b) for b in dom.blocks(root, noise=True)])
+                lists = (pa.array(x, pa.list_(pa.string())) for x in (keys, texts, every))
+                yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(outer, pa.string()), *lists],
+                                      ["page_id", "url", "host", "outer", "keys", "texts", "every"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kept_n, dropped_n = [], [], []
-            for keys, page, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            texts, kept_n, template_n = [], [], []
+            for keys, page, every, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 kept = outside(list(zip(keys, page)), template or ())
                 texts.append(" ".join(kept))
                 kept_n.append(len(kept))
-                dropped_n.append(len(keys) - len(kept))
+                constant = set(template or ())
+                template_n.append(sum(k in constant for k in every))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64()), pa.array(kept_n, pa.int32()),
-                 pa.array(dropped_n, pa.int32())], ["page_id", "url", "text", "n_chars", "n_blocks", "n_template"])
+                 pa.array(template_n, pa.int32())], ["page_id", "url", "text", "n_chars", "n_blocks", "n_template"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
                         text_or_empty(html_col).alias("html"), host_of(url_col).alias("host"))
     found = rows.mapInArrow(read, f"page_id {id_type}, url string, host string, outer string, keys array<string>, "
-                                  "texts array<string>")
-    return found.join(wrapper, ["host", "outer"], "left").select("page_id", "url", "keys", "texts", "template").mapInArrow(
+                                  "texts array<string>, every array<string>")
+    return found.join(wrapper, ["host", "outer"], "left").select("page_id", "url", "keys", "texts", "every", "template").mapInArrow(
         run, f"page_id {id_type}, url string, text string, n_chars long, n_blocks int, n_template int")
 
 
@@ -186,11 +259,13 @@ def content_blocks(page: dom.Node) -> list[tuple[str, str]]:
     """(key, text) of the blocks of the page's content, in page order."""
     found = []
     for root in dom.content_roots(page):
-        names, n = [], root
+        names, n, path = [], root, ""
         while n.up is not None:
             n = n.up
             names.append(n.tag)
-        found += dom.blocks(root, "".join(f"/{t}" for t in reversed(names)))
+        for name in reversed(names):
+            path = dom.step(path, name)
+        found += dom.blocks(root, path)
     return [(dom.text_key(path, t), t) for path, t in found]
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -185,6 +186,52 @@ def test_tree_matching_counts_and_pairs():
     assert html_extract.tree_match(a, ["q", [], []]) == 0 and html_extract.tree_size(a) == 4
 
 
+def test_tree_matching_equals_the_plain_recursion():
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+        m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1], 1):
+            for j, y in enumerate(b[1], 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain(x, y))
+        return 1 + m[-1][-1]
+
+    rng = random.Random(2)
+
+    def tree(depth):
+        return [rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)], []]
+    for _ in range(200):
+        a, b, pairs = tree(4), tree(4), []
+        n = html_extract.tree_match(a, b, pairs)
+        assert n == plain(a, b) == len(pairs) and all(x[0] == y[0] for x, y in pairs)
+
+
+def test_deep_and_long_pages(spark):
+    """5,000 nested elements, 50,000 alternating and 20,000 mixed ones, in seconds."""
+    rng = random.Random(3)
+    deep = "<body>" + "<div>" * 5000 + "<p>deep {i}</p>" + "</div>" * 5000 + "<p>Imprint</p></body>"
+    long = "<body>" + "".join(f"<h2>head {k} {{i}}</h2><p>text {k} {{i}}</p>" for k in range(25_000)) + "<p>Imprint</p></body>"
+    tags = [rng.choice(["p", "h2", "ul", "pre", "table", "blockquote", "h3"]) for _ in range(20_000)]
+    mixed = "<body>" + "".join(f"<{t}>x {k} {{i}}</{t}>" for k, t in enumerate(tags)) + "<p>Imprint</p></body>"
+    pages = [(7 * g + i, f"http://{name}.example/{i}", page.replace("{i}", str(i)))
+             for g, (name, page) in enumerate((("deep", deep), ("long", long), ("mixed", mixed))) for i in range(6)]
+    started = time.time()
+    got = {r["page_id"]: r for r in html_extract.extract(
+        spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert time.time() - started < 120
+    for i in range(6):
+        assert got[i]["text"] == f"deep {i}" and got[i]["n_template"] == 1
+        assert got[7 + i]["text"] == " ".join(f"head {k} {i} text {k} {i}" for k in range(25_000))
+        assert got[14 + i]["text"] == " ".join(f"x {k} {i}" for k in range(20_000))
+
+
+def test_wrapper_learns_the_noise_elements(spark):
+    rows = [(i, f"http://one.example/{i}", f"<body><nav>Home News</nav><article><p>story {i}</p><p>Read on</p></article>"
+             "<footer>Imprint</footer></body>") for i in range(8)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"story {r['page_id']}" and r["n_template"] == 3 for r in got)
+
+
 def test_pages_of_the_table(spark):
     got = {r["page_id"]: r["text"] for r in queries.op2_wrapper_induction(spark, SF).collect()}
     import html
