@@ -138,6 +138,18 @@ def test_suffix_dedup_spreads_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(1, 0)] * 20 + [(2, len(text))] * 20
 
 
+def test_more_batches_than_buckets(spark):
+    """Over 100,000 batches of two bytes in 4 buckets: as many as Spark's limit of buckets does not allow."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(40, 120))) for _ in range(9)]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randrange(1, 7)))) for i in range(40)]
+    rows.append((99, "".join(rng.choice("efgh") for _ in range(210_000)) + pool[0] + pool[1]))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=2,
+                                      bucket_bytes=50_000, most_buckets=4).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == sorted(
+        (w[0], w[2], w[3], w[5]) for w in brute.repeats(rows))
+
+
 def test_cut_repeats_keeps_the_columns(odd_documents):
     got = suffix_dedup.cut_repeats(odd_documents.withColumn("n_chars", F.lit(0).cast("long")))
     assert got.columns == [*odd_documents.columns, "n_chars"]
