@@ -138,6 +138,34 @@ def test_suffix_dedup_spreads_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(1, 0)] * 20 + [(2, len(text))] * 20
 
 
+@pytest.mark.parametrize("letters, docs, seed", [("ab", 3, 0), ("a", 40, 1), ("abc", 400, 2), ("a\0", 9, 3)])
+def test_previous_factors_equal_all_pairs(letters, docs, seed):
+    """Strings of 18 to 40 bytes against every string of a smaller document."""
+    rng = random.Random(seed)
+    strings = ["".join(rng.choice(letters) for _ in range(rng.randrange(18, 41))).encode() for _ in range(120)]
+    strings += [x[:rng.randrange(18, len(x) + 1)] + (b"" if rng.random() < 0.5 else rng.choice(strings))[:40 - len(x)]
+                for x in rng.choices(strings, k=240)]
+    doc = np.array([rng.randrange(docs) for _ in strings], np.int64)
+    size = np.array([len(x) for x in strings])
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    factor, source = suffix_dedup.previous_factors(
+        np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, doc, 18)
+    for i, x in enumerate(strings):
+        best = max((common(x, y) for j, y in enumerate(strings) if doc[j] < doc[i]), default=0)
+        assert factor[i] == (best if best >= 18 else 0)
+        if factor[i]:
+            assert source[i] < doc[i]
+            assert any(common(x, y) == best for j, y in enumerate(strings) if doc[j] == source[i])
+        else:
+            assert source[i] == doc[i]
+
+
+def test_no_batch_table_stays_in_the_catalog(spark):
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a" * 60), (2, "a" * 60)], "doc_id long, text string"))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("repeat_batches_")]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(1, 0), (2, 60)]
+
+
 def test_more_batches_than_buckets(spark):
     """Over 100,000 batches of two bytes in 4 buckets: as many as Spark's limit of buckets does not allow."""
     rng = random.Random(12)
