@@ -5,7 +5,8 @@ a bias plus the weights of its words (and of the words' first 4 to 6 letters,
 which carry over to inflected and compound forms); the document's score is the
 noisy-or of its sentences. Only document labels are known: the weights maximise
 the likelihood of the noisy-or, fitted on a bounded random sample of labelled
-rows (``fit_docs``). Scoring runs over every sentence of every whole text and
+rows (``fit_docs`` documents, ``fit_bytes`` of their texts); every feature that stands out
+there has a weight. Scoring runs over every sentence of every whole text and
 locates the offending sentences.
 
 Defined cases: a null or empty text is one empty sentence, so it gets the
@@ -24,13 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import text_or_empty
 
 FIT_DOCS = 6_000          # labelled rows to learn from, at most
-FEATURES = 3_000           # weights, at most
+FIT_BYTES = 64 << 20      # of their texts, up to the one that reaches them
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
@@ -133,8 +134,7 @@ def _feature_table(words: list[str], index: dict[str, int], grow: bool) -> tuple
     return np.array(first, np.int64), np.array(flat, np.int32)
 
 
-def choose_features(bags: Bags, y: np.ndarray, most: int = FEATURES, least_docs: int = 5,
-                    least_z: float = 3.5) -> list[str]:
+def choose_features(bags: Bags, y: np.ndarray, least_docs: int = 5, least_z: float = 3.5) -> list[str]:
     """Features that stand out in positive documents by a two-proportion z."""
     pair = np.unique(bags.doc[bags.sentence].astype(np.int64) * len(bags.words) + bags.code)
     doc, code = pair // len(bags.words), pair % len(bags.words)
@@ -154,7 +154,7 @@ def choose_features(bags: Bags, y: np.ndarray, most: int = FEATURES, least_docs:
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     p = (a + b) / (n1 + n0)
     z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
-    return [f for _, f in sorted((-v, f) for v, f in zip(z, names) if v >= least_z)[:most]]
+    return [f for _, f in sorted((-v, f) for v, f in zip(z, names) if v >= least_z)]
 
 
 def fit_bags(texts: list[str], labels: list[int], steps: int = 800, rate: float = 0.1, ridge: float = 3e-4) -> Model:
@@ -188,17 +188,23 @@ def fit_bags(texts: list[str], labels: list[int], steps: int = 800, rate: float
     return Model(float(theta[-1]), {f: float(v) for f, v in zip(names, theta) if abs(v) > 1e-6})
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_docs: int = FIT_DOCS, seed: int = 11,
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_docs: int = FIT_DOCS,
+        fit_bytes: int = FIT_BYTES, seed: int = 11,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``fit_docs`` labelled documents, those of the smallest seeded
-    hash of the id, among the label rows that ``learn`` (over id_col) admits."""
+    hash of the id, among the label rows that ``learn`` (over id_col) admits; in this order
+    up to the one whose text reaches ``fit_bytes``. Of repeated rows of a document the
+    smallest text teaches, taken before the sample comes together."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     known = known.where(learn) if learn is not None else known
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(fit_docs)
     # the sample has at most fit_docs rows of two numbers
     rows = (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-            .join(F.broadcast(sample), "id").select("id", "text", "y"))
+            .join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
+    before = Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(before), F.lit(0)))
+            .where(F.col("before") < fit_bytes).select("id", "text", "y"))
     # one task holds the bounded sample; the driver gets the weights
     found = rows.repartition(1).mapInArrow(_fit_task, "feature string, weight double").collect()
     weights = {r["feature"]: r["weight"] for r in found}
@@ -208,14 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, weight) rows of the fitted model, the bias under no feature."""
-    seen: dict[int, tuple[str, int]] = {}
-    for batch in batches:
-        # repeated rows of a document teach once
-        for i, t, v in zip(*(c.to_pylist() for c in batch.columns)):
-            if i not in seen or t < seen[i][0]:
-                seen[i] = (t, v)
-    order = sorted(seen)
-    model = fit_bags([seen[i][0] for i in order], [seen[i][1] for i in order])
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+    rows.sort(key=lambda r: r[0])
+    model = fit_bags([r[1] for r in rows], [r[2] for r in rows])
     yield pa.record_batch([pa.array([None, *model.weights], pa.string()),
                            pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
 

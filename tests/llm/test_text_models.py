@@ -68,6 +68,17 @@ def test_toxicity_odd_rows(spark, odd_documents):
     assert toxicity.reject(odd_documents, none, 0.7).columns == odd_documents.columns
 
 
+def test_toxicity_sample_of_repeated_and_long_rows(spark):
+    docs, labels = read_table(spark, SF, "documents").select("doc_id", "text"), read_table(spark, SF, "labels")
+    plain = toxicity.fit(docs, labels, fit_docs=60)
+    # rows that repeat a sampled id teach once, by their smallest text
+    again = docs.unionByName(docs).unionByName(docs.select("doc_id", F.concat("text", F.lit(" worse")).alias("text")))
+    assert toxicity.fit(again.repartition(5), labels, fit_docs=60) == plain
+    # one text reaches the bound: one class only, so nothing is learnt
+    assert toxicity.fit(docs, labels, fit_docs=60, fit_bytes=1) == toxicity.Model()
+    assert toxicity.fit(docs, labels, fit_docs=60, fit_bytes=1 << 40) == plain
+
+
 def test_toxicity_fits_on_the_bound(spark):
     docs, labels = (read_table(spark, SF, t) for t in ("documents", "labels"))
     a, b = (toxicity.fit(docs.repartition(n), labels, fit_docs=60) for n in (1, 5))
