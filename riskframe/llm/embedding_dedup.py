@@ -7,9 +7,11 @@ vectors quantised to int8 with a scale and the norm of the rest per vector.
 Every two tiles of a label are multiplied as integers unless their cells are too
 far apart on the sphere. For unit u = s q + e the product differs from s_u s_v
 (q_u . q_v) by at most (1 + |e_u|) |e_v| + |e_u|; pairs whose interval lies above
-the threshold link, pairs below it do not, the rest are recomputed in double
-precision from the original numbers. A tile pair returns link counts per vector
-and a spanning forest of its links, never the pairs. Components join the forests.
+the threshold link, pairs below it do not. The rest are open: a tile pair that has
+any returns their places in the tiles, and only for these tile pairs the original numbers
+are fetched and the open pairs recomputed in double precision. A tile pair
+returns link counts per vector and a spanning forest of its links, never the links
+themselves. Components join the forests.
 
 Defined cases: rows whose label or vector is null, whose vector is zero, or holds
 a null, NaN or infinite number link with nothing and are components of their
@@ -54,34 +56,43 @@ def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
-class Tile:
-    def __init__(self, row: dict):
-        self.n, self.dim = row["n"], row["dim"]
-        self.keys, self.copies = row["keys"], np.frombuffer(row["copies"], np.int64)
-        self.codes = np.frombuffer(row["codes"], np.int8).reshape(self.n, self.dim)
-        self.scale, self.rest = (np.frombuffer(row[c], np.float64) for c in ("scales", "rests"))
-        self.full = np.frombuffer(row["vectors"], np.float64).reshape(self.n, self.dim)
-
-
-def linked_pairs(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i of a, j of b) whose cosine reaches the threshold; i < j in a tile
-    against itself."""
+def bounded_pairs(a: dict, b: dict, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i of a, j of b, whether it links for certain) of the row pairs whose cosine may
+    reach the threshold; i < j in a tile against itself."""
+    dim = a["dim"]
     # exact in float32 while 127 * 127 * dim stays below 2^24
-    kind = np.float32 if a.dim <= 1040 else np.float64
-    approx = (a.codes.astype(kind) @ b.codes.astype(kind).T).astype(np.float64)
-    approx *= a.scale[:, None] * b.scale[None, :]
-    bound = (1 + a.rest)[:, None] * b.rest[None, :] + a.rest[:, None] + _SLACK
-    open_ = approx >= threshold - bound
+    kind = np.float32 if dim <= 1040 else np.float64
+    codes = [np.frombuffer(t["codes"], np.int8).reshape(t["n"], dim).astype(kind) for t in (a, b)]
+    scale, rest = ([np.frombuffer(t[c], np.float64) for t in (a, b)] for c in ("scales", "rests"))
+    approx = (codes[0] @ codes[1].T).astype(np.float64)
+    approx *= scale[0][:, None] * scale[1][None, :]
+    bound = (1 + rest[0])[:, None] * rest[1][None, :] + rest[0][:, None] + _SLACK
+    maybe = approx >= threshold - bound
     if same:
-        open_ &= np.triu(np.ones(open_.shape, bool), 1)
-    i, j = np.nonzero(open_)
-    link = approx[i, j] - bound[i, j] >= threshold
-    unsure = np.flatnonzero(~link)
-    step = max(1, _CHUNK // a.dim)
-    for k in range(0, len(unsure), step):
-        at = unsure[k:k + step]
-        link[at] = exact_cosines(a.full[i[at]], b.full[j[at]]) >= threshold
-    return i[link], j[link]
+        maybe &= np.triu(np.ones(maybe.shape, bool), 1)
+    i, j = np.nonzero(maybe)
+    return i, j, approx[i, j] - bound[i, j] >= threshold
+
+
+def exact_links(a: dict, b: dict, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of row i of a and row j of b reaches the threshold."""
+    full = [np.frombuffer(t["vectors"], np.float64).reshape(t["n"], t["dim"]) for t in (a, b)]
+    step = max(1, _CHUNK // a["dim"])
+    return np.concatenate([exact_cosines(full[0][i[k:k + step]], full[1][j[k:k + step]]) >= threshold
+                           for k in range(0, len(i), step)])
+
+
+def link_rows(a: dict, b: dict, same: bool, i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
+    """(u, v, n): every linked vector, the smallest it reaches in the tiles, its links."""
+    keys, copies = a["keys"], np.frombuffer(a["copies"], np.int64)
+    if not same:
+        j = j + len(keys)
+        keys, copies = keys + b["keys"], np.concatenate([copies, np.frombuffer(b["copies"], np.int64)])
+    n = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
+    low = forest(i, j, len(keys))
+    at = np.flatnonzero(n)
+    return [pa.array([keys[x] for x in at], pa.binary()), pa.array([keys[x] for x in low[at]], pa.binary()),
+            pa.array(n[at].astype(np.int64))]
 
 
 def _pivots(reps: DataFrame, seed: int) -> dict[int, np.ndarray]:
@@ -137,27 +148,55 @@ _TILE = ("label long, dim int, cell int, part int, n int, reach double, keys arr
          "codes binary, scales binary, rests binary, vectors binary")
 
 
+_LINKS = "u binary, v binary, n long"
+_WHERE = ("label", "dim", "cell", "part")
+_OPEN = ", ".join(f"{t}_{c} {'long' if c == 'label' else 'int'}" for t in "ab" for c in _WHERE) + (
+    ", same boolean, i binary, j binary")
+
+
 def _compare(threshold: float):
+    """Rows of links, and one row of the open pairs' places for a tile pair that has any."""
+    kinds = [pa.int64() if c == "label" else pa.int32() for _ in "ab" for c in _WHERE] + [
+        pa.bool_(), pa.binary(), pa.binary()]
+    names = ["u", "v", "n", *(f"{t}_{c}" for t in "ab" for c in _WHERE), "same", "i", "j"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                a, b = Tile(row["a"]), Tile(row["b"])
-                i, j = linked_pairs(a, b, row["same"], threshold)
-                if not len(i):
-                    continue
-                shift = 0 if row["same"] else a.n
-                keys, copies = (a.keys, a.copies) if row["same"] else (a.keys + b.keys, np.concatenate([a.copies, b.copies]))
-                jj = j + shift
-                n = np.bincount(i, copies[jj], len(keys)) + np.bincount(jj, copies[i], len(keys))
-                low = forest(i, jj, len(keys))
-                at = np.flatnonzero(n)
-                yield pa.record_batch([pa.array([keys[x] for x in at], pa.binary()),
-                                       pa.array([keys[x] for x in low[at]], pa.binary()),
-                                       pa.array(n[at].astype(np.int64))], ["u", "v", "n"])
+                a, b, same = row["a"], row["b"], row["same"]
+                i, j, sure = bounded_pairs(a, b, same, threshold)
+                if sure.any():
+                    links = link_rows(a, b, same, i[sure], j[sure])
+                    yield pa.record_batch([*links, *(pa.nulls(len(links[0]), t) for t in kinds)], names)
+                if not sure.all():
+                    place = [*(t[c] for t in (a, b) for c in _WHERE), same,
+                             *(x[~sure].astype(np.int32).tobytes() for x in (i, j))]
+                    yield pa.record_batch([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
+                                           *(pa.array([x], t) for x, t in zip(place, kinds))], names)
     return run
 
 
+def _recompute(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                i, j = (np.frombuffer(row[c], np.int32) for c in "ij")
+                link = exact_links(row["a"], row["b"], i, j, threshold)
+                if link.any():
+                    yield pa.record_batch(link_rows(row["a"], row["b"], row["same"], i[link], j[link]), ["u", "v", "n"])
+    return run
+
+
+def _with_tiles(pairs: DataFrame, tiles: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """Pairs of tiles with these columns of both as structs a and b."""
+    for t in "ab":
+        on = [F.col(c).alias(f"{t}_{c}") for c in _WHERE]
+        pairs = pairs.join(tiles.select(*on, F.struct(*columns).alias(t)), [f"{t}_{c}" for c in _WHERE])
+    return pairs.select("a", "b", *keep)
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", tile_rows: int = TILE_ROWS, seed: int = 3) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
@@ -183,11 +222,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
              .groupBy("label", "dim", "cell", "part").applyInArrow(_pack, _TILE))
     tiles = written(tiles, "tiles")
     pairs = _tile_pairs(tiles, _pivots(reps, seed), threshold)
-    a = tiles.select(*(F.col(c).alias(f"a_{c}") for c in ("label", "dim", "cell", "part")), F.struct(*tiles.columns).alias("a"))
-    b = tiles.select(*(F.col(c).alias(f"b_{c}") for c in ("label", "dim", "cell", "part")), F.struct(*tiles.columns).alias("b"))
-    met = (pairs.join(a, [f"a_{c}" for c in ("label", "dim", "cell", "part")])
-           .join(b, [f"b_{c}" for c in ("label", "dim", "cell", "part")]).select("a", "b", "same"))
-    found = written(met.mapInArrow(_compare(threshold), "u binary, v binary, n long"), "links")
+    met = _with_tiles(pairs, tiles, [c for c in tiles.columns if c not in ("vectors", "reach")], ["same"])
+    told = written(met.mapInArrow(_compare(threshold), f"{_LINKS}, {_OPEN}"), "links")
+    unsure = _with_tiles(told.where("u is null").drop("u", "v", "n"), tiles, ["n", "dim", "keys", "copies", "vectors"],
+                         ["same", "i", "j"])
+    exact = written(unsure.mapInArrow(_recompute(threshold), _LINKS), "exact-links")
+    found = told.where("u is not null").select("u", "v", "n").unionByName(exact)
     links = found.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     roots = components(found.select("u", "v"), "vector-components").withColumnRenamed("u", "key")
     known = (reps.select("key", "copies", "first_id").join(links, "key", "left").join(roots, "key", "left")
