@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 
 #: distinct values handled by one window task before the value range is cut.
-ROWS_PER_BUCKET = 1 << 21
+ROWS_PER_BUCKET = 1 << 18
 MAX_BUCKETS = 1 << 14
 #: hash buckets per group for the hash order (n / 2**bits rows per window
 #: group: 1e12 rows in 3 classes -> ~5e6 rows per group at 16 bits).

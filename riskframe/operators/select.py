@@ -24,14 +24,21 @@ from .kendall import kendall_pairs, merge_counts as _merge_counts  # noqa: F401
 from .rank import attach_ranks, distinct_counts, to_long, value_prefix
 
 MAX_FEATURES = 2_000
+#: long rows of the rank table put together by one task.
+CELLS_A_PART = 500_000
 
 
 # ------------------------------------------------------------------ E1/E2
 def rank_table(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """One row per key with the average rank of each column (NULL stays NULL)."""
+    """One row per key with the average rank of each column (NULL stays NULL).
+
+    The long rows are dealt by key into parts of about ``CELLS_A_PART`` before they are
+    put together, so the hash tables of both aggregation steps stay as small at any row count
+    (left to itself, the first step builds them over whatever the join's tasks hold)."""
     long_df = to_long(df, cols, [key], "feature", "value")
     ranks = attach_ranks(long_df, ["feature"], "value", "r")
-    return ranks.groupBy(key).pivot("feature", cols).agg(F.first("r"))
+    parts = max(1, -(-df.count() * len(cols) // CELLS_A_PART))
+    return ranks.select(key, "feature", "r").repartition(parts, key).groupBy(key).pivot("feature", cols).agg(F.first("r"))
 
 
 def spearman_pairs(df: DataFrame, cols: list[str], key: str) -> DataFrame:
