@@ -34,6 +34,8 @@ from riskframe.llm import cutting_stock
 from riskframe.llm.common import byte_slices, text_or_empty, written
 from riskframe.llm.tokens import encoder
 
+#: text encoded at once: what the tokenizer's steps hold is about 15 times that, in each worker.
+SLICE_BYTES = 2 << 20
 _PIECES = ("doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long, "
            "size_class int, task int, task_rank long")
 
@@ -44,6 +46,7 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, granule: int, en
     vocabulary needs) and the checksum of the ids as unsigned 32-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()      # of the worker's tasks before this one
         enc = encoder(tokenizer)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity // granule + 2, np.int64)
@@ -52,7 +55,7 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, granule: int, en
                             ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()),
                             ("size_class", pa.int32()), ("task", pa.int32()), ("task_rank", pa.int64())])
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, SLICE_BYTES):
                 keys = part.column(0).to_pylist()
                 rows = []
                 for key, ids in zip(keys, enc.encode_many(part.column(1).to_pylist())):
