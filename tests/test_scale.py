@@ -55,3 +55,14 @@ def test_a_step_is_that_of_plain_adam():
             p = p - 1e-2 * (mo / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)
         for got in own.sums():
             assert np.allclose(got[:len(p)] / 70, p, rtol=1e-10, atol=1e-12) and got[-3] == 70 and got[-4] == 3 * 70
+
+
+def test_every_pass_of_the_linear_fits_reads_packed_batches(spark, monkeypatch):
+    from riskframe.models import ridge
+    from riskframe.plans import crossval as CV
+    df, _ = sim_hybrid(spark, 300)
+    read = []
+    monkeypatch.setattr(ridge, "partition_sums", lambda data, *rest: read.append(type(data)) or sums.partition_sums(data, *rest))
+    CV.MNLRidge(["x1", "x2"]).fit(df)
+    CV.MNLRidge(["x1", "x2"]).fit_folds(df, [1, 2, 3], "fold")
+    assert set(read) == {sums.Packed}
