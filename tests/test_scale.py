@@ -66,3 +66,35 @@ def test_every_pass_of_the_linear_fits_reads_packed_batches(spark, monkeypatch):
     CV.MNLRidge(["x1", "x2"]).fit(df)
     CV.MNLRidge(["x1", "x2"]).fit_folds(df, [1, 2, 3], "fold")
     assert set(read) == {sums.Packed}
+
+
+def test_tasks_fill_every_wave_over_the_cores():
+    for cores in (1, 8, 12):
+        for shards in range(1, 400):
+            lanes = M._lanes_for(shards, cores)
+            tasks = -(-shards // lanes)
+            waves = -(-tasks // cores)
+            assert 1 <= lanes <= M.SHARDS_A_TASK and (lanes == 1 or shards > cores)
+            # no other number of lanes takes fewer waves
+            assert waves == -(-shards // (cores * M.SHARDS_A_TASK))
+    assert -(-40 // M._lanes_for(40, 8)) == 8 and -(-54 // M._lanes_for(54, 12)) <= 12
+
+
+def test_trial_steps_of_a_search_are_evaluated_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 2500
+    x, q, y = np.hstack([np.ones((n, 1)), rng.normal(size=(n, 2))]), rng.normal(size=(n, 3)), rng.integers(0, 3, n)
+    for spec in (HY.HybridSpec(["a", "b"], ["c", "d", "e"], 4), HY.HybridSpec(None, ["c", "d", "e"], 4), HY.HybridSpec(["a", "b"], [])):
+        for train_beta in (True, False):
+            m = M.Model(spec, train_beta=train_beta)
+            points = [rng.normal(size=spec.size()) for _ in range(4)]
+            want = [M._loss_and_gradient(m, p, x, q, y) for p in points]
+            assert M._alike([(m, p) for p in points]) == [[0, 1, 2, 3]]
+            with monkeypatch.context() as patch:
+                patch.setattr(spec.__class__, "forward", None)      # not point after point
+                got = M._sums_at([m] * 4, points)(x, q, y)
+                again = [M._sums_at([m], [p])(x, q, y)[0] for p in points]
+            assert np.allclose(got, want, rtol=1e-11, atol=1e-9) and np.array_equal(got, again)
+    alt = M.Model(HY.AltNetSpec(["a", "b"], 3))
+    p = HY.init_params(alt.spec, 1)
+    assert np.array_equal(M._sums_at([alt], [p])(x, q, y)[0], M._loss_and_gradient(alt, p, x, q, y))
