@@ -1,5 +1,7 @@
 """Steps that have to grow no faster than the rows."""
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from riskframe.models import hybrid as HY
@@ -17,6 +19,45 @@ def test_packed_batches_are_those_of_the_table(spark):
     held.unpersist()
 
 
+def test_later_passes_over_a_packed_table_take_few_tasks(spark):
+    df = spark.range(3_000, numPartitions=60).select("id", (F.col("id") / 3).alias("x"))
+
+    def seen(batch):
+        at = np.zeros(60)
+        at[TaskContext.get().partitionId()] = 1.0
+        return np.concatenate([at, [len(batch), batch["id"].to_numpy().sum(), batch["x"].to_numpy().sum()]])
+    held = sums.Packed(df)
+    want = sums.partition_sums(df, seen, 63)
+    most = sums.WAVES * spark.sparkContext.defaultParallelism
+    assert most < 60
+    # the first pass fills the cache, a task for each partition
+    for arrow, tasks in ((False, 60), (False, most), (True, most)):
+        got = sums.partition_sums(held, seen, 63, arrow)
+        assert (got[:60] > 0).sum() == tasks and np.allclose(got[60:], want[60:], rtol=1e-14)
+    held.unpersist()
+
+
+def test_linear_passes_read_columns_as_they_are(spark):
+    df = spark.range(40).select((F.col("id") % 3 + 1).cast("int").alias("y"), "id", (F.col("id") % 2 == 0).alias("b"),
+                                (F.col("id") / 7).cast("decimal(9,3)").alias("d"), (F.col("id") / 3).cast("float").alias("x"))
+    cols = ["id", "b", "d", "x"]
+    pdf = df.toPandas()
+    for batch in (pdf, df.toArrow(), df.where("false").toArrow()):
+        x = sums.design_columns(batch, cols)
+        assert x.dtype == np.float64 and np.array_equal(x.T, sums.design_matrix(pdf[:len(batch)], cols))
+    seen = lambda t: np.array([isinstance(t, pa.Table), len(t)], float)
+    assert sums.partition_sums(df.coalesce(1), seen, 2, True).tolist() == [1.0, 40.0]
+
+
+def test_ridge_fits_are_those_of_the_held_table(spark):
+    from riskframe.models.ridge import fit_ridge
+    df, _ = sim_hybrid(spark, 600)
+    cols = ["x1", "x2", "q1"]
+    own = [fit_ridge(df, cols, folds=[1, 2], fold_col="fold", cache=cache) for cache in (True, False)]
+    for held, r in zip(*own):
+        assert r.n == held.n and np.isclose(r.loss, held.loss) and np.allclose(r.beta, held.beta, atol=1e-6)
+
+
 def test_shards_of_one_task_train_as_apart(spark, monkeypatch):
     df, _ = sim_hybrid(spark, 900)
     d = M.design(df, ["x1", "x2", "q1", "q2"], fold="fold", shards=11)
